@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import language_id, ngram_join, quality
+from framewise.llm import language_id, mixing, ngram_join, quality, secrets, token_file, warc
 from framewise.llm.common import crc
 
 
@@ -19,15 +20,43 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, network).select("doc_id", (crc("doc_id") % 3 == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, secrets.fit_formats(docs))
+
+    def listed(keep: F.Column) -> F.Column:
+        return F.array_join(F.transform(keep, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = listed(F.filter("spans", lambda s: s["kind"] != "format"))
+    return found.select("doc_id", *(number(k) for k in secrets.KINDS[:3]), F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     trees = quality.fit_quality(docs, _read(spark, sf_dir, "labels").where(crc("doc_id") % 5 != 0))
     return quality.score_quality(docs, trees).select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_ngram_join, op8_quality)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(_read(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_file.write_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file.read_documents(spark, written)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op4_ngram_join, op7_mixing, op8_quality, op9_warc, op10_token_file)}
 ORACLES: dict[str, str] = {}
