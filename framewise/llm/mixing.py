@@ -6,6 +6,7 @@ import itertools
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from framewise.llm.common import Scratch
 
 #: Documents whose inclusion probabilities move together; what a block leaves open meets again in a later block.
 BLOCK = 2000
+#: Units of a source that the landing settles, besides two that the flight leaves open.
+HELD = 12
 #: Sources whose totals the driver holds at most.
 MOST_SOURCES = 1_000_000
 
@@ -63,20 +66,36 @@ def flight(units: list[tuple[float, float]], rng: random.Random) -> tuple[list[f
 
 
 def landing(units: list[tuple[float, float]], p: list[float], left: list[int]) -> None:
-    """Settle the two open units at most so that tokens, then documents, stay nearest to their expectation."""
-    best = min(itertools.product((0.0, 1.0), repeat=len(left)), key=lambda pick: (abs(sum((v - p[i]) * units[i][0] for v, i in zip(pick, left, strict=True))), abs(sum(v - p[i] for v, i in zip(pick, left, strict=True))), pick))
-    for v, i in zip(best, left, strict=True):
+    """Settle the last open units: of all roundings whose document count is within 1 of its expectation, the one whose
+    tokens are nearest to theirs (at most 2 ** (HELD + 2) roundings)."""
+    if not left:
+        return
+    picks = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    off = picks - np.array([p[i] for i in left])
+    tokens, documents = np.abs(off @ np.array([units[i][0] for i in left])), np.abs(off.sum(axis=1))
+    best = np.lexsort((documents, tokens, documents > 1))[0]
+    for v, i in zip(picks[best], left, strict=True):
+        p[i] = float(v)
+
+
+def settle_last(units: list[tuple[float, float]], rng: random.Random) -> list[float]:
+    """Flight of a source's last block, in which HELD units of evenly spread sizes wait for the landing."""
+    held = sorted({round(k) for k in np.linspace(0, len(units) - 1, min(HELD, len(units)))})
+    rest = [i for i in range(len(units)) if i not in set(held)]
+    p = [u[1] for u in units]
+    moved, left = flight([units[i] for i in rest], rng)
+    for i, v in zip(rest, moved, strict=True):
         p[i] = v
+    landing(units, p, [rest[i] for i in left] + held)
+    return p
 
 
 def _settle(seed: int, level: int):
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key, rows, kept) -> None:
             units = [(float(size), p) for size, p in rows]
-            p, left = flight(units, random.Random(f"{seed}/{level}/{key[0]}/{key[1]}"))
-            if key[2] == 1:
-                landing(units, p, left)
-            kept += p
+            rng = random.Random(f"{seed}/{level}/{key[0]}/{key[1]}")
+            kept += settle_last(units, rng) if key[2] == 1 else flight(units, rng)[0]
 
         key, rows, held, p = None, [], [], []
         for batch in batches:
