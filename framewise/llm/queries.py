@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import language_id, mixing, ngram_join, quality, secrets, token_file, warc
+from framewise.llm import fingerprint, language_id, mixing, ngram_join, quality, secrets, token_file, warc
 from framewise.llm.common import crc
 
 
@@ -34,6 +34,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(k) for k in secrets.KINDS[:3]), F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_read(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(spark, written)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op4_ngram_join, op7_mixing, op8_quality, op9_warc, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op7_mixing, op8_quality, op9_warc, op10_token_file)}
 ORACLES: dict[str, str] = {}
