@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import fingerprint, language_id, mixing, ngram_join, quality, secrets, token_file, warc
+from framewise.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_file, warc
 from framewise.llm.common import crc
 
 
@@ -42,6 +42,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,5 +70,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(spark, written)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op7_mixing, op8_quality, op9_warc, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file)}
 ORACLES: dict[str, str] = {}
