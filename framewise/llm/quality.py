@@ -193,3 +193,18 @@ def score_quality(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
     return base.mapInArrow(predict, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def keep_quality(docs: DataFrame, trees: Trees | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose score reaches the threshold. Nothing is shuffled."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = text_buffer(batch.column(text_col))
+            good = [np.zeros(0, bool)]
+            for i, j in slices(off):
+                x = statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                good.append((trees.predict(x) if trees else np.full(len(x), 0.5)) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(keep, docs.schema)
