@@ -6,10 +6,12 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ from framewise.llm.common import Scratch
 
 MAGIC = b"DACODES1"
 #: Bits a chunk, bits a rank directory entry covers, ids a file (a document is never split).
-CHUNK, RANK, FILE_IDS = 8, 512, 4_000_000
-#: Distinct pieces of text whose ids a worker remembers.
-CACHE = 300_000
+CHUNK, RANK, FILE_IDS = 8, 512, 1_000_000
+#: Distinct pieces of text whose ids a worker remembers, in each of two generations.
+CACHE = 150_000
+#: The pattern of the byte-level pre-tokenizer (a fixed value of that tokenizer family).
+GPT_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def encode(ids: np.ndarray, starts: np.ndarray, names: list[int | None]) -> bytes:
@@ -30,13 +34,13 @@ def encode(ids: np.ndarray, starts: np.ndarray, names: list[int | None]) -> byte
     Level k holds the k-th lowest 8-bit chunk of every id that has one. Bit i of its bitmap tells whether entry i goes
     on in the next level, at the place that the count of set bits before i gives.
     """
-    body, levels, left = [], [], ids.astype(np.uint64)
+    body, levels, left = [], [], ids.astype(np.uint32)
     while len(left):
-        more = left >> np.uint64(CHUNK)
+        more = left >> np.uint32(CHUNK)
         go = more > 0
         bits = np.packbits(go, bitorder="little")
         ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(go.astype(np.int64), np.arange(0, len(go), RANK)))]).astype("<u8")
-        parts = [(left & np.uint64((1 << CHUNK) - 1)).astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()]
+        parts = [(left & np.uint32((1 << CHUNK) - 1)).astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()]
         levels.append({"n": len(left), "bytes": [len(p) for p in parts]})
         body += parts
         left = more[go]
@@ -100,16 +104,21 @@ class TokenFile:
 
 class Encoder:
     """Ids of whole texts. Texts are cut where a space stands between two non-white characters: there the byte-level
-    pre-tokenizer cuts too, so pieces can be encoded once each and remembered. A file without that pre-tokenizer is
-    applied to whole texts."""
+    pre-tokenizer cuts too, so pieces can be encoded once each and remembered. Pieces not met lately are cut further by
+    that pre-tokenizer itself. A file with another pre-tokenizer, or texts with an added token, are encoded whole.
+
+    Memory holds two generations of at most CACHE entries: what is used moves to the young one, the old one is dropped.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(tokenizer), {}
+        self.tokenizer = Tokenizer.from_file(tokenizer)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
+        self.pieces_, self.words = ({}, {}), ({}, {})
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -124,24 +133,52 @@ class Encoder:
         out.append(now)
         return out
 
+    def _met(self, both: tuple[dict, dict], keys: set[str]) -> tuple[tuple[dict, dict], list[str]]:
+        """The generations, with all known keys in the young one, and the unknown keys."""
+        young, old = both
+        if len(young) + len(keys) > CACHE and young:
+            young, old = {}, young
+        missing = []
+        for k in keys - young.keys():
+            if (v := old.get(k)) is None:
+                missing.append(k)
+            else:
+                young[k] = v
+        return (young, old), missing
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if not self.cut:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if not self.cut or any(a in t for a in self.added for t in texts):
+            return self._encode(texts)
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        if new := list({p for c in cut for p in c if p not in known}):
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        self.pieces_, new = self._met(self.pieces_, {p for c in cut for p in c})
+        if new:
+            split = [GPT_SPLIT.findall(p) for p in new]
+            self.words, fresh = self._met(self.words, {w for s in split for w in s})
+            words = self.words[0]
+            words.update(zip(fresh, self._encode(fresh), strict=True))
+            self.pieces_[0].update((p, b"".join([words[w] for w in s])) for p, s in zip(new, split, strict=True))
+        known = self.pieces_[0]
+        return [b"".join([known[p] for p in c]) for c in cut]
+
+
+#: A worker keeps its encoder from one task to the next.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer: str) -> Encoder:
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = Encoder(tokenizer)
+    return _ENCODERS[tokenizer]
 
 
 def _writer(folder: str, tokenizer: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, run = TaskContext.get().partitionId(), uuid.uuid4().hex
-        encoder, made, names, held, n = Encoder(tokenizer), [], [], [], 0
+        ids_of, made, names, held, n = encoder(tokenizer), [], [], [], 0
         stop = np.array([end], "<u4").tobytes()
 
         def flush() -> None:
@@ -155,7 +192,7 @@ def _writer(folder: str, tokenizer: str, end: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                ids = encoder([t or "" for t in few.column("text").to_pylist()])
+                ids = ids_of([t or "" for t in few.column("text").to_pylist()])
                 for name, x in zip(few.column("id").to_pylist(), ids, strict=True):
                     names.append(name)
                     held.append(x + stop)
@@ -174,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "d
     """Write the ids of all texts in ascending id order; returns (file, ids in all files before it) in order.
 
     Every task writes files under names of its own and names them in a committed table, so files of lost or repeated
-    tasks are never read. That table holds one row a file (about 4 million ids): it alone reaches the driver. Nulls count
+    tasks are never read. That table holds one row a file (about a million ids): it alone reaches the driver. Nulls count
     as empty texts, null ids come first, rows of one id are ordered by text. The end id follows each document.
     """
     scratch = Scratch(docs.sparkSession, "token-file")

@@ -182,4 +182,4 @@ def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
                 if rows:
                     yield told(rows)
 
-    return archives.repartition("uri").mapInArrow(load, f"`{id_col}` bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary")
+    return archives.repartition(max(1, archives.count()), "uri").mapInArrow(load, f"`{id_col}` bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary")
