@@ -219,7 +219,10 @@ def _sorter(length: int):
             nonlocal rows, carried
             h, ids, at, first = (np.array([r[c] for r in rows], np.int64) for c in range(4))
             before = at - first
-            least = covered(ids, before, [r[4] for r in rows], length)
+            index: dict[tuple[int, bytes], int] = {}  # equal contexts are sorted once; ids ascend, so the first has the least
+            which = np.array([index.setdefault((int(n), r[4]), len(index)) for n, r in zip(before, rows, strict=True)])
+            one = np.unique(which, return_index=True)[1]
+            least = covered(ids[one], before[one], [c for _, c in index], length)[which]
             hit = least < ids[:, None]
             hit[:carried] = False
             k, distance = np.nonzero(hit)
