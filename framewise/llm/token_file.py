@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -11,21 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm import files
-from framewise.llm.common import Scratch
+from framewise.llm.common import SPACE, Scratch, slices, text_buffer
 
 MAGIC = b"DACODES1"
 #: Bits a chunk, bits a rank directory entry covers, ids a file (a document is never split).
 CHUNK, RANK, FILE_IDS = 8, 512, 1_000_000
-#: Distinct pieces of text whose ids a worker remembers, in each of two generations.
-CACHE = 150_000
-#: The pattern of the byte-level pre-tokenizer (a fixed value of that tokenizer family).
-GPT_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Pieces of text whose ids a worker remembers, in each of two generations, and code points of the longest of them.
+CACHE, SHORT = 120_000, 64
+#: Bytes of text that are encoded at a time: equal pieces among them are encoded once.
+SLICE = 4 << 20
 
 
 def encode(ids: np.ndarray, starts: np.ndarray, names: list[int | None]) -> bytes:
@@ -102,15 +103,28 @@ class TokenFile:
         return self.ids(self.starts[k], self.starts[k + 1])
 
 
+def _solid(buf: np.ndarray) -> np.ndarray:
+    """Bytes that end a character which is surely not white: ASCII above the space, and longer ones whose first byte
+    begins no white character (others may be cut less, never wrongly)."""
+    out = (buf > 32) & (buf < 128)
+    if len(buf) and buf.max() >= 128:
+        out[1:] |= (buf[:-1] >= 0xC3) & (buf[:-1] <= 0xDF)
+        out[2:] |= (buf[:-2] == 0xE0) | ((buf[:-2] >= 0xE4) & (buf[:-2] <= 0xEF))
+        out[3:] |= buf[:-3] >= 0xF0
+    return out
+
+
 class Encoder:
-    """Ids of whole texts. Texts are cut where a space stands between two non-white characters: there the byte-level
-    pre-tokenizer cuts too, so pieces can be encoded once each and remembered. Pieces not met lately are cut further by
-    that pre-tokenizer itself. A file with another pre-tokenizer, or texts with an added token, are encoded whole.
+    """Ids of whole texts. Before white bytes that follow a character which is not white the byte-level pre-tokenizer
+    always cuts, whatever stands before, so texts are cut there, equal pieces of a batch are found by Arrow's dictionary
+    encoding, and each is encoded once and remembered. A file with another pre-tokenizer, or texts with an added token,
+    are encoded whole.
 
-    Memory holds two generations of at most CACHE entries: what is used moves to the young one, the old one is dropped.
+    Memory holds two generations of at most CACHE short pieces: what is used moves to the young one, the old one goes.
     """
 
     def __init__(self, tokenizer: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
@@ -118,51 +132,52 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.added = [t["content"] for t in spec.get("added_tokens", ())]
-        self.pieces_, self.words = ({}, {}), ({}, {})
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        raw = text.split(" ")
-        out, now = [], raw[0]
-        for p in raw[1:]:
-            if now and p and not now[-1].isspace() and not p[0].isspace():
-                out.append(now)
-                now = " " + p
-            else:
-                now += " " + p
-        out.append(now)
-        return out
-
-    def _met(self, both: tuple[dict, dict], keys: set[str]) -> tuple[tuple[dict, dict], list[str]]:
-        """The generations, with all known keys in the young one, and the unknown keys."""
-        young, old = both
-        if len(young) + len(keys) > CACHE and young:
-            young, old = {}, young
-        missing = []
-        for k in keys - young.keys():
-            if (v := old.get(k)) is None:
-                missing.append(k)
-            else:
-                young[k] = v
-        return (young, old), missing
+        self.young, self.old = {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if not self.cut or any(a in t for a in self.added for t in texts):
-            return self._encode(texts)
-        cut = [self.pieces(t) for t in texts]
-        self.pieces_, new = self._met(self.pieces_, {p for c in cut for p in c})
-        if new:
-            split = [GPT_SPLIT.findall(p) for p in new]
-            self.words, fresh = self._met(self.words, {w for s in split for w in s})
-            words = self.words[0]
-            words.update(zip(fresh, self._encode(fresh), strict=True))
-            self.pieces_[0].update((p, b"".join([words[w] for w in s])) for p, s in zip(new, split, strict=True))
-        known = self.pieces_[0]
-        return [b"".join([known[p] for p in c]) for c in cut]
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from memory where it has them."""
+        if len(self.young) + len(pieces) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = [young.get(p) for p in pieces]
+        missing = []
+        for k, x in enumerate(out):
+            if x is None:
+                if (x := old.get(pieces[k])) is None:
+                    missing.append(k)
+                else:
+                    out[k] = young[pieces[k]] = x
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            for k, x in zip(some, self._encode([pieces[k] for k in some]), strict=True):
+                out[k] = x
+                if len(pieces[k]) <= SHORT:
+                    young[pieces[k]] = x
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string array (null: empty), one after the other, and the offsets of each text."""
+        whole = not self.cut or any(pc.any(pc.match_substring(texts, a)).as_py() for a in self.added)
+        buf, off = text_buffer(texts)
+        if whole:
+            first = off[:-1][np.diff(off) > 0]
+        else:
+            cut = np.zeros(len(buf), bool)
+            cut[1:] = SPACE[buf[1:]] & _solid(buf)[:-1]
+            cut[off[:-1][np.diff(off) > 0]] = True
+            first = np.flatnonzero(cut)
+        at = np.append(first, len(buf)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(first), pa.py_buffer(at), pa.py_buffer(buf)).dictionary_encode()
+        ids = self._ids(found.dictionary.to_pylist()) if len(first) else []
+        which = found.indices.to_numpy()
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        begin, n = np.cumsum(size) - size, size[which]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.append(0, ends)[np.searchsorted(first, off)]
 
 
 #: A worker keeps its encoder from one task to the next.
@@ -178,27 +193,26 @@ def encoder(tokenizer: str) -> Encoder:
 def _writer(folder: str, tokenizer: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, run = TaskContext.get().partitionId(), uuid.uuid4().hex
-        ids_of, made, names, held, n = encoder(tokenizer), [], [], [], 0
-        stop = np.array([end], "<u4").tobytes()
+        ids_of, made, names, held, sizes, n = encoder(tokenizer), [], [], [], [], 0
 
         def flush() -> None:
-            nonlocal names, held, n
-            starts = np.concatenate([[0], np.cumsum([len(h) // 4 for h in held])])
+            nonlocal names, held, sizes, n
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             uri = f"{folder}/{part:06d}-{len(made):06d}-{run}.dac"
-            files.write(uri, encode(np.frombuffer(b"".join(held), "<u4"), starts, names))
+            files.write(uri, encode(np.concatenate(held), starts, names))
             made.append((part, len(made), uri, n, len(names)))
-            names, held, n = [], [], 0
+            names, held, sizes, n = [], [], [], 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                ids = ids_of([t or "" for t in few.column("text").to_pylist()])
-                for name, x in zip(few.column("id").to_pylist(), ids, strict=True):
-                    names.append(name)
-                    held.append(x + stop)
-                    n += len(x) // 4 + 1
-                    if n >= FILE_IDS:
-                        flush()
+            texts = batch.column("text")
+            for i, j in slices(text_buffer(texts)[1], SLICE):
+                ids, at = ids_of(texts.slice(i, j - i))
+                names += batch.column("id").slice(i, j - i).to_pylist()
+                held.append(np.insert(ids, at[1:], end).astype("<u4"))
+                sizes.append(np.diff(at) + 1)
+                n += len(held[-1])
+                if n >= FILE_IDS:
+                    flush()
         if names:
             flush()
         if made:
@@ -215,7 +229,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "d
     as empty texts, null ids come first, rows of one id are ordered by text. The end id follows each document.
     """
     scratch = Scratch(docs.sparkSession, "token-file")
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = base.repartitionByRange("id").sortWithinPartitions("id", "text")
     made = scratch.table(ordered.mapInArrow(_writer(scratch.folder(), tokenizer, end), "part int, seq int, uri string, ids bigint, docs bigint")).collect()
     out, at = [], 0
