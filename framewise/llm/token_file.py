@@ -24,7 +24,9 @@ MAGIC = b"DACODES1"
 #: Bits a chunk, bits a rank directory entry covers, ids a file (a document is never split).
 CHUNK, RANK, FILE_IDS = 8, 512, 1_000_000
 #: Pieces of text whose ids a worker remembers, in each of two generations, and code points of the longest of them.
-CACHE, SHORT = 120_000, 64
+CACHE, SHORT = 150_000, 64
+#: Files that one task reads.
+FILES = 8
 #: Bytes of text that are encoded at a time: equal pieces among them are encoded once.
 SLICE = 4 << 20
 
@@ -88,14 +90,17 @@ class TokenFile:
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """Ids a to b (exclusive); only their own entries are read on each level."""
-        out = np.zeros(b - a, np.uint64)
-        where = np.arange(b - a)
+        out, where = np.zeros(b - a, np.uint32), None
         for k, (chunks, bits, _) in enumerate(self.levels):
             if b <= a:
                 break
-            out[where] |= chunks[a:b].astype(np.uint64) << np.uint64(CHUNK * k)
-            go = np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
-            where, a = where[go], self._rank(k, a)
+            more = chunks[a:b].astype(np.uint32) << np.uint32(CHUNK * k)
+            if where is None:
+                out |= more
+            else:
+                out[where] |= more
+            go = np.flatnonzero(np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a])
+            where, a = go if where is None else where[go], self._rank(k, a)
             b = a + len(where)
         return out
 
@@ -103,22 +108,45 @@ class TokenFile:
         return self.ids(self.starts[k], self.starts[k + 1])
 
 
-def _solid(buf: np.ndarray) -> np.ndarray:
-    """Bytes that end a character which is surely not white: ASCII above the space, and longer ones whose first byte
-    begins no white character (others may be cut less, never wrongly)."""
-    out = (buf > 32) & (buf < 128)
+#: Byte classes: white, ASCII letter, ASCII digit, other printable ASCII but the apostrophe (which may begin a word).
+WHITE, LETTER, DIGIT, SIGN = 1, 2, 3, 4
+CLASS = np.zeros(256, np.uint8)
+CLASS[33:127] = SIGN
+CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[39] = 0
+CLASS[np.flatnonzero(SPACE)] = WHITE
+
+
+def _cuts(buf: np.ndarray) -> np.ndarray:
+    """Places (a byte of each true) before which the byte-level pre-tokenizer cuts whatever else stands around.
+
+    No match of its pattern goes on from a character that is not white to a white one, nor from one class (letter, digit,
+    sign) to another, but for white before a word and the apostrophe. Characters of more than one byte have a class only
+    where the first byte tells it: others are cut less, never wrongly.
+    """
+    kind = CLASS[buf]
     if len(buf) and buf.max() >= 128:
-        out[1:] |= (buf[:-1] >= 0xC3) & (buf[:-1] <= 0xDF)
-        out[2:] |= (buf[:-2] == 0xE0) | ((buf[:-2] >= 0xE4) & (buf[:-2] <= 0xEF))
-        out[3:] |= buf[:-3] >= 0xF0
+        # two bytes: U+0100 to U+024F are letters, and so are U+00C0 to U+00FF but for two signs; any class suffices before white
+        kind[1:][(buf[:-1] >= 0xC4) & (buf[:-1] <= 0xC8)] = LETTER
+        kind[1:][(buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)] = LETTER
+        ends = np.zeros(len(buf), bool)
+        ends[1:] = (buf[:-1] >= 0xC3) & (buf[:-1] <= 0xDF)
+        ends[2:] |= (buf[:-2] == 0xE0) | ((buf[:-2] >= 0xE4) & (buf[:-2] <= 0xEF))
+        ends[3:] |= buf[:-3] >= 0xF0
+    else:
+        ends = np.zeros(len(buf), bool)
+    out = np.zeros(len(buf), bool)
+    before, after = kind[:-1], kind[1:]
+    out[1:] = (after == WHITE) & ((before > WHITE) | (buf[:-1] == 39) | ends[:-1])
+    out[1:] |= (before > WHITE) & (after > WHITE) & (before != after) & (buf[1:] < 128)
     return out
 
 
 class Encoder:
-    """Ids of whole texts. Before white bytes that follow a character which is not white the byte-level pre-tokenizer
-    always cuts, whatever stands before, so texts are cut there, equal pieces of a batch are found by Arrow's dictionary
-    encoding, and each is encoded once and remembered. A file with another pre-tokenizer, or texts with an added token,
-    are encoded whole.
+    """Ids of whole texts. They are cut where the byte-level pre-tokenizer surely cuts, equal pieces of a batch are found
+    by Arrow's dictionary encoding, and each is encoded once and remembered. A file with another pre-tokenizer, or texts
+    with an added token, are encoded whole.
 
     Memory holds two generations of at most CACHE short pieces: what is used moves to the young one, the old one goes.
     """
@@ -165,8 +193,7 @@ class Encoder:
         if whole:
             first = off[:-1][np.diff(off) > 0]
         else:
-            cut = np.zeros(len(buf), bool)
-            cut[1:] = SPACE[buf[1:]] & _solid(buf)[:-1]
+            cut = _cuts(buf)
             cut[off[:-1][np.diff(off) > 0]] = True
             first = np.flatnonzero(cut)
         at = np.append(first, len(buf)).astype(np.int32)
@@ -240,7 +267,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "d
 
 
 def read_documents(spark, written: list[tuple[str, int]], id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, read back from the files; one task reads one file at a time."""
+    """(id, start, n_tokens, ids_crc32) of every document, read back from the files; a task reads FILES files, one at a time."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,4 +280,4 @@ def read_documents(spark, written: list[tuple[str, int]], id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(f.names, pa.int64()), pa.array(s[:-1] + base), pa.array(np.diff(s)), pa.array(crcs, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
     n = len(written)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(load, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spark.range(0, n, 1, max(1, -(-n // FILES))).mapInArrow(load, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
