@@ -194,8 +194,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     made = with_canonical(with_canonical(made, "text", "c"), "edited", "e")
     ha, hb, ea, eb = (*wide_hash(F.col("c")), *wide_hash(F.col("e")))
     made = scratch.table(made.select("id", "ta", "tb", "n", "sha", ha.alias("a"), hb.alias("b"), ea.alias("ea"), eb.alias("eb"), (F.col("c") == F.col("e")).alias("same")))
-    hashed = with_canonical(base, "text", "c").select("ta", "tb", "c", ha.alias("a"), hb.alias("b"))
-    clash = _clashes(hashed, made.groupBy("a", "b").agg(F.count("*").alias("copies")), scratch)
+    # only texts of buckets that several rows share are folded once more, after they have been picked
+    shared = scratch.table(made.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1"))
+    picked = scratch.table(attach(made.select("ta", "tb", "a", "b"), shared, ["a", "b"], "copies").groupBy("ta", "tb").agg(F.count("*").alias("n")))
+    texts = attach(base.select("ta", "tb", "text"), picked, ["ta", "tb"], "n").select("ta", "tb", "text")
+    hashed = with_canonical(texts, "text", "c").select("ta", "tb", "c", ha.alias("a"), hb.alias("b"))
+    compared = hashed.groupBy("a", "b").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    clash = scratch.table(compared.where("least != most").select("a", "b", F.lit(True).alias("clash")))
     told = made.withColumn("f", _hex("a", "b"))
     if not clash.isEmpty():
         split = hashed.join(clash, ["a", "b"], "left_semi").select("ta", "tb", F.sha2("c", 256).alias("more")).distinct()
