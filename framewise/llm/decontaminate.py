@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ SIZES = (1, 4, 8, 16)
 LANES = sum(1 << (7 * k) for k in range(9))
 #: Blocks (first bit, bits) of a fingerprint. Within RADIUS bits, some block differs in at most RADIUS // 4.
 BLOCKS, RADIUS = ((0, 16), (16, 16), (32, 16), (48, 15)), 7
-#: Items that are searched at a time: bounds what is broadcast (at most 8 windows x 68 keys an item).
-ITEMS = 1000
+#: Items, and windows of them, that are searched at a time: bound what is broadcast (8 windows x 68 keys and one key a window).
+ITEMS, PLACES = 1000, 200_000
+#: Number of the block that is the whole fingerprint.
+WHOLE = len(BLOCKS)
 WHITE = " \t\n\r\f\x0b"
 
 
@@ -62,10 +65,56 @@ def _block(f: Column, k: int) -> Column:
     return F.shiftright(f, first).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def item_index(items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(size, block, key, f, item, offset, words) for every item window and every key near one of its blocks.
+def least_lengths(threshold: float, repeats: int) -> list[tuple[int, int]]:
+    """(size, least shingles) by falling size: an item of so many shingles shares with every passage of its own length
+    (one word more or less, or cut off by the text) that reaches `threshold` a run of size + STRIDE - 1 shingles at least.
 
-    Windows begin at the first STRIDE places of the item and at the last STRIDE: document windows lie STRIDE apart, so one
+    A passage that shares s shingles has 1 / threshold - 1 times s others at most, its own and the item's. Where two runs
+    meet in the passage at least 4 - `repeats` (the words of the longest word sequence the item holds twice) of its
+    shingles are new, and as many of the item's are lost, but for one word of length. Longer repeats prove nothing: only
+    single shingles are sure, as STRIDE of them are taken at each place.
+    """
+    out = [(SIZES[0], 1)]
+    if repeats < WIDTH - 1:
+        for size in SIZES[1:]:
+            good = None
+            for shared in range(2000, 0, -1):
+                runs = 1 + int(((1 / threshold - 1) * shared + 1 + 1e-9) / (2 * (WIDTH - 1 - repeats)))
+                if -(-shared // runs) < size + STRIDE - 1:
+                    break
+                good = shared
+            if good:
+                out.append((size, next(n for n in itertools.count(good) if math.ceil(threshold * n - 1e-9) >= good)))
+    return out[::-1]
+
+
+def _whole_windows(items: DataFrame, threshold: float) -> DataFrame:
+    """(size, block, key, f, item, n, offset): one row for every window of every item, at every phase, keyed by its
+    whole fingerprint. The sizes are those of `least_lengths`, so that no passage at `threshold` is missed."""
+    n = F.size("words") - WIDTH + 1
+
+    def twice(k: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.array_join(F.slice("words", i, F.lit(k)), " "))
+        return F.size(F.array_distinct(grams)) < F.size(grams)
+
+    repeats = F.coalesce(*(F.when(twice(k), k) for k in range(WIDTH - 1, 0, -1)), F.lit(0))
+    choices = [F.when((F.col("repeats") == k) & (F.col("n") >= least), size) for k in range(WIDTH) for size, least in least_lengths(threshold, k)]
+    fit = items.withColumns({"n": n, "repeats": repeats}).withColumn("size", F.coalesce(*choices))
+    near = fit.select("item", "n", "size", "words", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("offset"))
+    near = _fingerprints(near.select("item", "n", "size", "offset", F.slice("words", F.col("offset") + 1, max(SIZES) + WIDTH - 1).alias("w")), "w", SIZES)
+    near = near.withColumn("f", F.coalesce(*(F.when(F.col("size") == s, F.col(f"f{s}")) for s in SIZES)))
+    return near.select("size", F.lit(WHOLE).alias("block"), _whole(F.col("f")).alias("key"), "f", "item", "n", "offset")
+
+
+def _whole(f: Column) -> Column:
+    return f.bitwiseXOR(F.shiftright(f, 32)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def item_index(items: DataFrame, radius: int = RADIUS, threshold: float = 0.8) -> DataFrame:
+    """(size, block, key, f, item, n, offset): every window of every item by its whole fingerprint, and windows at the
+    ends of the item by every key near one of their blocks; n counts the item's shingles.
+
+    Those at the ends begin at the first STRIDE places of the item and at the last STRIDE: document windows lie STRIDE apart, so one
     of them meets one of the first windows exactly, and one the last. A block's key takes every value within radius // 4
     flips, so by the pigeonhole principle a document window within `radius` bits shares a key.
     """
@@ -74,17 +123,18 @@ def item_index(items: DataFrame, radius: int = RADIUS) -> DataFrame:
     fit = items.withColumn("size", size).where(n >= 1)
     last = F.size("words") - WIDTH + 1 - F.col("size")
     places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.least(F.lit(STRIDE - 1), last)), F.sequence(F.greatest(F.lit(0), last - STRIDE + 1), last)))
-    near = fit.select("item", "size", "words", F.explode(places).alias("offset"))
+    near = fit.select("item", n.alias("n"), "size", "words", F.explode(places).alias("offset"))
     near = _fingerprints(near.withColumn("w", F.slice("words", F.col("offset") + 1, max(SIZES) + WIDTH - 1)), "w", SIZES)
     f = F.coalesce(*(F.when(F.col("size") == s, F.col(f"f{s}")) for s in SIZES))
-    near = near.select("item", "size", "words", "offset", f.alias("f"))
+    near = near.select("item", "n", "size", "offset", f.alias("f"))
     flips = [[sum(1 << b for b in c) for d in range(radius // len(BLOCKS) + 1) for c in itertools.combinations(range(bits), d)] for _, bits in BLOCKS]
 
     def around(k: int) -> Column:
         return F.transform(F.array(*map(F.lit, flips[k])), lambda m: F.struct(F.lit(k).alias("block"), _block(F.col("f"), k).bitwiseXOR(m).alias("key")))
 
     keys = F.concat(*map(around, range(len(BLOCKS))))
-    return near.select("item", "size", "offset", "f", F.explode(keys).alias("k")).select("item", "size", "offset", "f", "k.block", "k.key")
+    ends = near.select("item", "n", "size", "offset", "f", F.explode(keys).alias("k")).select("size", "k.block", "k.key", "f", "item", "n", "offset")
+    return ends.unionByName(_whole_windows(items, threshold))
 
 
 def windows(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -134,10 +184,10 @@ def _likeness(a: str, b: str) -> Column:
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(id, item, place, similarity): passages of documents that repeat a benchmark item.
 
-    Every window of every whole text is fingerprinted; all windows within `radius` bits of a window of an item are
-    candidates (multi-index, no misses within the radius). A candidate passage, and those that begin or end a word or
-    two apart, are compared with the whole item by weighted Jaccard of 5-word shingles; the best at `threshold` or more
-    is kept. Items under 5 words have no shingle and match nothing, as do such texts. Null ids of documents are kept
+    Every window of every whole text is fingerprinted; all windows within `radius` bits of a window at an item's ends,
+    and all that equal any window of an item, are candidates (`least_lengths`: no passage at `threshold` lacks one). All
+    passages of the item's length, or a word more or less, that hold a candidate are compared with the whole item by
+    weighted Jaccard of 5-word shingles; the best at `threshold` or more is kept. Items under 5 words have no shingle and match nothing, as do such texts. Null ids of documents are kept
     apart by null-safe joins; rows that share an id share their matches; equal items all match.
     """
     spark = docs.sparkSession
@@ -145,30 +195,36 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     listed = items.select(F.col(item_col).alias("item"), words(F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= WIDTH)
     listed = scratch.table(listed.distinct())
-    parts = -(-listed.count() // ITEMS)
+    number, places = listed.agg(F.count("*"), F.sum(F.size("words"))).first()
+    parts = max(-(-number // ITEMS), -(-(places or 0) // PLACES))
     listed = listed.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(max(parts, 1))))
     found = None
     for part in range(parts):
-        index = scratch.table(item_index(listed.where(F.col("part") == part), radius))
+        index = scratch.table(item_index(listed.where(F.col("part") == part), radius, threshold))
         sizes = tuple(sorted(r.size for r in index.select("size").distinct().collect()))
         if not sizes:
             continue
-        keys = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("f"), k).alias("key")) for k in range(len(BLOCKS))))
+        keys = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("f"), k).alias("key")) for k in range(len(BLOCKS))), F.struct(F.lit(WHOLE).alias("block"), _whole(F.col("f")).alias("key")))
         asked = windows(base, sizes).select("id", "pos", "size", "f", F.explode(keys).alias("k")).select("id", "pos", F.col("size").alias("wsize"), F.col("f").alias("wf"), F.col("k.block").alias("wblock"), F.col("k.key").alias("wkey"))
         near = (F.col("wkey") == F.col("key")) & (F.col("wblock") == F.col("block")) & (F.col("wsize") == F.col("size")) & (F.bit_count(F.col("wf").bitwiseXOR(F.col("f"))) <= radius)
-        got = asked.join(F.broadcast(index), near).select("id", "item", (F.col("pos") - F.col("offset")).alias("place")).distinct()
+        got = asked.join(F.broadcast(index), near).select("id", "item", "n", F.floor((F.col("pos") - F.col("offset")) / F.col("n")).cast("int").alias("cell")).distinct()
         found = got if found is None else found.union(got)
     kind = base.schema["id"].dataType.simpleString()
     if found is None:
         return spark.createDataFrame([], f"`{id_col}` {kind}, item {listed.schema['item'].dataType.simpleString()}, place int, similarity double")
     asked = scratch.table(found.distinct())
-    full = base.alias("d").join(asked.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("c.id", "c.item", "c.place", words(F.col("d.text")).alias("w"))
-    full = full.join(F.broadcast(listed.where(F.col("part") >= 0)) if parts <= 1 else listed, "item")
-    moves = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(e).alias("e")) for d in (-2, -1, 0, 1, 2) for e in (-1, 0, 1)))
-    first = F.greatest(F.lit(0), F.col("place") + F.col("m.d"))
-    size = F.size("words") + F.col("m.e")
-    tried = full.select("id", "item", "words", "place", F.explode(moves).alias("m"), "w").select("id", "item", "words", first.alias("at"), F.slice("w", first + 1, F.greatest(size, F.lit(0))).alias("x")).where(F.size("x") >= WIDTH)
-    cut = tried.select("id", "item", "at", _shingles(F.col("x")).alias("a"), _shingles(F.col("words")).alias("b"))
+    full = base.alias("d").join(asked.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("c.id", "c.item", "c.n", "c.cell", words(F.col("d.text")).alias("w"))
+    first = F.greatest(F.lit(0), (F.col("cell") - 1) * F.col("n"))
+    full = full.select("id", "item", "n", first.alias("first"), F.slice("w", first + 1, 4 * F.col("n") + 2 * WIDTH).alias("w")).where(F.size("w") >= WIDTH)
+    listed = listed.withColumns({"n": F.size("words") - WIDTH + 1, "b": _shingles(F.col("words"))}).drop("words", "part")
+    full = full.join(F.broadcast(listed) if parts <= 1 else listed, ["item", "n"]).withColumn("a", _shingles(F.col("w")))
+    # Of an item's shingles a passage must hold `threshold`: so must its surroundings, and each start that is tried.
+    need = F.ceil(threshold * F.col("n") - 1e-9)
+    full = full.where(F.col("n") - F.size(F.array_except("b", "a")) >= need).withColumn("held", F.transform("a", lambda x: F.array_contains("b", x)))
+    starts = F.filter(F.sequence(F.lit(1), F.size("a")), lambda i: F.size(F.filter(F.slice("held", i, F.col("n") + 1), lambda x: x)) >= need)
+    tried = full.select("id", "item", "n", "first", "a", "b", F.explode(starts).alias("start"))
+    tried = tried.select("id", "item", "first", "start", "a", "b", F.explode(F.array(*(F.col("n") + e for e in (-1, 0, 1)))).alias("m")).where("m > 0")
+    cut = tried.select("id", "item", (F.col("first") + F.col("start") - 1).alias("at"), F.slice("a", F.col("start"), F.col("m")).alias("a"), "b")
     rated = cut.select("id", "item", "at", _likeness("a", "b").alias("similarity"))
     kept = rated.where(F.col("similarity") >= threshold - 1e-9)
     best = kept.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("b"))

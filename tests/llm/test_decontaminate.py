@@ -62,6 +62,35 @@ def test_edited_passages_of_all_sizes(spark):
     assert {(r.doc_id, r.item) for r in decontaminate.matches(frame, bench).collect()} == want == set(brute(docs, items))
 
 
+def test_long_items_with_several_edits_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    items = {i: [word() for _ in range(n)] for i, n in enumerate([100, 200, 200, 300, 60, 60, 13, 25])}
+    items[8] = [f"of{k % 2} the{k % 3} same{k % 7}" for k in range(70)]
+    items[8] = " ".join(items[8]).split()
+    docs = {}
+    for i, w in items.items():
+        n = len(w)
+        for phase in range(4):
+            new, less, more, turned = list(w), list(w), list(w), w[n // 3 :] + w[: n // 3]
+            for at in (8, n - 9) if n >= 100 else (2,) if n > 50 else (n - 1,):
+                new[at] = word()
+            for at in [n - 9, n // 2, 8][: max(1, n // 50)]:
+                del less[at]
+                more.insert(at, word())
+            for p in (new, less, more, turned):
+                docs[len(docs)] = [word() for _ in range(20 + phase)] + p + [word() for _ in range(9)]
+    three = list(items[1])
+    for at in (9, 100, 190):
+        three[at] = word()
+    docs[len(docs)] = ["x"] + three
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    want = brute(docs, items)
+    got = {(r.doc_id, r.item): round(r.similarity, 9) for r in decontaminate.matches(frame, bench).collect()}
+    assert got == want and len(want) > 80
+
+
 def test_odd_rows(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(None, item, 1), (1, None, 1), (2, "", 1), (3, "one two", 1), (4, f"x {item}", 1), (4, f"x {item}", 1), (5, "a " * 50000 + item, 1)]
