@@ -188,16 +188,17 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     and all that equal any window of an item, are candidates (`least_lengths`: no passage at `threshold` lacks one). All
     passages of the item's length, or a word more or less, that hold a candidate are compared with the whole item by
     weighted Jaccard of 5-word shingles; the best at `threshold` or more is kept. Items under 5 words have no shingle and match nothing, as do such texts. Null ids of documents are kept
-    apart by null-safe joins; rows that share an id share their matches; equal items all match.
+    apart by null-safe joins, items are joined by a number of their own, so that a null id is as good as any; rows that share an id share their matches; equal items all match.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     listed = items.select(F.col(item_col).alias("item"), words(F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= WIDTH)
-    listed = scratch.table(listed.distinct())
+    listed = scratch.table(listed.distinct().select(F.monotonically_increasing_id().alias("number"), F.col("item").alias("name"), "words"))
+    names, listed = listed.select("number", "name"), listed.select(F.col("number").alias("item"), "words")
     number, places = listed.agg(F.count("*"), F.sum(F.size("words"))).first()
     parts = max(-(-number // ITEMS), -(-(places or 0) // PLACES))
-    listed = listed.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(max(parts, 1))))
+    listed = listed.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(max(parts, 1))))
     found = None
     for part in range(parts):
         index = scratch.table(item_index(listed.where(F.col("part") == part), radius, threshold))
@@ -211,7 +212,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         found = got if found is None else found.union(got)
     kind = base.schema["id"].dataType.simpleString()
     if found is None:
-        return spark.createDataFrame([], f"`{id_col}` {kind}, item {listed.schema['item'].dataType.simpleString()}, place int, similarity double")
+        return spark.createDataFrame([], f"`{id_col}` {kind}, item {names.schema['name'].dataType.simpleString()}, place int, similarity double")
     asked = scratch.table(found.distinct())
     full = base.alias("d").join(asked.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("c.id", "c.item", "c.n", "c.cell", words(F.col("d.text")).alias("w"))
     first = F.greatest(F.lit(0), (F.col("cell") - 1) * F.col("n"))
@@ -227,13 +228,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     cut = tried.select("id", "item", (F.col("first") + F.col("start") - 1).alias("at"), F.slice("a", F.col("start"), F.col("m")).alias("a"), "b")
     rated = cut.select("id", "item", "at", _likeness("a", "b").alias("similarity"))
     kept = rated.where(F.col("similarity") >= threshold - 1e-9)
-    best = kept.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("b"))
+    named = kept.join(F.broadcast(names) if parts <= 1 else names, F.col("item") == F.col("number")).select("id", F.col("name").alias("item"), "at", "similarity")
+    best = named.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("b"))
     return scratch.table(best.select(F.col("id").alias(id_col), "item", (-F.col("b.at")).alias("place"), F.col("b.similarity").alias("similarity")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document row: (id, contaminated, items array, similarity: the best, null without a match)."""
     found = matches(docs, items, id_col, **options)
-    told = found.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("similarity").alias("similarity"))
+    told = found.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.transform(F.collect_set(F.struct("item")), lambda x: x["item"])).alias("items"), F.max("similarity").alias("similarity"))
     ids = docs.select(id_col)
     return ids.join(told, ids[id_col].eqNullSafe(told["_id"]), "left").select(id_col, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array()).alias("items"), "similarity")

@@ -100,3 +100,11 @@ def test_odd_rows(spark):
     assert sorted((str(r.doc_id), r.contaminated) for r in got) == sorted([("None", True), ("1", False), ("2", False), ("3", False), ("4", True), ("4", True), ("5", True)])
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, bench.where("false")).collect())
     assert decontaminate.decontaminate(docs.where("false"), bench).count() == 0
+
+
+def test_items_without_id(spark):
+    first, other = ([f"{c}{i}" for i in range(20)] for c in "ab")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([first, ["x", *other], ["x"] * 9])], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(first)), (None, " ".join(other)), (7, " ".join(other))], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r["items"]) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {0: (True, [None]), 1: (True, [7, None]), 2: (False, [])}
