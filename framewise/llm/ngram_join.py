@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewise.llm.common import Scratch, attach, mix, shingles, slices, text_buffer
 from framewise.llm.graph import components
@@ -170,6 +171,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is a star, stars are joined to candidate clusters, and every pair within a cluster is verified on full shingle
     sets, in blocks of BLOCK nodes. Blocks return a spanning forest and link counts, never the pairs.
     """
+    joined = _classes(docs, id_col, text_col, width, threshold, recall)
+    return joined.select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
+    """(id, node, comp, class_id, n_links) of every row: node identifies its shingle set, comp its class."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     bands, rows = choose_bands(threshold, recall)
@@ -196,16 +203,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = nodes.drop("bands").join(joined, "node", "left").join(links, "node", "left")
     full = scratch.table(full.select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     named = scratch.table(full.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")))
-    told = scratch.table(attach(full, named, ["comp"], "n").select("node", "copies", "class_id", "n_links"))
-    return attach(signed.select("id", "node"), told, ["node"], "copies").select(F.col("id").alias(id_col), "class_id", "n_links")
+    told = scratch.table(attach(full, named, ["comp"], "n").select("node", "copies", "comp", "class_id", "n_links"))
+    return attach(signed.select("id", "node"), told, ["node"], "copies").select("id", "node", "comp", "class_id", "n_links")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stand for their near-duplicate class: those with the least id, all columns kept.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, **options) -> DataFrame:
+    """One row of `docs` for each near-duplicate class, all columns kept: the one with the least id, null counting last.
 
-    Rows of one class that share the least id count as one: one of them stays (the least text).
+    Of the rows of a class that share the least id, that of the least text stays. Rows of other classes may share it too:
+    they stand for their own.
     """
-    joined = jaccard_join(docs, id_col, text_col, **options)
-    keep = joined.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_kept"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    joined = _classes(docs, id_col, text_col, width, **options)
+    keep = joined.where(F.col("class_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("_kept"), F.col("node").alias("_of"), F.col("comp").alias("_comp")).distinct()
+    cast = docs.withColumn("_text", F.col(text_col).cast("string")) if docs.schema[text_col].dataType.simpleString() != "string" else docs
+    names = [*cast.columns, "_node"]
+    at = names.index("_text" if "_text" in names else text_col)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = text_buffer(batch.column(at))
+            nodes = [d for i, j in slices(off) for d in _digests(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], width))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names)
+
+    rows = cast.mapInArrow(add, T.StructType([*(T.StructField(f.name, f.dataType) for f in cast.schema), T.StructField("_node", T.BinaryType())]))
+    rows = rows.join(keep, rows[id_col].eqNullSafe(keep["_kept"]) & (rows["_node"] == keep["_of"]))
+    least = rows.groupBy("_comp").agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("_row"))
+    return least.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -68,6 +68,13 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(None, 1, 1), (1, 1, 1), (1, 1, 0), (None, None, 0), (None, None, 0)], key=str)
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    rows = [(1, "a b c d e f", 0), (1, "q r s", 0), (1, "Q r s", 1), (2, "q r  s", 0), (None, "z", 0), (None, "y", 0), (None, "Y", 2), (None, None, 0), (None, " ", 0), (3, "m n", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    want = [(1, "a b c d e f", 0), (1, "Q r s", 1), (None, "z", 0), (None, "Y", 2), (None, None, 0), (3, "m n", 0)]
+    assert sorted(map(tuple, representatives(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)] + [(500, 501), (501, 500)]
     got = graph.components(Scratch(spark, "test"), spark.createDataFrame(chain, "u long, v long"))
