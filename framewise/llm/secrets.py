@@ -127,29 +127,29 @@ class Automaton:
 
 
 class Formats:
-    """Automata of each labelled kind against one of ordinary runs; a candidate scores the best log ratio a character."""
+    """Automata of each labelled kind against one of ordinary runs; a candidate gains the best log likelihood ratio.
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    A run that the ordinary automaton makes gains log(kinds / error) or more with probability `error` at most, as no
+    likelihood ratio has an expectation over 1. So the threshold rests on no sample's extremes. The ordinary sample is not
+    labelled: the runs that reach the threshold are left out of it, and its automaton is inferred again.
+    """
+
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], error: float = 1e-4):
         self.kinds = {k: Automaton(v) for k, v in sorted(labelled.items()) if len(v) >= 5}
+        self.threshold = math.log(max(1, len(self.kinds)) / error)
         self.plain = Automaton(ordinary) if ordinary else None
-        scores = sorted(self.score(s) for s in ordinary if self.eligible(s)) if self.kinds else []
-        #: No eligible ordinary run of the labelled sample reaches it.
-        self.threshold = max(0.25, scores[-1] + 0.01) if scores else 0.25
-
-    @staticmethod
-    def eligible(s: str) -> bool:
-        """Enough characters to judge, with both digits and letters."""
-        return len(s) >= 16 and sum(c.isdigit() for c in s) >= 3 and any(c.isalpha() for c in s)
+        if self.kinds and (kept := [s for s in ordinary if self.gain(s) < self.threshold]) and len(kept) < len(ordinary):
+            self.plain = Automaton(kept)
 
-    def score(self, s: str) -> float:
+    def gain(self, s: str) -> float:
         plain = self.plain.likelihood(s) if self.plain else -4.0 * len(s)
-        return (max(a.likelihood(s) for a in self.kinds.values()) - plain) / len(s)
+        return max(a.likelihood(s) for a in self.kinds.values()) - plain
 
     def found(self, text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not self.kinds:
             return []
         free = [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in base)]
-        return [(a, 3, b) for a, b in free if self.eligible(text[a:b]) and self.score(text[a:b]) >= self.threshold]
+        return [(a, 3, b) for a, b in free if self.gain(text[a:b]) >= self.threshold]
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,22 @@ def test_inferred_formats():
     assert [text[a:b] for a, _, b in f.found(text, runs, base)] == ["ghK3j9XwPq82LmZx71VtRb40"]
 
 
+def test_formats_do_not_depend_on_the_ordinary_sample():
+    import random
+
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    mixed, hidden = [some(rng.randint(12, 40)) for _ in range(400)], [some(rng.randint(20, 40)) for _ in range(20)]
+    plain_ = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(12, 25))) for _ in range(500)]
+    clean = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(12, 25))) for _ in range(500)]
+    for ordinary in (plain_, plain_ + hidden):
+        f = secrets.Formats({"assign": mixed[:320]}, ordinary)
+        found = lambda s, f=f: bool(f.found(s, [(0, len(s))], []))
+        assert sum(map(found, mixed[320:])) >= 76  # labelled, held out
+        assert sum(map(found, hidden)) >= 19 and sum(map(found, clean)) == 0
+        assert found("ghKWjXwPqZLm") and found("K3jXwPqZLmTv")  # 12 characters, few digits or none
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, "a"), (1, "", "a"), (1, "token=abcdefghijklmnop " * 5000, "a"), (2, "x", None)], "doc_id long, text string, spans string")
     got = secrets.scan_secrets(docs, secrets.fit_formats(docs)).collect()
