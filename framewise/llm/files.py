@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyarrow import fs
 
@@ -19,6 +20,14 @@ def write(uri: str, data: bytes) -> None:
         out.write(data)
 
 
+def write_once(uri: str, data: bytes) -> None:
+    """Write a file that every attempt of a task would write alike: readers see all of it or nothing."""
+    store, path = place(uri)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        write(part := f"{uri}-{uuid.uuid4().hex}", data)
+        store.move(place(part)[1], path)
+
+
 def open_stream(uri: str):
     store, path = place(uri)
     return store.open_input_stream(path, compression=None)

@@ -3,34 +3,42 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import Scratch, mix, slices, text_buffer
+from framewise.llm import files
+from framewise.llm.common import Scratch, mix, text_buffer
 
 #: A perfect difference cover modulo 31: every residue is a difference of two members.
 MODULUS, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of an anchor; contexts that one sort holds at most (a larger group goes on in the next sort).
 ANCHOR, BLOCK = 18, 40_000
-MANY_COPIES = 200
-
-
-def _gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes at every place that has them, by doubling."""
-    h, out, have, base = buf.astype(np.uint64) + np.uint64(1), None, 0, np.uint64(0x9E3779B97F4A7C15)
-    size, power, at = 1, base, 0
-    while True:
-        if k >> at & 1:
-            out = h.copy() if out is None else out[: len(buf) - have - size + 1] * power + h[have : have + len(buf) - have - size + 1]
-            have += size
-        if have == k:
-            return mix(out)
-        h = h[: len(h) - size] * power + h[size:]
-        size, power, at = size * 2, power * power, at + 1
+#: Bytes of text in a chunk file (one text may be larger), and bytes whose anchors are found at a time (their places take 16 bits).
+CHUNK, SEGMENT, PLACE = 16 << 20, 60_000, np.uint64(0xFFFF)
+#: Odd multipliers of the hash.
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Bytes of text whose anchors' hashes meet in one group, and groups at most.
+GROUP, GROUPS = 32 << 20, 20_000
+#: Contexts of one anchor beyond which its suffix bucket is split by distance (SPLIT to a part) and the bytes around it.
+HOT, SPLIT = 2000, 9
+
+
+def _gram_hashes(buf: np.ndarray) -> np.ndarray:
+    """Hash of the ANCHOR bytes at every place that has them, from the 8-byte words that cover them."""
+    n, out = len(buf) - ANCHOR + 1, None
+    for k, at in enumerate((*range(0, ANCHOR - 7, 8), ANCHOR - 8)):
+        word = np.ndarray((n,), "<u8", buf.data, at, (1,)) * np.uint64(ODD[k])
+        out = word if out is None else np.add(out, word, out=out)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(ODD[-1])
+    return mix(out)
 
 
 def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -43,80 +51,175 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return y
 
 
-def anchors(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first, last): the anchors of one text of at least `length` bytes.
+def anchors(buf: np.ndarray, length: int, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first, last): the anchors of the strings of `length` bytes that start where `ok`.
 
-    The anchor of a string of `length` bytes is the leftmost of its ANCHOR-byte grams of least hash; it depends on the
-    string alone, so equal strings have equal anchors at the same distance. first and last are the starts of the strings
-    that have this anchor.
+    The anchor of a string is the leftmost of its ANCHOR-byte grams of least hash (48 bits); it depends on the string alone,
+    so equal strings have equal anchors at the same distance. first and last bound the (adjacent) starts of the strings
+    that have this anchor. Buffers are searched by overlapping segments: an anchor may appear once in each.
     """
-    h = _gram_hashes(buf, ANCHOR)
-    w = length - ANCHOR + 1
-    least = _sliding(h, w, np.minimum)
-    # leftmost place of the minimum of window s: the first place >= s whose hash equals it
-    starts = np.arange(len(least))
-    hit = np.flatnonzero(_at_minimum(h, least, w))
-    order = np.searchsorted(hit, starts)
-    place = hit[order]
-    while (bad := h[place] != least).any():  # an earlier hit of another window's minimum
-        order[bad] += 1
-        place = hit[order]
-    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([cut[1:], [len(place)]]) - 1
-    return place[cut], h[place[cut]], cut, last
-
-
-def _at_minimum(h: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
-    """Places whose hash is the minimum of some window that holds them."""
-    low = np.zeros(1, np.uint64)
-    padded = np.concatenate([np.repeat(low, w - 1), least, np.repeat(low, w - 1)])
-    return _sliding(padded, w, np.maximum)[: len(h)] == h
-
-
-def _anchor_rows(length: int):
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for low in range(0, len(buf) - length + 1, SEGMENT):
+        part = np.flatnonzero(ok[low : min(low + SEGMENT, len(buf) - length + 1)])
+        if not len(part):
+            continue
+        h = _gram_hashes(buf[low : low + SEGMENT + length - 1])
+        placed = h & ~PLACE
+        placed |= np.arange(len(h), dtype=np.uint64)
+        place = (_sliding(placed, length - ANCHOR + 1, np.minimum)[part] & PLACE).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (part[1:] != part[:-1] + 1)]))
+        last = np.concatenate([cut[1:], [len(place)]]) - 1
+        found.append((place[cut] + low, h[place[cut]], part[cut] + low, part[last] + low))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _chunks(folder: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Write the rows to files of about CHUNK bytes under names of their own; those that are returned are read."""
+        part, run, held, size, made = TaskContext.get().partitionId(), uuid.uuid4().hex, [], 0, []
+
+        def flush() -> None:
+            nonlocal held, size
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+                for b in held:
+                    f.write_batch(b)
+            files.write(uri := f"{folder}/{part:06d}-{len(made):06d}-{run}", out.getvalue())
+            made.append((uri, size))
+            held, size = [], 0
+
+        for batch in batches:
+            off = text_buffer(batch.column("text"))[1]
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK - size, "right")) - 1)
+                held.append(batch.slice(i, j - i))
+                size += int(off[j] - off[i])
+                i = j
+                if size >= CHUNK or i < batch.num_rows:
+                    flush()
+        if held:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["uri", "bytes"])
+
+    return write
+
+
+class Chunk:
+    """The rows of a chunk file: ids (null: not live), the bytes of all texts and where each begins."""
+
+    def __init__(self, uri: str):
+        table = pa.ipc.open_stream(files.read(uri)).read_all().combine_chunks()
+        ids = table.column("id")
+        self.column, self.live = ids.combine_chunks(), ~ids.is_null().to_numpy()
+        self.ids = ids.fill_null(0).to_numpy()
+        self.buf, self.off = text_buffer(table.column("text"))
+
+    def anchors(self, length: int, groups: int):
+        """Anchors of all strings within the texts of live rows: row, place, key, first, last. The key is the anchor's
+        group and 32 bits of its hash."""
+        n = np.where(self.live, np.maximum(np.diff(self.off) - length + 1, 0), 0)
+        ok = np.zeros(len(self.buf) + 1, np.int8)
+        ok[self.off[:-1][n > 0]] = 1
+        ok[(self.off[:-1] + n)[n > 0]] = -1
+        place, h, first, last = anchors(self.buf, length, np.cumsum(ok, dtype=np.int8).view(bool))
+        group = (h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+        return np.searchsorted(self.off, first, "right") - 1, place, group << np.uint64(32) | h & np.uint64(0xFFFFFFFF), first, last
+
+
+def _hashes(length: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(p, uri, hashes, rows): for each group the distinct hashes of a chunk in order, and the rows (255 at most)
+        that hold each."""
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            buf, off = text_buffer(batch.column("text"))
-            for i, j in slices(off):
-                got = [(k, anchors(buf[off[k] : off[k + 1]], length)) for k in range(i, j) if off[k + 1] - off[k] >= length]
-                if got:
-                    n = [len(a[0]) for _, a in got]
-                    cols = [np.concatenate([a[c] for _, a in got]) for c in range(4)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[[k for k, _ in got]], n)), pa.array(cols[1].view(np.int64)), *(pa.array(cols[c].astype(np.int32)) for c in (0, 2, 3))], ["id", "h", "at", "first", "last"])
+            for uri in batch.column("uri").to_pylist():
+                row, _, key, _, _ = Chunk(uri).anchors(length, groups)
+                order = np.argsort(key, kind="stable")
+                key, row = key[order], row[order]
+                new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+                fresh = new.copy()
+                fresh[1:] |= row[1:] != row[:-1]
+                cut = np.flatnonzero(new)
+                n = np.minimum(np.add.reduceat(fresh.astype(np.int64), cut) if len(cut) else cut, 255).astype(np.uint8)
+                u = key[cut]
+                at = np.searchsorted(u, np.arange(groups + 1, dtype=np.uint64) << np.uint64(32))
+                some = np.flatnonzero(np.diff(at))
+                low = (u & np.uint64(0xFFFFFFFF)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([uri] * len(some), pa.string()), pa.array([low[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()), pa.array([n[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], ["p", "uri", "hashes", "rows"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, id): those whose h stands in two documents or more. Held: rows of one h and one id."""
-    held, decided = None, None
+def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of the leading sort key, as one table."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        h, d = rows.column("h").to_numpy(), rows.column("id").to_numpy()
-        first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-        mixed = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-        mixed[0] |= decided is not None and h[0] == decided
-        keep = np.repeat(mixed, np.diff(np.concatenate([first, [len(h)]])))
-        yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
-        held, decided = (None, h[-1]) if mixed[-1] else (rows.slice(int(first[-1])), None)
+        keys = batch.column(key)
+        at = 0
+        while at < batch.num_rows:
+            value = keys[at]
+            end = at + 1
+            while end < batch.num_rows and keys[end] == value:
+                end += 1
+            if held and held[-1].column(key)[0] != value:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _states(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(uri, p, state): for each hash of a chunk 0 if no other row has it, 2 if more than `hot` rows have it, else 1."""
+        for table in _by(batches, "p"):
+            hashes = [np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()]
+            rows = [np.frombuffer(x, np.uint8) for x in table.column("rows").to_pylist()]
+            _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(which, np.concatenate(rows))
+            state = ((n > 1).astype(np.uint8) + (n > hot)).astype(np.uint8)[which]
+            at = np.cumsum([0, *map(len, hashes)])
+            yield pa.RecordBatch.from_arrays([table.column("uri").combine_chunks(), table.column("p").combine_chunks(), pa.array([state[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["uri", "p", "state"])
+
+    return run
 
 
-def _contexts(length: int):
+CONTEXTS = "k bigint, id bigint, top bigint, before int, ctx binary, uri string, ref int"
+
+
+def _contexts(length: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut the bytes of the strings of each anchor out of the text: from the first start to the last one's end. An
-        anchor that is not in this text (but in another of the same id) is passed over."""
-        for batch in batches:
-            buf, off = text_buffer(batch.column("text"))
-            out = []
-            for k, spots in enumerate(batch.column("spots").to_pylist()):
-                raw = buf[off[k] : off[k + 1]]
-                grams, raw = _gram_hashes(raw, ANCHOR).view(np.int64), raw.tobytes()
-                out += [(k, s["h"], s["at"], s["first"], raw[s["first"] : s["last"] + length]) for s in spots if s["last"] + length <= len(raw) and grams[s["at"]] == s["h"]]
-            take = pa.array([x[0] for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("t").take(take), *(pa.array([x[c] for x in out], t) for c, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.binary())))], ["id", "t", "h", "at", "first", "ctx"])
+        """Cut the bytes of the strings of each shared anchor: from the first start to the last one's end. Equal contexts
+        of a chunk are one row (least and greatest id); where they stand is written beside the chunk."""
+        for table in _by(batches, "uri"):
+            uri = table.column("uri")[0].as_py()
+            chunk = Chunk(uri)
+            row, place, key, first, last = chunk.anchors(length, groups)
+            state = np.frombuffer(b"".join(table.column("state").to_pylist()), np.uint8)[np.unique(key, return_inverse=True)[1]]
+            raw, refs, out, where = chunk.buf.tobytes(), {}, [], []
+            for r, at, k, a, b, hot in zip(*(x[state > 0].tolist() for x in (row, place, key, first, last)), (state[state > 0] > 1).tolist(), strict=True):
+                if hot:
+                    parts = []
+                    for g in range((at - b) // SPLIT, (at - a) // SPLIT + 1):
+                        core = raw[at - SPLIT * g : at - SPLIT * g + length - SPLIT + 1]  # in every string of these distances
+                        sub = hashlib.blake2b(core, digest_size=8, key=b"%d/%d" % (k, g)).digest()
+                        parts.append((int.from_bytes(sub, "big", signed=True), max(a, at - SPLIT * g - SPLIT + 1), min(b, at - SPLIT * g)))
+                else:
+                    parts = [(k, a, b)]
+                for sub, x, y in parts:
+                    ctx = (at - x, raw[x : y + length])
+                    if (ref := refs.get(ctx)) is None:
+                        ref = refs[ctx] = len(out)
+                        out.append([sub, chunk.ids[r], chunk.ids[r], ref])
+                    else:
+                        out[ref][1] = min(out[ref][1], chunk.ids[r])
+                        out[ref][2] = max(out[ref][2], chunk.ids[r])
+                    where.append((ref, r, x))
+            files.write_once(f"{uri}.places", np.array(where, "<i4").tobytes())
+            for i in range(0, len(out), 20_000):
+                some, ctx = out[i : i + 20_000], [*refs][i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in some], pa.int64()), *(pa.array([x[c] for x in some], pa.int64()) for c in (1, 2)), pa.array([c[0] for c in ctx], pa.int32()), pa.array([c[1] for c in ctx], pa.binary()), pa.array([uri] * len(some), pa.string()), pa.array([x[3] for x in some], pa.int32())], ["k", "id", "top", "before", "ctx", "uri", "ref"])
 
     return run
 
@@ -208,73 +311,113 @@ def covered(ids: np.ndarray, before: np.ndarray, contexts: list[bytes], length:
     return out
 
 
+def least_ids(k: np.ndarray, ids: np.ndarray, before: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
+    """`covered` of distinct contexts in order of k, which equal strings share: only buckets of several are sorted."""
+    after, distance = np.array([len(c) for c in contexts]) - length, np.arange(length - ANCHOR + 1)
+    starts = (distance <= before[:, None]) & (before[:, None] - distance <= after[:, None])
+    out = np.where(starts, ids[:, None], np.iinfo(np.int64).max)
+    several = np.zeros(len(k), bool)
+    several[1:] = k[1:] == k[:-1]
+    several[:-1] |= several[1:]
+    if len(some := np.flatnonzero(several)):
+        out[some] = covered(ids[some], before[some], [contexts[i] for i in some], length)
+    return out
+
+
+RUNS = "uri string, ref int, a int, n int, least bigint"
+
+
 def _sorter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (h, id). A group that goes on after a block carries its distinct contexts with it (each
-        with its least id), so later, larger ids meet all earlier strings."""
-        rows: list[tuple] = []
-        carried = 0
+        """Rows come sorted by (k, id). (uri, ref, a, n, least): the n strings from byte a of a context on start in
+        document `least` first, which is smaller than the greatest id that holds the context.
+
+        A bucket that goes on after a block carries its distinct contexts with it (each with its least id), so later,
+        larger ids meet all earlier strings.
+        """
+        held: list[pa.RecordBatch] = []
+        carried: list[tuple] = []
 
         def sort(last: bool) -> pa.RecordBatch:
-            nonlocal rows, carried
-            h, ids, at, first = (np.array([r[c] for r in rows], np.int64) for c in range(4))
-            before = at - first
+            nonlocal held, carried
+            table = pa.Table.from_batches(held)
+            old = len(carried)
+            k, ids = (np.concatenate([np.array([r[c] for r in carried], np.int64), table.column(n).to_numpy()]) for c, n in ((0, "k"), (1, "id")))
+            before = np.concatenate([np.array([r[2] for r in carried], np.int64), table.column("before").to_numpy()])
+            contexts = [r[3] for r in carried] + table.column("ctx").to_pylist()
             index: dict[tuple[int, bytes], int] = {}  # equal contexts are sorted once; ids ascend, so the first has the least
-            which = np.array([index.setdefault((int(n), r[4]), len(index)) for n, r in zip(before, rows, strict=True)])
+            which = np.array([index.setdefault((n, c), len(index)) for n, c in zip(before.tolist(), contexts, strict=True)])
             one = np.unique(which, return_index=True)[1]
-            least = covered(ids[one], before[one], [c for _, c in index], length)[which]
-            hit = least < ids[:, None]
-            hit[:carried] = False
-            k, distance = np.nonzero(hit)
-            at = at[k] - distance
-            order = np.lexsort((at, k))
-            k, at = k[order], at[order]
-            begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)])) if len(k) else np.zeros(0, np.int64)
-            end = np.concatenate([begin[1:], [len(k)]])[: len(begin)] - 1
-            texts = np.array([r[5] for r in rows], np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array(ids[k[begin]]), pa.array(texts[k[begin]]), pa.array(at[begin].astype(np.int32)), pa.array((at[end] + length).astype(np.int32))], ["id", "t", "a", "b"])
+            found = least_ids(k[one], ids[one], before[one], [c for _, c in index], length)
+            least = found[which[old:]]
+            r, d = np.nonzero(least < table.column("top").to_numpy()[:, None])
+            a, least = before[old:][r] - d, least[r, d]
+            order = np.lexsort((a, r))
+            r, a, least = r[order], a[order], least[order]
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1) | (least[1:] != least[:-1])])[: len(r)]
+            cut = np.flatnonzero(new)
+            n = np.diff(np.append(cut, len(r)))
+            take = pa.array(r[cut])
             if last:
-                rows, carried = [], 0
+                carried = []
             else:
-                own = (least == ids[:, None]).any(axis=1) & (h == h[-1])
-                rows = [*{(r[2] - r[3], r[4]): r for r, o in reversed([*zip(rows, own, strict=True)]) if o}.values()]
-                carried = len(rows)
-            return out
+                keep = np.flatnonzero((k[one] == k[-1]) & (found == ids[one][:, None]).any(axis=1))
+                keys = [*index]
+                carried = [(int(k[one[i]]), int(ids[one[i]]), *keys[i]) for i in keep]
+            held = []
+            return pa.RecordBatch.from_arrays([table.column("uri").combine_chunks().take(take), table.column("ref").combine_chunks().take(take), pa.array(a[cut].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least[cut])], ["uri", "ref", "a", "n", "least"])
 
+        size = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "at", "first", "ctx", "t")), strict=True):
-                if len(rows) - carried >= BLOCK:
-                    yield sort(r[0] != rows[-1][0])
-                rows.append(r)
-        if rows:
+            while batch.num_rows:
+                if size >= BLOCK:
+                    yield sort(held[-1].column("k")[-1] != batch.column("k")[0])
+                    size = 0
+                held.append(batch.slice(0, BLOCK - size))
+                size += held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+        if held:
             yield sort(True)
 
     return run
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_bytes, n_removed, n_spans, kept, cuts = [], [], [], [], []
-        for text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True):
-            raw, merged = text.encode(), []
-            spans = [{"a": 0, "b": len(raw)}] if copy else spans
-            for s in sorted((s["a"], s["b"]) for s in spans or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
+def _cutter(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of a chunk (one row at least, without a ref) mark the bytes that go from its texts."""
+        for table in _by(batches, "uri"):
+            uri = table.column("uri")[0].as_py()
+            chunk = Chunk(uri)
+            places = np.frombuffer(files.read(f"{uri}.places"), "<i4").reshape(-1, 3).astype(np.int64)
+            places = places[np.argsort(places[:, 0], kind="stable")]
+            ref, a, n, least = (table.column(c).to_numpy()[table.column("ref").to_numpy() >= 0].astype(np.int64) for c in ("ref", "a", "n", "least"))
+            low, high = np.searchsorted(places[:, 0], ref), np.searchsorted(places[:, 0], ref, "right")
+            run_ = np.repeat(np.arange(len(ref)), high - low)
+            at = places[np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange(len(run_))]
+            hit = chunk.ids[at[:, 1]] > least[run_]
+            begin, size = at[hit, 2] + a[run_[hit]], n[run_[hit]] - 1 + length
+            steps = np.zeros(len(chunk.buf) + 1, np.int32)
+            np.add.at(steps, begin, 1)
+            np.subtract.at(steps, begin + size, 1)
+            gone = np.cumsum(steps, dtype=np.int32)[:-1] > 0
+            total = np.zeros(len(chunk.buf) + 1, np.int32)
+            np.cumsum(gone, out=total[1:])
+            removed = (total[chunk.off[1:]] - total[chunk.off[:-1]]).astype(np.int64)
+            n_spans, kept, spans = [], [], []
+            for k, (x, y) in enumerate(zip(chunk.off[:-1].tolist(), chunk.off[1:].tolist(), strict=True)):
+                if removed[k]:
+                    part = gone[x:y]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], part, [False]]).astype(np.int8)))
+                    spans.append([{"a": i, "b": j} for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+                    kept.append(hashlib.sha256(chunk.buf[x:y][~part]).hexdigest())
                 else:
-                    merged.append([*s])
-            at, rest = 0, []
-            for a, b in merged:
-                rest.append(raw[at:a])
-                at = b
-            rest = b"".join([*rest, raw[at:]])
-            n_bytes.append(len(raw))
-            n_removed.append(len(raw) - len(rest))
-            n_spans.append(len(merged))
-            kept.append(hashlib.sha256(rest).hexdigest())
-            cuts.append([{"a": a, "b": b} for a, b in merged])
-        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string()), pa.array(cuts, span)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                    spans.append([])
+                    kept.append(hashlib.sha256(chunk.buf[x:y]).hexdigest())
+                n_spans.append(len(spans[-1]))
+            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([chunk.column, pa.array(np.diff(chunk.off)), pa.array(removed), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -282,30 +425,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that lie in a string of `length` bytes which also starts in a document of smaller id, and what is left without them.
 
     Strings are judged on the input and never cross documents. Rows without an id are compared with nothing and keep all.
-    Rows of one id are one document as to whom they take bytes from (never from each other). Empty table: no rows.
-
-    Of texts with more than MANY_COPIES equal copies, all but the least id are set aside: they lose every byte.
-    Every string has an anchor (see `anchors`) that equal strings share. Anchors are shuffled by hash, those that occur
-    in one document only are dropped, and the contexts of the others are cut out of the texts and shuffled by anchor: so
-    what is sorted is repeated text only, in blocks of bounded size (see `Bucket`). Memory is bounded by BLOCK contexts
-    and the distinct contexts of one anchor.
+    Rows of one id are one document as to whom they take bytes from (never from each other). Texts shorter than `length`
+    keep all. Empty table: no rows. Extra columns are not read.
+
+    Every string has an anchor (see `anchors`) that equal strings share: the strings of one anchor, one distance to it at
+    a time, are the suffix buckets that `Bucket` sorts. Texts are written once, to chunk files in the shared folder, and
+    never shuffled. What is shuffled: 32 bits of each anchor's hash, by groups that answer which are shared; contexts of
+    shared anchors (equal ones of a chunk once), by anchor; and the runs that are covered, by chunk. A hot anchor's
+    contexts are split by distance, and by the bytes that all strings of such distances hold. Memory is bounded by a chunk,
+    a group of anchors and BLOCK contexts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).withColumn("d", F.unhex(F.sha2("text", 256))).withColumn("t", F.xxhash64("text"))
-    long_ = F.col("id").isNotNull() & (F.octet_length("text") >= length)
-    owners = scratch.table(base.where(long_).groupBy("d").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    cut = max(MANY_COPIES, (owners.agg(F.sum("n")).first()[0] or 0) // 2000)  # so at most 2000 rows are broadcast
-    base = base.join(F.broadcast(owners.where(F.col("n") > cut).drop("n")), "d", "left").withColumn("copy", F.coalesce(F.col("least") < F.col("id"), F.lit(False))).drop("d", "least")
-    live = base.where(long_ & ~F.col("copy"))
-    rows = live.select("id", "text").mapInArrow(_anchor_rows(length), "id bigint, h bigint, at int, first int, last int")
-    shared = rows.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared, "id bigint, h bigint, at int, first int, last int")
-    spots = shared.groupBy("id").agg(F.collect_list(F.struct("h", "at", "first", "last")).alias("spots"))
-    contexts = live.join(spots, "id").select("id", "t", "text", "spots").mapInArrow(_contexts(length), "id bigint, t bigint, h bigint, at int, first int, ctx binary")
-    sorted_ = contexts.repartition("h").sortWithinPartitions("h", "id")
-    spans = scratch.table(sorted_.mapInArrow(_sorter(length), "id bigint, t bigint, a int, b int"))
-    listed = spans.groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    out = base.join(listed, ["id", "t"], "left").select("id", "text", "copy", "spans").mapInArrow(_cutter, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:int,b:int>>")
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    chunks = scratch.table(base.mapInArrow(_chunks(scratch.folder()), "uri string, bytes bigint"))
+    n, size = chunks.agg(F.count("*"), F.sum("bytes")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(max(2 * parts, -(-(size or 0) // GROUP)), GROUPS)
+    each = chunks.select("uri").repartition(max(1, n))
+    asked = each.mapInArrow(_hashes(length, groups), "p int, uri string, hashes binary, rows binary").repartition("p").sortWithinPartitions("p", "uri")
+    states = asked.mapInArrow(_states(HOT), "uri string, p int, state binary").unionByName(chunks.select("uri", F.lit(-1).alias("p"), F.lit(b"").alias("state")))
+    contexts = states.repartition("uri").sortWithinPartitions("uri", "p").mapInArrow(_contexts(length, groups), CONTEXTS)
+    runs = contexts.repartition("k").sortWithinPartitions("k", "id", "uri", "ref").mapInArrow(_sorter(length), RUNS)
+    runs = runs.unionByName(chunks.select("uri", F.lit(-1).alias("ref"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("least")))
+    out = runs.repartition("uri").sortWithinPartitions("uri").mapInArrow(_cutter(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:int,b:int>>")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

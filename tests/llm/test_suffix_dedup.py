@@ -41,7 +41,8 @@ def test_whole_table_against_brute_force(spark):
 
 def test_odd_rows_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 7)
-    monkeypatch.setattr(suffix_dedup, "MANY_COPIES", 20)
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 2000)
     rng = np.random.default_rng(2)
     noise = lambda n: "".join(rng.choice(list("abcdeé "), n))
     passage, line = noise(130), noise(50)
@@ -52,3 +53,22 @@ def test_odd_rows_and_small_blocks(spark, monkeypatch):
     got = suffix_dedup.repeated_spans(docs).drop("spans").collect()
     assert sorted(map(tuple, got), key=str) == brute([r[:2] for r in rows])
     assert suffix_dedup.repeated_spans(docs.where("false")).count() == 0
+
+
+def test_anchors_of_segments(monkeypatch):
+    rng = np.random.default_rng(3)
+    buf = rng.integers(97, 100, 2000).astype(np.uint8)
+    buf[500:800] = 97
+    ok = np.ones(2000, bool)
+    ok[400:450] = False
+
+    def strings(found):
+        return {s: (int(p), int(h)) for p, h, a, b in zip(*found, strict=True) for s in range(a, b + 1)}
+
+    h = suffix_dedup._gram_hashes(buf)
+    grams = [buf[i : i + suffix_dedup.ANCHOR].tobytes() for i in range(len(h))]
+    assert len({*zip(grams, h.tolist(), strict=True)}) == len({*grams}) == len({*h.tolist()})
+    want = {s: (p := s + int((h[s : s + 33] >> np.uint64(16)).argmin()), int(h[p])) for s in np.flatnonzero(ok[:1951]).tolist()}
+    assert strings(suffix_dedup.anchors(buf, 50, ok)) == want
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
+    assert strings(suffix_dedup.anchors(buf, 50, ok)) == want
