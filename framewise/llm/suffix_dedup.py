@@ -21,13 +21,13 @@ MODULUS, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of an anchor; contexts that one sort holds at most (a larger group goes on in the next sort).
 ANCHOR, BLOCK = 18, 40_000
 #: Bytes of text in a chunk file (one text may be larger), and bytes whose anchors are found at a time (their places take 16 bits).
-CHUNK, SEGMENT, PLACE = 16 << 20, 60_000, np.uint64(0xFFFF)
+CHUNK, SEGMENT, PLACE = 8 << 20, 60_000, np.uint64(0xFFFF)
 #: Odd multipliers of the hash.
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Bytes of text whose anchors' hashes meet in one group, and groups at most.
 GROUP, GROUPS = 32 << 20, 20_000
 #: Contexts of one anchor beyond which its suffix bucket is split by distance (SPLIT to a part) and the bytes around it.
-HOT, SPLIT = 2000, 9
+HOT, SPLIT = 8000, 17
 
 
 def _gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -100,20 +100,30 @@ def _chunks(folder: str):
                     flush()
         if held:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["uri", "bytes"])
+        numbers = pa.array([(part << 24) + k for k in range(len(made))], pa.int64())
+        yield pa.RecordBatch.from_arrays([numbers, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["chunk", "uri", "bytes"])
 
     return write
 
 
 class Chunk:
-    """The rows of a chunk file: ids (null: not live), the bytes of all texts and where each begins."""
+    """The rows of a chunk file: ids, the bytes of all texts and where each begins, and whether a row is live: it has an id,
+    and its text is no whole copy of a smaller id's (as its file of copies says)."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, copies: bool = True):
         table = pa.ipc.open_stream(files.read(uri)).read_all().combine_chunks()
         ids = table.column("id")
         self.column, self.live = ids.combine_chunks(), ~ids.is_null().to_numpy()
         self.ids = ids.fill_null(0).to_numpy()
         self.buf, self.off = text_buffer(table.column("text"))
+        self.copy = np.frombuffer(files.read(f"{uri}.copies"), bool) if copies else np.zeros(len(self.ids), bool)
+        self.live &= ~self.copy
+
+    def digests(self, length: int, groups: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Rows with an id and a text of `length` bytes or more, the digests of these texts, and each digest's group."""
+        rows = np.flatnonzero(self.live & (np.diff(self.off) >= length))
+        out = [hashlib.blake2b(self.buf[a:b], digest_size=16).digest() for a, b in zip(self.off[rows].tolist(), self.off[rows + 1].tolist(), strict=True)]
+        return rows, out, np.frombuffer(b"".join(out), "<u4")[::4] % groups
 
     def anchors(self, length: int, groups: int):
         """Anchors of all strings within the texts of live rows: row, place, key, first, last. The key is the anchor's
@@ -127,25 +137,62 @@ class Chunk:
         return np.searchsorted(self.off, first, "right") - 1, place, group << np.uint64(32) | h & np.uint64(0xFFFFFFFF), first, last
 
 
-def _hashes(length: int, groups: int):
+def _digests(length: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(p, uri, hashes, rows): for each group the distinct hashes of a chunk in order, and the rows (255 at most)
-        that hold each."""
+        """(p, chunk, uri, hashes, ids): for each group the 128-bit digests of a chunk's whole texts, and their ids."""
         for batch in batches:
-            for uri in batch.column("uri").to_pylist():
-                row, _, key, _, _ = Chunk(uri).anchors(length, groups)
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-                fresh = new.copy()
-                fresh[1:] |= row[1:] != row[:-1]
-                cut = np.flatnonzero(new)
-                n = np.minimum(np.add.reduceat(fresh.astype(np.int64), cut) if len(cut) else cut, 255).astype(np.uint8)
-                u = key[cut]
-                at = np.searchsorted(u, np.arange(groups + 1, dtype=np.uint64) << np.uint64(32))
-                some = np.flatnonzero(np.diff(at))
-                low = (u & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([uri] * len(some), pa.string()), pa.array([low[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()), pa.array([n[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], ["p", "uri", "hashes", "rows"])
+            for number, uri in zip(batch.column("chunk").to_pylist(), batch.column("uri").to_pylist(), strict=True):
+                chunk = Chunk(uri, copies=False)
+                rows, digest, group = chunk.digests(length, groups)
+                for p in np.unique(group):
+                    here = np.flatnonzero(group == p)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([number], pa.int64()), pa.array([uri]), pa.array([b"".join(digest[i] for i in here)], pa.binary()), pa.array([chunk.ids[rows[here]].astype("<i8").tobytes()], pa.binary())], ["p", "chunk", "uri", "hashes", "ids"])
+
+    return run
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, uri, p, state): for each digest whether a smaller id has the same."""
+    for table in _by(batches, "p"):
+        hashes, ids = (table.column(c).to_pylist() for c in ("hashes", "ids"))
+        _, which = np.unique(np.frombuffer(b"".join(hashes), "V16"), return_inverse=True)
+        own = np.frombuffer(b"".join(ids), "<i8")
+        least = np.full(which.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, which, own)
+        yield _answers(table, (own > least[which]).astype(np.uint8), [len(x) // 8 for x in ids])
+
+
+def _answers(table: pa.Table, state: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
+    at = np.cumsum([0, *sizes])
+    return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("chunk", "uri", "p")), pa.array([state[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["chunk", "uri", "p", "state"])
+
+
+def _hashes(length: int, groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(p, chunk, uri, hashes, rows): for each group the distinct hashes of a chunk in order, and the rows (255 at most)
+        that hold each. Which texts are copies is written beside the chunk and these have no part in it."""
+        for table in _by(batches, "chunk"):
+            number, uri = table.column("chunk")[0].as_py(), table.column("uri")[0].as_py()
+            chunk = Chunk(uri, copies=False)
+            rows, _, group = chunk.digests(length, groups)
+            copy = np.zeros(len(chunk.ids), bool)
+            copy[rows[np.argsort(group, kind="stable")]] = np.frombuffer(b"".join(table.column("state").to_pylist()), bool)
+            files.write_once(f"{uri}.copies", copy.tobytes())
+            chunk.live &= ~copy
+            row, _, key, _, _ = chunk.anchors(length, groups)
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            fresh = new.copy()
+            fresh[1:] |= row[1:] != row[:-1]
+            cut = np.flatnonzero(new)
+            n = np.minimum(np.add.reduceat(fresh.astype(np.int64), cut) if len(cut) else cut, 255).astype(np.uint8)
+            u = key[cut]
+            at = np.searchsorted(u, np.arange(groups + 1, dtype=np.uint64) << np.uint64(32))
+            some = np.flatnonzero(np.diff(at))
+            low = (u & np.uint64(0xFFFFFFFF)).astype("<u4")
+            parts = [pa.array([x[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()) for x in (low, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([number] * len(some), pa.int64()), pa.array([uri] * len(some), pa.string()), *parts], ["p", "chunk", "uri", "hashes", "rows"])
 
     return run
 
@@ -172,28 +219,27 @@ def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def _states(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(uri, p, state): for each hash of a chunk 0 if no other row has it, 2 if more than `hot` rows have it, else 1."""
+        """(chunk, uri, p, state): for each hash of a chunk 0 if no other row has it, 2 if more than `hot` rows have it, else 1."""
         for table in _by(batches, "p"):
             hashes = [np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()]
             rows = [np.frombuffer(x, np.uint8) for x in table.column("rows").to_pylist()]
             _, which = np.unique(np.concatenate(hashes), return_inverse=True)
             n = np.bincount(which, np.concatenate(rows))
             state = ((n > 1).astype(np.uint8) + (n > hot)).astype(np.uint8)[which]
-            at = np.cumsum([0, *map(len, hashes)])
-            yield pa.RecordBatch.from_arrays([table.column("uri").combine_chunks(), table.column("p").combine_chunks(), pa.array([state[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["uri", "p", "state"])
+            yield _answers(table, state, [*map(len, hashes)])
 
     return run
 
 
-CONTEXTS = "k bigint, id bigint, top bigint, before int, ctx binary, uri string, ref int"
+CONTEXTS = "k bigint, id bigint, top bigint, before int, ctx binary, chunk bigint, ref int"
 
 
 def _contexts(length: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cut the bytes of the strings of each shared anchor: from the first start to the last one's end. Equal contexts
         of a chunk are one row (least and greatest id); where they stand is written beside the chunk."""
-        for table in _by(batches, "uri"):
-            uri = table.column("uri")[0].as_py()
+        for table in _by(batches, "chunk"):
+            number, uri = table.column("chunk")[0].as_py(), table.column("uri")[0].as_py()
             chunk = Chunk(uri)
             row, place, key, first, last = chunk.anchors(length, groups)
             state = np.frombuffer(b"".join(table.column("state").to_pylist()), np.uint8)[np.unique(key, return_inverse=True)[1]]
@@ -219,7 +265,7 @@ def _contexts(length: int, groups: int):
             files.write_once(f"{uri}.places", np.array(where, "<i4").tobytes())
             for i in range(0, len(out), 20_000):
                 some, ctx = out[i : i + 20_000], [*refs][i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in some], pa.int64()), *(pa.array([x[c] for x in some], pa.int64()) for c in (1, 2)), pa.array([c[0] for c in ctx], pa.int32()), pa.array([c[1] for c in ctx], pa.binary()), pa.array([uri] * len(some), pa.string()), pa.array([x[3] for x in some], pa.int32())], ["k", "id", "top", "before", "ctx", "uri", "ref"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in some], pa.int64()), *(pa.array([x[c] for x in some], pa.int64()) for c in (1, 2)), pa.array([c[0] for c in ctx], pa.int32()), pa.array([c[1] for c in ctx], pa.binary()), pa.array([number] * len(some), pa.int64()), pa.array([x[3] for x in some], pa.int32())], ["k", "id", "top", "before", "ctx", "chunk", "ref"])
 
     return run
 
@@ -324,12 +370,12 @@ def least_ids(k: np.ndarray, ids: np.ndarray, before: np.ndarray, contexts: list
     return out
 
 
-RUNS = "uri string, ref int, a int, n int, least bigint"
+RUNS = "chunk bigint, ref int, a int, n int, least bigint"
 
 
 def _sorter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (k, id). (uri, ref, a, n, least): the n strings from byte a of a context on start in
+        """Rows come sorted by (k, id). (chunk, ref, a, n, least): the n strings from byte a of a context on start in
         document `least` first, which is smaller than the greatest id that holds the context.
 
         A bucket that goes on after a block carries its distinct contexts with it (each with its least id), so later,
@@ -365,7 +411,7 @@ def _sorter(length: int):
                 keys = [*index]
                 carried = [(int(k[one[i]]), int(ids[one[i]]), *keys[i]) for i in keep]
             held = []
-            return pa.RecordBatch.from_arrays([table.column("uri").combine_chunks().take(take), table.column("ref").combine_chunks().take(take), pa.array(a[cut].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least[cut])], ["uri", "ref", "a", "n", "least"])
+            return pa.RecordBatch.from_arrays([table.column("chunk").combine_chunks().take(take), table.column("ref").combine_chunks().take(take), pa.array(a[cut].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least[cut])], ["chunk", "ref", "a", "n", "least"])
 
         size = 0
         for batch in batches:
@@ -384,8 +430,8 @@ def _sorter(length: int):
 
 def _cutter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The runs of a chunk (one row at least, without a ref) mark the bytes that go from its texts."""
-        for table in _by(batches, "uri"):
+        """The runs of a chunk mark the bytes that go from its texts; its first row has the uri and no run."""
+        for table in _by(batches, "chunk"):
             uri = table.column("uri")[0].as_py()
             chunk = Chunk(uri)
             places = np.frombuffer(files.read(f"{uri}.places"), "<i4").reshape(-1, 3).astype(np.int64)
@@ -400,6 +446,8 @@ def _cutter(length: int):
             np.add.at(steps, begin, 1)
             np.subtract.at(steps, begin + size, 1)
             gone = np.cumsum(steps, dtype=np.int32)[:-1] > 0
+            for k in np.flatnonzero(chunk.copy):
+                gone[chunk.off[k] : chunk.off[k + 1]] = True
             total = np.zeros(len(chunk.buf) + 1, np.int32)
             np.cumsum(gone, out=total[1:])
             removed = (total[chunk.off[1:]] - total[chunk.off[:-1]]).astype(np.int64)
@@ -430,24 +478,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every string has an anchor (see `anchors`) that equal strings share: the strings of one anchor, one distance to it at
     a time, are the suffix buckets that `Bucket` sorts. Texts are written once, to chunk files in the shared folder, and
-    never shuffled. What is shuffled: 32 bits of each anchor's hash, by groups that answer which are shared; contexts of
-    shared anchors (equal ones of a chunk once), by anchor; and the runs that are covered, by chunk. A hot anchor's
-    contexts are split by distance, and by the bytes that all strings of such distances hold. Memory is bounded by a chunk,
+    never shuffled. What is shuffled: digests of whole texts (a copy of a smaller id's text goes whole and takes no part
+    in the rest); 32 bits of each anchor's hash, by groups that answer which are shared; contexts of shared anchors (equal
+    ones of a chunk once), by anchor; and the runs that are covered, by chunk. A hot anchor's contexts are split by distance, and by the bytes that all strings of such distances hold. Memory is bounded by a chunk,
     a group of anchors and BLOCK contexts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = scratch.table(base.mapInArrow(_chunks(scratch.folder()), "uri string, bytes bigint"))
+    chunks = scratch.table(base.mapInArrow(_chunks(scratch.folder()), "chunk bigint, uri string, bytes bigint"))
     n, size = chunks.agg(F.count("*"), F.sum("bytes")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = min(max(2 * parts, -(-(size or 0) // GROUP)), GROUPS)
-    each = chunks.select("uri").repartition(max(1, n))
-    asked = each.mapInArrow(_hashes(length, groups), "p int, uri string, hashes binary, rows binary").repartition("p").sortWithinPartitions("p", "uri")
-    states = asked.mapInArrow(_states(HOT), "uri string, p int, state binary").unionByName(chunks.select("uri", F.lit(-1).alias("p"), F.lit(b"").alias("state")))
-    contexts = states.repartition("uri").sortWithinPartitions("uri", "p").mapInArrow(_contexts(length, groups), CONTEXTS)
-    runs = contexts.repartition("k").sortWithinPartitions("k", "id", "uri", "ref").mapInArrow(_sorter(length), RUNS)
-    runs = runs.unionByName(chunks.select("uri", F.lit(-1).alias("ref"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("least")))
-    out = runs.repartition("uri").sortWithinPartitions("uri").mapInArrow(_cutter(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:int,b:int>>")
+    groups = min(max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // GROUP)), GROUPS)
+    each, state = chunks.select("chunk", "uri"), "chunk bigint, uri string, p int, state binary"
+    none = each.select("chunk", "uri", F.lit(-1).alias("p"), F.lit(b"").alias("state"))
+
+    def by_chunk(rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartition(max(1, n), "chunk").sortWithinPartitions("chunk", *order)
+
+    told = each.repartition(max(1, n)).mapInArrow(_digests(length, groups), "p int, chunk bigint, uri string, hashes binary, ids binary")
+    copies = told.repartition("p").sortWithinPartitions("p", "chunk").mapInArrow(_copies, state).unionByName(none)
+    asked = by_chunk(copies, "p").mapInArrow(_hashes(length, groups), "p int, chunk bigint, uri string, hashes binary, rows binary")
+    states = asked.repartition("p").sortWithinPartitions("p", "chunk").mapInArrow(_states(HOT), state).unionByName(none)
+    contexts = by_chunk(states, "p").mapInArrow(_contexts(length, groups), CONTEXTS)
+    runs = contexts.repartition("k").sortWithinPartitions("k", "id", "chunk", "ref").mapInArrow(_sorter(length), RUNS).withColumn("uri", F.lit(None).cast("string"))
+    runs = runs.unionByName(each.select("chunk", *(F.lit(v).cast(t).alias(c) for c, v, t in (("ref", -1, "int"), ("a", 0, "int"), ("n", 0, "int"), ("least", 0, "bigint"))), "uri"))
+    out = by_chunk(runs, "ref").mapInArrow(_cutter(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:int,b:int>>")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
