@@ -13,6 +13,8 @@ from framewise.llm.common import LOWER, slices, text_buffer
 
 #: Bytes in a window, filter widths and filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
+#: Bytes whose windows are made at a time (a multiple of WINDOW).
+PART = 1 << 20
 #: At most so many labelled documents of one language are sampled (by hash of the id) to fit the network.
 SAMPLE = 1500
 
@@ -99,11 +101,14 @@ class Network:
     def classify(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and probability of the language of each row: softmax of the mean logits of all its windows."""
         n = len(offsets) - 1
-        x, row = windows(buf, offsets)
-        total = np.zeros((n, len(self.langs)))
-        if len(x):
-            np.add.at(total, row, self.logits(x))
-        total /= np.maximum(np.bincount(row, minlength=n), 1)[:, None]
+        total, seen = np.zeros((n, len(self.langs))), np.zeros(n)
+        parts = [(0, offsets)] if len(buf) <= 2 * PART else [(i, np.array([a, min(a + PART, offsets[i + 1])])) for i in range(n) for a in range(offsets[i], offsets[i + 1], PART)]
+        for i, at in parts:
+            x, row = windows(buf[at[0] : at[-1]], at - at[0])
+            if len(x):
+                np.add.at(total, row + i, self.logits(x))
+                seen += np.bincount(row + i, minlength=n)
+        total /= np.maximum(seen, 1)[:, None]
         p = np.exp(total - total.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         return p.argmax(axis=1), p.max(axis=1)
@@ -112,17 +117,20 @@ class Network:
 def fit_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Network | None:
     """Fit on rows with a language and a text; None if there are none.
 
-    A row is drawn if the hash of its id falls under `sample` over the language's count, so about `sample` rows of a
-    language at most reach the driver, two windows of each (the first and one at a hashed place).
+    A row is drawn if the hash of its id and text falls under `sample` over the language's count; equal rows are one, so
+    repeated ids and texts add nothing. Two windows (the first and one at a hashed place) of each drawn row reach the
+    driver: about `sample` rows of a language, and never more than twice as many over all, by a limit in the plan. Every
+    language is a class of the network. Null and empty texts teach nothing.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     rate = F.element_at(F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, sample / n)))), F.col("lang"))
-    place = F.lit(1) + F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int")
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < rate * 1_000_000)
-    got = drawn.select("lang", F.xxhash64("id", "text").alias("k"), F.substring("text", 1, WINDOW).alias("a"), F.col("text").substr(place, F.lit(WINDOW)).alias("b")).toPandas()
+    place = F.lit(1) + F.pmod(F.xxhash64("id", "text", F.lit(2)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int")
+    drawn = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(1_000_000)) < rate * 1_000_000)
+    drawn = drawn.select("lang", F.xxhash64("id", "text").alias("k"), F.substring("text", 1, WINDOW).alias("a"), F.col("text").substr(place, F.lit(WINDOW)).alias("b")).distinct()
+    got = drawn.orderBy("k", "lang", "a", "b").limit(2 * sample * len(counts)).toPandas()
     got = got.sort_values("k", kind="stable")
     langs = sorted(counts)
     texts = [*got["a"], *got["b"]]
@@ -136,7 +144,8 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     """(id, lang_pred, score) of every row, from all windows of its whole text.
 
     Null texts, texts without a letter, and every text if the network is None (nothing to learn from) are 'und' with
-    score 0. Repeated rows get equal answers.
+    score 0. Very long texts are classified by all their windows, a bounded number at a time. Repeated rows and ids get
+    equal answers for equal texts, ties go to the first language by name. Empty table: no rows. Extra columns are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
