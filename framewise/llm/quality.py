@@ -159,7 +159,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fit on labelled documents; None where no label 0 or 1 meets a document.
 
     Null labels and null ids are left out; of several labels of one id the least counts. About `sample` labels are
-    drawn by hash of the id, so what is broadcast and what reaches the driver (a vector of statistics a row) is bounded.
+    drawn by hash of the id, so what is broadcast is bounded. Equal texts of one id are one row, and never more than twice
+    `sample` rows (those of least hash), a vector of statistics each, reach the driver. Empty tables: None.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("quality")).where("i is not null and quality in (0, 1)")
     known = known.groupBy("i").agg(F.min("quality").alias("quality"))
@@ -168,8 +169,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return None
     drawn = known.where(F.pmod(F.xxhash64("i", F.lit(8)), F.lit(1_000_000)) < min(1.0, sample / n) * 1_000_000)
     base = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
-    got = base.join(F.broadcast(drawn), "i").select(F.xxhash64("i", "text").alias("k"), "quality", "text").mapInArrow(_measure, "k bigint, quality int, x array<double>").toPandas()
-    got = got.sort_values("k", kind="stable")
+    got = base.join(F.broadcast(drawn), "i").select(F.xxhash64("i", "text").alias("k"), "quality", "text").mapInArrow(_measure, "k bigint, quality int, x array<double>")
+    got = got.dropDuplicates(["k"]).orderBy("k").limit(2 * sample).toPandas()
     if not len(got):
         return None
     return Trees().fit(np.stack(got["x"].to_numpy()), got["quality"].to_numpy().astype(float))
@@ -179,7 +180,8 @@ def score_quality(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id",
     """(id, score, predicted) of every row, from statistics of its whole text; predicted is 1 if score >= threshold.
 
     Null and empty texts have statistics of zero and get the score of those. Without trees (nothing to learn from) every
-    score is 0.5. Repeated rows get equal scores.
+    score is 0.5. Equal texts get equal scores, whatever their ids. A very long text is measured whole, in memory of about
+    ten times its bytes. Empty table: no rows. Extra columns are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
