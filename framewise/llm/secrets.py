@@ -18,8 +18,9 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Documents drawn (by hash of the id) to label credentials and ordinary runs, and strings of each sort kept from them.
-DOCUMENTS, STRINGS = 20000, 4000
+#: Documents drawn (by hash of id and text) to label credentials and ordinary runs, strings of each sort kept from them, and
+#: characters of the longest that are learnt from (longer ones are left out of the fit, not cut).
+DOCUMENTS, STRINGS, LONGEST = 20000, 4000, 256
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -43,14 +44,14 @@ WEIGHT = {"9": math.log(1 / 10), "h": math.log(1 / 6), "l": math.log(1 / 20), "U
 class Automaton:
     """A deterministic probabilistic automaton over character classes, inferred by state merging."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05, depth: int = 64):
+    def __init__(self, strings: list[str], alpha: float = 0.05):
         self.next: dict[int, dict[str, int]] = defaultdict(dict)
         self.count: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))  # '' counts ends
         self.total: dict[int, int] = defaultdict(int)
         n = 1
         for s in strings:  # the prefix tree
             at = 0
-            for c in [SYMBOLS.get(c, c) for c in s[:depth]]:
+            for c in [SYMBOLS.get(c, c) for c in s]:
                 self.total[at] += 1
                 self.count[at][c] += 1
                 if c not in self.next[at]:
@@ -160,18 +161,19 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, k, b in spans:
                 got.add((KINDS[k], ASSIGN.match(text, a)[2] if k == 0 else text[a:b]))
             got |= {("", text[a:b]) for a, b in runs if not any(s < b and a < e for s, _, e in spans)}
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1][:256] for x in got], pa.string())], ["kind", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], ["kind", "value"])
 
 
-def fit_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, strings: int = STRINGS) -> Formats:
+def fit_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, strings: int = STRINGS, longest: int = LONGEST) -> Formats:
     """Label credentials by the base patterns in about `documents` documents drawn by hash; infer their automata.
 
-    At most `strings` strings of each kind (those of least hash) and as many ordinary runs reach the driver.
+    At most `strings` strings of each kind (those of least hash, up to `longest` characters) and as many ordinary runs
+    reach the driver. Null and empty texts teach nothing; repeated rows count once; an empty table gives no formats.
     """
     n = docs.count()
     base = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    drawn = base.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < min(1.0, documents / max(n, 1)) * 1_000_000)
-    found = drawn.select("text").mapInArrow(_label, "kind string, value string").distinct()
+    drawn = base.where(F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(1_000_000)) < min(1.0, documents / max(n, 1)) * 1_000_000)
+    found = drawn.select("text").mapInArrow(_label, "kind string, value string").where(F.length("value") <= longest).distinct()
     labelled = {k: [r.value for r in found.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(strings).collect()] for k in ("", *KINDS[:3])}
     return Formats({k: v for k, v in labelled.items() if k}, labelled[""])
 
@@ -181,7 +183,9 @@ def scan_secrets(docs: DataFrame, formats: Formats, id_col: str = "doc_id", text
 
     Base spans (assign, access, hex) are leftmost and non-overlapping for each kind and may overlap across kinds. A
     'format' span is a run of token characters that overlaps no base span and that an inferred automaton finds likelier
-    than ordinary text. Offsets count code points, ends are exclusive, order is by start and then kind as listed.
+    than ordinary text; runs that touch a base span are reported as that. Offsets count code points, ends are exclusive,
+    order is by start and then kind as listed. Repeated rows get equal spans. Empty table: no rows. Extra columns are not
+    read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
