@@ -8,18 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import Scratch
+from framewise.llm.common import Scratch, attach
 
 #: Documents whose inclusion probabilities move together; what a block leaves open meets again in a later block.
 BLOCK = 2000
 #: Units of a source that the landing settles, besides two that the flight leaves open.
 HELD = 12
-#: Sources whose totals the driver holds at most.
-MOST_SOURCES = 1_000_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -117,6 +115,39 @@ def _settle(seed: int, level: int):
     return settle
 
 
+def source_plan(totals: DataFrame, scratch: Scratch, weights: tuple[float, ...], most: float) -> DataFrame:
+    """(source, rank, source_size, target, f, blocks): `targets` as a table, for any number of sources.
+
+    Sources are ranked by ranges; only a count a range meets in one task. Each round of sharing is one pass over the
+    table and brings two sums to the driver.
+    """
+    ranges = max(2, min(2000, int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cut = scratch.table(totals.repartitionByRange(ranges, F.col("source").isNull(), "source").withColumn("_range", F.spark_partition_id()))
+    heads = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    heads = heads.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").isNull(), "source")) - 1 + F.col("_ahead")
+    now = cut.join(F.broadcast(heads), F.col("_range") == F.col("_r")).withColumn("rank", place.cast("bigint")).drop("_range", "_r", "_ahead")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    now = scratch.table(now.withColumn("weight", weight).withColumn("full", F.col("size") <= 0))
+    while True:
+        live = ~F.col("full")
+        whole, total, spent, open_ = now.agg(F.sum(F.when(live, F.col("weight"))), F.sum("size"), F.sum(F.when(~live, most * F.col("size"))), F.count_if(live)).first()
+        if not open_:
+            break
+        share = (float(total) - (spent or 0.0)) * F.col("weight") / whole
+        over = live & (share > most * F.col("size"))
+        if now.where(over).isEmpty():
+            now = now.withColumn("share", share)
+            break
+        now = scratch.table(now.withColumn("full", F.col("full") | over))
+    if "share" not in now.columns:
+        now = now.withColumn("share", F.lit(0.0))
+    target = F.when(F.col("size") <= 0, 0.0).when(F.col("full"), most * F.col("size")).otherwise(F.col("share"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    told = now.withColumn("target", target).select("source", "rank", F.col("size").alias("source_size"), "target", F.coalesce(F.try_divide("target", F.col("size").cast("double")), F.lit(0.0)).alias("f"), blocks.alias("blocks"), "rows")
+    return scratch.table(told)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
     """(id, source, size, source_size, target, taken, repeats) of every row.
 
@@ -124,36 +155,30 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null. Sources in code point order, null last and a source of its own, take `weights` in turn; `targets` shares the
     total size. With f = target / source_size, each document is taken floor(f) times, and once more if the cube sample
     with inclusion probability f - floor(f) holds it: the sample balances the source's documents and words at once.
-    A source without words has target 0. Reruns agree; of equal repeated rows any may be the one that is taken again.
+    A source without words has target 0. Sources may be any number: their plan is a table. Reruns agree; of equal repeated rows any may be the one that is taken again.
     Repeated and null ids are fine. Empty table: no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     rows = scratch.table(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError("too many sources")
-    totals.sort(key=lambda r: (r.source is None, r.source or ""))
-    want = targets([r.size for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
-    plan = [(i, r.source, r.size, w, w / r.size if r.size else 0.0, r.n) for i, (r, w) in enumerate(zip(totals, want, strict=True))]
-    dim = spark.createDataFrame([x[:5] for x in plan], "rank int, name string, source_size bigint, target double, f double")
-    named = rows.join(F.broadcast(dim), rows["source"].eqNullSafe(dim["name"])).withColumn("base", F.floor("f").cast("bigint")).withColumn("p", F.when(F.col("size") > 0, F.col("f") - F.floor("f")).otherwise(0.0)).drop("name", "f")
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n"), F.count("*").alias("rows"))
+    plan = source_plan(totals, scratch, weights, most)
+    key = [F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source")]
+    named = attach(rows.select("*", *key), plan.select(*key, *plan.columns).drop("source"), ["_null", "_source"], "rows").drop("_null", "_source", "rows")
+    named = named.withColumn("base", F.floor("f").cast("bigint")).withColumn("p", F.when(F.col("size") > 0, F.col("f") - F.floor("f")).otherwise(0.0)).drop("f")
     named = scratch.table(named)
     is_open = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
-    settled, now, left = named.where(~is_open), named.where(is_open), {x[0]: x[5] for x in plan}
-    level = 0
+    settled, now, level = named.where(~is_open), named.where(is_open), 0
     while True:
-        blocks = {i: max(1, -(-n // BLOCK)) for i, n in left.items()}
-        count = spark.createDataFrame([*blocks.items()] or [(0, 1)], "r int, blocks int")
-        dealt = now.join(F.broadcast(count), now["rank"] == count["r"]).drop("r")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "size", F.lit(seed + level)), F.col("blocks")).cast("int")).repartition("rank", "block")
+        dealt = now.withColumn("block", F.pmod(F.xxhash64("id", "size", F.lit(seed + level)), F.col("blocks")).cast("int")).repartition("rank", "block")
         dealt = dealt.sortWithinPartitions("rank", "block", F.desc("size"), F.xxhash64("id"), "id")
         fields = T.StructType(dealt.schema.fields)
-        moved = scratch.table(dealt.mapInArrow(_settle(seed, level), fields)).drop("block", "blocks")
+        moved = scratch.table(dealt.mapInArrow(_settle(seed, level), fields)).drop("block")
         settled = settled.unionByName(moved.where(~is_open))
-        if all(b == 1 for b in blocks.values()):
+        now = moved.where(is_open).withColumn("blocks", F.greatest(F.lit(1), F.ceil(2 * F.col("blocks") / BLOCK)).cast("int"))
+        if now.isEmpty():  # the last block of a source leaves nothing open
             break
-        now, left, level = moved.where(is_open), {i: 2 * b if b > 1 else 0 for i, b in blocks.items()}, level + 1
+        level += 1
     repeats = F.col("base") + (F.col("p") > 0.5).cast("bigint")
     return settled.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"))

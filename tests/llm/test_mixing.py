@@ -48,3 +48,26 @@ def test_odd_rows(spark):
     assert len(got) == 6 and all(r.taken <= 3 * r.size for r in got)
     assert mixing.mix_sources(docs.where("false")).count() == 0
     assert {r.target for r in mixing.mix_sources(docs.where("text is null")).collect()} == {0.0}
+
+
+def test_plan_of_many_sources_against_plain_targets(spark):
+    import random
+
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choices("abé𝄞Z", k=rng.randint(1, 6))) for _ in range(300)}, key=lambda s: s.encode())
+    sizes = [rng.choice([0, 1, 5, 40, 1000, 30000]) for _ in range(len(names) + 1)]
+    rows = [(i, "w " * (z if z < 100 else z // 10), n) for i, (n, z) in enumerate(zip([*names, None], sizes, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = [len((t or "").split()) for _, t, _ in rows]
+    want = mixing.targets(words, [1 + i % 3 for i in range(len(rows))])
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert all(abs(got[i].target - w) <= 1e-9 * max(1, w) for i, w in enumerate(want))
+
+
+def test_flight_keeps_both_balances():
+    import random
+
+    units = sorted(((float(random.Random(i).randint(1, 500)), 0.37) for i in range(400)), reverse=True)
+    p, left = mixing.flight(units, random.Random(1))
+    assert len(left) <= 2 and all(v in (0.0, 1.0) for i, v in enumerate(p) if i not in left)
+    assert abs(sum(p) - 0.37 * 400) < 1e-6 and abs(sum(v * u[0] for v, u in zip(p, units, strict=True)) - 0.37 * sum(u[0] for u in units)) < 1e-3
