@@ -7,7 +7,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,6 +37,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(page_id), "WARC-Date": date}
     if url is not None:
         head["WARC-Target-URI"] = quote(url, safe="!#$%&'()*+,/:;=?@[]~")
+        if head["WARC-Target-URI"] != url:  # not a URI as it stands
+            head["X-URL"] = quote(url, safe="")
     if page_id is not None:
         head["X-Page-ID"] = str(page_id)
     if revisit:
@@ -91,7 +93,8 @@ class _Member:
 
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record of an archive, in order. Raises ValueError on bad framing or a wrong digest.
+    """(header, block) of each record of an archive, in order. Raises ValueError on bad framing or a wrong digest; digests
+    are optional, and those of other kinds than SHA-1 are not checked.
 
     At most one record's block is held at a time, and one piece of the compressed stream.
     """
@@ -101,13 +104,14 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = member.until(b"\r\n\r\n").decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+        head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         block = b"".join(member.take(int(head["Content-Length"])))
         left = member.end() or stream.read(PIECE)
-        if head["WARC-Block-Digest"] != f"sha1:{sha1(block)}":
-            raise ValueError("block digest differs")
-        if head["WARC-Type"] == "response" and head["WARC-Payload-Digest"] != f"sha1:{sha1(block.partition(b'\r\n\r\n')[2])}":
-            raise ValueError("payload digest differs")
+        payload = block.partition(b"\r\n\r\n")[2] if head.get("WARC-Type") == "response" else None
+        for name, data in (("Block", block), ("Payload", payload)):
+            kind, _, digest = head.get(f"WARC-{name}-Digest", "").partition(":")
+            if data is not None and kind == "sha1" and digest.upper() != sha1(data):
+                raise ValueError(f"{name.lower()} digest differs")
         yield head, block
 
 
@@ -141,7 +145,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of rows with equal payloads (html in UTF-8, a null is empty) of at least `least` bytes, those with the least id are
     responses (null ids only if there is no other), all others revisit them. Groups are found by a pre-aggregated
     groupBy on SHA-256 and attached skew-safely, so a payload that a third of all pages share does not land in one task.
-    Archives of lost or repeated tasks are not in the table and so are never read.
+    Archives of lost or repeated tasks are not in the table and so are never read. Null ids and urls are left out of the
+    record. Empty table: archives without records.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -156,7 +161,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of every record of the archives.
 
-    payload is null for revisits, whose bytes and digest are those of the full payload. Archives are dealt out by uri.
+    payload is null for revisits, whose bytes and digest are those of the full payload; url is as it was given. Records of
+    other types are passed over. Archives are dealt out by uri. No archives, or none with records: no rows.
     """
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +176,15 @@ def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
                 rows, size = [], 0
                 with files.open_stream(uri) as stream:
                     for head, block in read_records(stream):
+                        if head.get("WARC-Type") not in ("response", "revisit"):
+                            continue
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        length = int(http.rpartition(b"Content-Length: ")[2])
-                        page, first = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
                         response = head["WARC-Type"] == "response"
-                        rows.append((page and int(page), head.get("WARC-Target-URI"), head["WARC-Type"], length, head["WARC-Payload-Digest"].removeprefix("sha1:"), first and int(first), payload if response else None))
+                        length = len(payload) if response else next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.lower() == b"content-length"), None)
+                        digest = sha1(payload) if response else head.get("WARC-Payload-Digest", "").rpartition(":")[2] or None
+                        url = unquote(head["X-URL"]) if "X-URL" in head else head.get("WARC-Target-URI")
+                        page, first = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
+                        rows.append((page and int(page), url, head["WARC-Type"], length, digest, first and int(first), payload if response else None))
                         size += len(block)
                         if size > 4 << 20:
                             yield told(rows)

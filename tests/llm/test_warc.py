@@ -31,6 +31,7 @@ def test_odd_rows_copies_and_payloads(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n long")
     got = warc.read_archives(warc.write_archives(pages)).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want([(r[0], r[2]) for r in rows])
+    assert {r.url for r in got} == {r[1] for r in rows}
     assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == {"same é page", "", "x" * 3_000_000}
     assert warc.read_archives(warc.write_archives(pages.where("false"))).count() == 0
     assert {r.record_type for r in warc.read_archives(warc.write_archives(pages, least=10**9)).collect()} == {"response"}
@@ -49,3 +50,19 @@ def test_reader_refuses_damage():
             list(warc.read_records(io.BytesIO(z.compress(bad) + z.flush())))
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(one[:-20])))
+
+
+def test_reader_takes_records_of_other_writers():
+    import zlib
+
+    block = b"HTTP/1.0 200 OK\r\ncontent-type: text/plain\r\n\r\nhi"
+    text = b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Target-URI: http://a/\r\nWARC-Block-Digest: md5:x\r\nContent-Length:  %d\r\n\r\n" % len(block)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (head, got), = warc.read_records(io.BytesIO(z.compress(text + block + b"\r\n\r\n") + z.flush()))
+    assert head["WARC-Type"] == "response" and got == block
+
+
+def test_rows_that_share_the_least_id(spark):
+    rows = [(1, "a", "same", 1), (1, "b", "same", 2), (2, "c", "same", 3), (None, None, "same", 4), (1, "d", "other", 5)]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, uri int"))).collect()
+    assert sorted((str(r.page_id), str(r.url), r.record_type, r.refers_to) for r in got) == [("1", "a", "response", None), ("1", "b", "response", None), ("1", "d", "response", None), ("2", "c", "revisit", 1), ("None", "None", "revisit", 1)]
