@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm import files
@@ -248,36 +248,37 @@ def _writer(folder: str, tokenizer: str, end: int):
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """Write the ids of all texts in ascending id order; returns (file, ids in all files before it) in order.
+def write_tokens(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the ids of all texts in ascending id order; returns (uri, start, ids, docs): the files, and the ids in all files
+    before each.
 
     Every task writes files under names of its own and names them in a committed table, so files of lost or repeated
-    tasks are never read. That table holds one row a file (about a million ids): it alone reaches the driver. Nulls count
-    as empty texts, null ids come first, rows of one id are ordered by text. The end id follows each document.
+    tasks are never read. That table holds one row a file (about a million ids) and stays a table; starts are sums within
+    a task's files and over the tasks before. Nulls count as empty texts, null ids come first, rows of one id are ordered
+    by text, equal rows follow each other. The end id follows each document. A text is never split, however long. Empty
+    table: no files. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "token-file")
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = base.repartitionByRange("id").sortWithinPartitions("id", "text")
-    made = scratch.table(ordered.mapInArrow(_writer(scratch.folder(), tokenizer, end), "part int, seq int, uri string, ids bigint, docs bigint")).collect()
-    out, at = [], 0
-    for r in sorted(made, key=lambda r: (r.part, r.seq)):
-        out.append((r.uri, at))
-        at += r.ids
-    return out
+    made = scratch.table(ordered.mapInArrow(_writer(scratch.folder(), tokenizer, end), "part int, seq int, uri string, ids bigint, docs bigint"))
+    ahead = F.sum("ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("ids")
+    tasks = made.groupBy("part").agg(F.sum("ids").alias("all"))  # a row a task
+    tasks = tasks.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("begin"))
+    return made.withColumn("ahead", ahead).join(tasks, "part").select("uri", (F.col("begin") + F.col("ahead")).alias("start"), "ids", "docs")
 
 
-def read_documents(spark, written: list[tuple[str, int]], id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, read back from the files; a task reads FILES files, one at a time."""
+def read_documents(written: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, read back from the files of `write_tokens`; a task reads about
+    FILES files, one at a time. No files: no rows."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                uri, base = written[k]
+            for uri, base in zip(batch.column("uri").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 f = TokenFile(files.read(uri))
                 ids = f.ids(0, f.n).astype("<u4")
                 s = f.starts
                 crcs = [zlib.crc32(ids[s[i] : s[i + 1]].tobytes()) for i in range(len(f.names))]
                 yield pa.RecordBatch.from_arrays([pa.array(f.names, pa.int64()), pa.array(s[:-1] + base), pa.array(np.diff(s)), pa.array(crcs, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    n = len(written)
-    return spark.range(0, n, 1, max(1, -(-n // FILES))).mapInArrow(load, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return written.select("uri", "start").repartition(max(1, -(-written.count() // FILES))).mapInArrow(load, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
