@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,24 +24,44 @@ _POWERS: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (local mode, tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local one in local mode, else an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[[^]]*])?$", master):
+        raise ValueError(f"set spark.checkpoint.dir: the executors of {master} share no local folder")
     made = "file://" + tempfile.mkdtemp(prefix="framewise-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+#: Open `stage_scratch` blocks, and the scratch folders made in each.
+_STAGES: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def stage_scratch() -> Iterator[None]:
+    """Scratch tables made inside go when the block ends: for results that are written by then."""
+    _STAGES.append([])
+    try:
+        yield
+    finally:
+        for s in _STAGES.pop():
+            s.drop()
+
+
 class Scratch:
     """Written tables in the shared folder. They cut lineage, survive lost executors and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.drop)
+        if _STAGES:
+            _STAGES[-1].append(self)
 
     def folder(self) -> str:
         self.n += 1

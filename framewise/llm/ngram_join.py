@@ -214,18 +214,19 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they stand for their own.
     """
     joined = _classes(docs, id_col, text_col, width, **options)
-    keep = joined.where(F.col("class_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("_kept"), F.col("node").alias("_of"), F.col("comp").alias("_comp")).distinct()
-    cast = docs.withColumn("_text", F.col(text_col).cast("string")) if docs.schema[text_col].dataType.simpleString() != "string" else docs
-    names = [*cast.columns, "_node"]
-    at = names.index("_text" if "_text" in names else text_col)
+    keep = joined.where(F.col("class_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("kept"), F.col("node").alias("of"), F.col("comp").alias("class")).distinct()
+    # columns go by number, so no name of theirs can clash
+    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col(text_col).cast("string").alias("read"))
+    names, text, id_ = [*numbered.columns, "node"], f"c{docs.columns.index(text_col)}", f"c{docs.columns.index(id_col)}"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = text_buffer(batch.column(at))
+            buf, off = text_buffer(batch.column(len(names) - 2))
             nodes = [d for i, j in slices(off) for d in _digests(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], width))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names)
 
-    rows = cast.mapInArrow(add, T.StructType([*(T.StructField(f.name, f.dataType) for f in cast.schema), T.StructField("_node", T.BinaryType())]))
-    rows = rows.join(keep, rows[id_col].eqNullSafe(keep["_kept"]) & (rows["_node"] == keep["_of"]))
-    least = rows.groupBy("_comp").agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("_row"))
-    return least.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    rows = numbered.mapInArrow(add, T.StructType([*(T.StructField(f.name, f.dataType) for f in numbered.schema), T.StructField("node", T.BinaryType())]))
+    rows = rows.join(keep, rows[id_].eqNullSafe(keep["kept"]) & (rows["node"] == keep["of"]))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    least = rows.groupBy("class").agg(F.min_by(F.struct(*columns), F.struct(text)).alias("row"))
+    return least.select(*(F.col("row")[c].alias(name) for c, name in zip(columns, docs.columns, strict=True)))

@@ -45,3 +45,28 @@ def test_stages_against_plain_versions(spark):
         start += len(ids)
     assert sorted(tuple(r.values()) for r in after) == sorted(want)
     assert corpus_pipeline.run(spark, SF).count() == len(want)
+
+
+def test_stages_with_odd_rows(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    prose = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 500 and 900").limit(12).collect()
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _repeats long, id long, n string, d string, t long, _text string, _node binary, key string"
+    rest = (1, 7, 2, "x", "y", 3, "z", bytearray(b"q"), "k")
+    rows = [(r.doc_id, r.text, r.lang, r.source, *rest) for r in prose]
+    rows += [(None, None, None, None, *rest), (None, prose[0].text + " more", "en", None, *rest), (5, "", "en", "a", *rest), (5, "q r s t u v", "en", "a", *rest), (5, "w x y z aa bb", "en", "a", *rest)]
+    rows += [(9, f"before {item} behind", "en", "a", *rest), (9, "clean words that no item holds at all", "en", "a", *rest), (9, None, "en", "a", *rest), (8, "long text " * 20000, "en", "b", *rest)]
+    docs = spark.createDataFrame([*rows, rows[0]], columns)
+    kept = corpus_pipeline.keep_representatives(spark, docs, SF)
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    assert {(5, "q r s t u v"), (5, "w x y z aa bb"), (9, "clean words that no item holds at all")} <= {*texts} and len(texts) == len({*texts})
+    assert sum(not (t or "").strip() for _, t in texts) == 1
+    left = corpus_pipeline.keep_uncontaminated(spark, docs, SF)
+    gone = {str(r) for r in docs.collect()} - {str(r) for r in left.collect()}
+    assert len(gone) == 1 and item[:20] in next(iter(gone)) and left.columns == docs.columns
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    assert mixed.columns == docs.columns and {str(r) for r in mixed.collect()} <= {str(r) for r in docs.collect()}
+    assert corpus_pipeline.keep_good(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == len(rows) + 1
+    nothing = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0, name
