@@ -82,3 +82,23 @@ def draw(*parts: Column | str) -> Column:
 
 def ordinal(label: Column) -> Column:
     return F.when(label == "reject", 0).when(label == "review", 1).when(label == "pick", 2)
+
+
+def safe_stem(text: Column) -> Column:
+    """Runs of other than ASCII letters, digits, dot, underscore and dash become one dash."""
+    return F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-")
+
+
+def short_number(value: Column, digits: int = 6) -> Column:
+    """Fixed digits without the zeros behind, nor a bare point."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", value), r"\.?0+$", "")
+
+
+def grouped(value: Column) -> Column:
+    """A whole number with thousands commas, n/a where absent."""
+    return F.when(value.isNotNull(), F.format_number(value, 0)).otherwise(F.lit("n/a"))
+
+
+def first_non_empty(*values: Column) -> Column:
+    """The first of several that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values))

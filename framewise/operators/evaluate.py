@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.operators import ranges
+
 FINITE = "value is not null and not isnan(value) and abs(value) < double('Infinity')"
 
 
@@ -13,14 +15,15 @@ def long_signals(df: DataFrame, signals: list[str], keep: list[str]) -> DataFram
     return df.select(*keep, *(F.col(s).cast("double").alias(s) for s in signals)).unpivot(keep, signals, "signal", "value").where(FINITE)
 
 
-def auc(df: DataFrame, *, by: list[str], value: str = "value", label: str = "label") -> DataFrame:
+def auc(df: DataFrame, *, by: list[str], value: str = "value", label: str = "label", place: Column | None = None) -> DataFrame:
     """(by, n_pick, n_reject, auc): chance that a pick outscores a reject, ties one half; null without both classes.
 
-    Rows are first counted by distinct value, so neither pairs nor a sort of all rows is needed.
+    Rows are first counted by distinct value, and counts are summed range by range: neither pairs nor a sort of all rows
+    in one task is needed. place: the range of a value, where the groups themselves are many and small.
     """
     counts = df.where(F.col(label).isin("pick", "reject")).groupBy(*by, value).agg(F.count_if(F.col(label) == "pick").alias("p"), F.count_if(F.col(label) == "reject").alias("r"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("b", F.coalesce(F.sum("r").over(w), F.lit(0)))
+    points = ranges.place(F.col(value), ranges.cuts(df, value)) if place is None else place
+    below = ranges.running(counts, [value], F.col("r"), "b", points, by).withColumn("b", F.col("b") - F.col("r"))
     won = F.sum(F.col("p").cast("decimal(38,0)") * (2 * F.col("b") + F.col("r")))
     out = below.groupBy(*by).agg(F.sum("p").alias("n_pick"), F.sum("r").alias("n_reject"), won.alias("won"))
     return out.select(*by, "n_pick", "n_reject", F.try_divide(F.col("won").cast("double"), 2.0 * F.col("n_pick") * F.col("n_reject")).alias("auc"))
@@ -29,7 +32,7 @@ def auc(df: DataFrame, *, by: list[str], value: str = "value", label: str = "lab
 def signal_summary(df: DataFrame, by: list[str]) -> DataFrame:
     """Counts and means of both classes, and rejects below every pick (what can go without a false reject)."""
     floor = df.where("label = 'pick'").groupBy(*by).agg(F.min("value").alias("floor"))
-    told = df.join(F.broadcast(floor), by, "left")
+    told = df.join(floor, by, "left")  # a row a group: broadcast where its size allows
     is_ = lambda k: F.col("label") == k
     return told.groupBy(*by).agg(
         F.count("*").alias("available"), F.count_if(is_("pick")).alias("picks"), F.count_if(is_("reject")).alias("rejects"),
@@ -46,12 +49,13 @@ def burst_metrics(df: DataFrame, *, by: list[str], burst: str, order: list) -> D
     """Over bursts with both classes: pooled share of pick-reject pairs in order, and how often a pick is first or among
     the first three. Pairs are counted from ranks within each burst."""
     both = Window.partitionBy(*by, burst)
-    pick, reject = (F.count_if(F.col("label") == k).over(both) for k in ("pick", "reject"))
-    some = df.withColumn("_p", pick).withColumn("_r", reject).where("_p > 0 and _r > 0")
-    ranked = some.withColumn("_rn", F.row_number().over(both.orderBy(*order)))
-    counts = ranked.where("label in ('pick', 'reject')").groupBy(*by, burst, "value").agg(F.count_if(F.col("label") == "pick").alias("p"), F.count_if(F.col("label") == "reject").alias("r"))
+    labelled = df.where("label in ('pick', 'reject')")
+    comparable = labelled.groupBy(*by, burst).agg(F.count_distinct("label").alias("_k")).where("_k = 2").drop("_k")
+    some = df.join(comparable, [*by, burst], "left_semi")
+    counts = some.where("label in ('pick', 'reject')").groupBy(*by, burst, "value").agg(F.count_if(F.col("label") == "pick").alias("p"), F.count_if(F.col("label") == "reject").alias("r"))
     below = F.coalesce(F.sum("r").over(both.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pairs = counts.withColumn("b", below).groupBy(*by, burst).agg(F.sum(F.col("p") * (2 * F.col("b") + F.col("r"))).alias("won"), (F.sum("p") * F.sum("r")).alias("pairs"))
+    ranked = some.withColumn("_rn", F.row_number().over(both.orderBy(*order))).where("_rn <= 3")
     tops = ranked.groupBy(*by, burst).agg(F.max(F.when((F.col("_rn") == 1) & (F.col("label") == "pick"), 1).otherwise(0)).alias("t1"), F.max(F.when((F.col("_rn") <= 3) & (F.col("label") == "pick"), 1).otherwise(0)).alias("t3"))
     return pairs.join(tops, [*by, burst]).groupBy(*by).agg(F.count("*").alias("bursts"), (F.sum("won") / (2.0 * F.sum("pairs"))).alias("pairwise"), F.avg("t1").alias("top1"), F.avg("t3").alias("top3"))
 
@@ -60,7 +64,7 @@ def coverage_curve(df: DataFrame, *, order: list, percents: tuple[int, ...] = (5
     """For each percentage: the lowest max(1, floor(n p / 100)) rows, false rejects among them and precision."""
     total = F.broadcast(df.agg(F.count("*").alias("n")))
     cuts = df.sparkSession.createDataFrame([(p,) for p in percents], "percent int").crossJoin(total).withColumn("count", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("percent") / 100)).cast("bigint"))
-    most = df.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    most = ranges.numbered(df, order, "_rn")
     return most.join(F.broadcast(cuts), F.col("_rn") <= F.col("count")).groupBy("percent", "count").agg(
         F.count_if(F.col("label") == "pick").alias("false_rejects"), (F.count_if(F.col("label") == "reject") / F.count("*")).alias("precision"))
 
@@ -91,7 +95,7 @@ def bootstrap_delta(df: DataFrame, *, key: str, left: str, right: str, iteration
     taken = drawn.join(numbered.select("label", "rn", left, right), ["label", "rn"])
     whole = numbered.select(F.lit(-1).cast("bigint").alias("iteration"), "label", left, right)
     long = taken.select("iteration", "label", left, right).union(whole).select("iteration", "label", F.expr(f"stack(2, 'left', cast({left} as double), 'right', cast({right} as double)) as (side, value)"))
-    each = auc(long, by=["iteration", "side"]).groupBy("iteration").agg(F.max(F.when(F.col("side") == "left", F.col("auc"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("auc"))).alias("r"))
+    each = auc(long, by=["iteration", "side"], place=F.lit(0)).groupBy("iteration").agg(F.max(F.when(F.col("side") == "left", F.col("auc"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("auc"))).alias("r"))
     each = each.select("iteration", (F.col("l") - F.col("r")).alias("delta"))
     placed = each.where("iteration >= 0").withColumn("rn", F.row_number().over(Window.orderBy("delta", "iteration")) - 1)
     low, high = max(0, int(0.025 * iterations) - 1), min(iterations - 1, -int(-0.975 * iterations // 1) - 1)

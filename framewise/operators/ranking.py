@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.operators import ranges
+
 
 def average_percentile(df: DataFrame, value: str, to: str) -> DataFrame:
     """Mean position of equal values over n - 1; 0.5 for a single row.
 
-    Positions come from counts of distinct values, so rows are never sorted in one task: only distinct values are.
+    Positions come from counts of distinct values, summed range by range: neither rows nor values meet in one task.
     """
     counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    below = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("_b", below).crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))
+    points = ranges.place(F.col(value), ranges.cuts(df, value))
+    below = ranges.running(counts, [value], F.col("_c"), "_b", points).withColumn("_b", F.col("_b") - F.col("_c"))
+    placed = below.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
     pct = F.when(F.col("_n") == 1, F.lit(0.5)).otherwise((F.col("_b") + (F.col("_c") - 1) / 2) / (F.col("_n") - 1))
     return df.join(placed.select(F.col(value).alias("_v"), pct.alias(to)), df[value].eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def positional_percentile(df: DataFrame, value: str, name: str, to: str, partition: list[str] | None = None) -> DataFrame:
-    """(position - 1) / (n - 1) by value, then name; 0.5 for a single row."""
-    w = Window.partitionBy(*(partition or []))
+    """(position - 1) / (n - 1) by value, then name; 0.5 for a single row. Without a partition it is found range by range."""
+    if not partition:
+        placed = ranges.numbered(df.withColumn("_low", F.lower(name)), [value, "_low", name], "_i").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
+        return placed.withColumn(to, F.when(F.col("_n") == 1, F.lit(0.5)).otherwise((F.col("_i") - 1) / (F.col("_n") - 1))).drop("_low", "_i", "_n")
+    w = Window.partitionBy(*partition)
     n = F.count("*").over(w)
     return df.withColumn(to, F.when(n == 1, F.lit(0.5)).otherwise((F.row_number().over(w.orderBy(value, F.lower(name), name)) - 1) / (n - 1)))
 

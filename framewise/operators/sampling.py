@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.scalars import draw
+from framewise.operators.ranges import numbered
 
 
-def evenly_spaced(df: DataFrame, k: int, *, order: list[Column | str]) -> DataFrame:
-    """Rows at int((i + 1/2) n / k); more than there are raises."""
-    w = Window.orderBy(*order)
-    ranked = df.withColumn("_i", F.row_number().over(w) - 1).crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
+def evenly_spaced(df: DataFrame, k: int, *, order: list[str]) -> DataFrame:
+    """Rows at int((i + 1/2) n / k); more than there are raises. Rows are numbered range by range."""
+    ranked = numbered(df, order, "_i").withColumn("_i", F.col("_i") - 1).crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
     places = df.sparkSession.range(k).select(F.col("id").alias("sample"))
     met = ranked.join(F.broadcast(places), F.col("_i") == F.floor((F.col("sample") + 0.5) * F.col("_n") / k))
     checked = F.when(F.col("_n") < k, F.raise_error(F.lit("sample is larger than the table")).cast("bigint")).otherwise(F.col("sample"))

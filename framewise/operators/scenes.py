@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.scalars import gap_seconds
+from framewise.operators import ranges
 
 
 def assign_scenes(df: DataFrame, *, folder: str, time: str, order: list[str], sequence: str | None = None, max_gap: float = 4.0, max_step: int = 3) -> DataFrame:
@@ -13,7 +14,7 @@ def assign_scenes(df: DataFrame, *, folder: str, time: str, order: list[str], se
 
     Rows of a folder in order of time (then `order`) begin a new scene where the gap is above max_gap, or where both
     sequence numbers are non-zero and the signed step is above max_step. Scenes are numbered through all folders in
-    folder order: windows run folder by folder, and only one row a folder meets in a single task.
+    folder order: windows run folder by folder, and folders are numbered range by range.
     """
     w = Window.partitionBy(folder).orderBy(time, *order)
     before, step = F.lag(time).over(w), F.lit(False)
@@ -23,7 +24,8 @@ def assign_scenes(df: DataFrame, *, folder: str, time: str, order: list[str], se
     new = before.isNull() | (gap_seconds(before, F.col(time)) > max_gap) | step
     local = df.withColumn("_new", F.when(new, 1).otherwise(0)).withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     counts = local.groupBy(folder).agg(F.max("_local").alias("_n"))
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy(folder).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    blocks = ranges.block(folder) if df.schema[folder].dataType.simpleString() in ("int", "bigint") else ranges.RANGES
+    offsets = ranges.running(counts, [folder], F.col("_n"), "_offset", blocks).withColumn("_offset", F.col("_offset") - F.col("_n")).drop("_n")
     out = local.join(offsets, folder).withColumn("scene_number", F.col("_local") + F.col("_offset"))
     index = F.row_number().over(Window.partitionBy("scene_number").orderBy(time, *order))
     return out.withColumn("scene_id", F.format_string("scene-%04d", "scene_number")).withColumn("scene_index", index).drop("_new", "_local", "_offset")
@@ -38,7 +40,8 @@ def cohorts(df: DataFrame, size: int, *, scene: str, order: list[Column | str],
     """Consecutive chunks of `size` rows within a scene; cohort_id counts through the scenes in order."""
     chunk = F.floor((F.row_number().over(Window.partitionBy(scene).orderBy(*order)) - 1) / size).cast("bigint")
     cut = df.withColumn("_chunk", chunk)
-    heads = cut.select(scene, "_chunk").distinct().withColumn("cohort_number", F.row_number().over(Window.orderBy(scene, "_chunk")))
+    blocks = ranges.block(scene) if df.schema[scene].dataType.simpleString() in ("int", "bigint") else ranges.RANGES
+    heads = ranges.numbered(cut.select(scene, "_chunk").distinct(), [scene, "_chunk"], "cohort_number", blocks)
     return cut.join(heads, [scene, "_chunk"]).withColumn("cohort_id", F.format_string(prefix + "%03d", "cohort_number")).drop("_chunk")
 
 
@@ -58,5 +61,5 @@ def rescue(df: DataFrame, *, scene: str, ready: str, order: list[Column | str],
 
 def winner_disagreement(df: DataFrame, *, scene: str, left: str, right: str, name: str) -> DataFrame:
     """Scenes of two rows or more whose winners by two scores differ; ties go to the greatest name."""
-    best = df.groupBy(scene).agg(F.count("*").alias("n"), *(F.max(F.struct(c, F.lower(name).alias("k"))).getField("k").alias(f"{c}_winner") for c in (left, right)))
+    best = df.groupBy(scene).agg(F.count("*").alias("n"), *(F.max(F.struct(c, F.lower(name).alias("k"), F.col(name).alias("name"))).getField("name").alias(f"{c}_winner") for c in (left, right)))
     return best.where((F.col("n") >= 2) & (F.col(f"{left}_winner") != F.col(f"{right}_winner")))

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import scalars, tiles
-from framewise.operators import dedup, evaluate, logs, models, ranking, sampling, scenes
+from framewise.operators import dedup, evaluate, logs, models, ranges, ranking, sampling, scenes
+from framewise.operators.lineage import settled
+from framewise.plans.registry import ORACLES, QUERIES, query
+from framewise.plans.registry import rounded as _r
 from framewise.sources import binding as b
 from framewise.sources import files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _r(c: F.Column | str, name: str, digits: int = 6) -> F.Column:
-    return F.round(c if isinstance(c, F.Column) else F.col(c), digits).alias(name)
-
+__all__ = ["ORACLES", "QUERIES"]
 
 GAP = 21600.0
 SCENES = f"""WITH {b.EVENTS}, cut AS (SELECT *, CASE WHEN lag(mtime) OVER f IS NULL OR
@@ -71,9 +56,8 @@ def topk_per_scene(spark, d):
 
 @query(SCENES + "SELECT frame, row_number() OVER (ORDER BY scene_number, value DESC, scene_index, frame) AS place FROM sc")
 def candidate_order(spark, d):
-    from pyspark.sql import Window
-
-    return _scenes(spark, d).select("frame", F.row_number().over(Window.orderBy("scene_number", F.desc("value"), "scene_index", "frame")).cast("bigint").alias("place"))
+    sc = _scenes(spark, d).withColumn("_low", -F.col("value"))
+    return ranges.numbered(sc, ["scene_number", "_low", "scene_index", "frame"], "place", ranges.block("scene_number")).select("frame", "place")
 
 
 @query(SCENES + """, m AS (SELECT *, bool_or(label = 'pick') OVER (PARTITION BY scene_id) AS any_pick, row_number() OVER (PARTITION BY scene_id ORDER BY value DESC, frame DESC) AS rn FROM sc)
@@ -187,15 +171,15 @@ def coverage_curve(spark, d):
 
 
 @query(f"""WITH {b.DOCS}, num AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM doc WHERE label != 'neutral'),
-dr AS (SELECT i AS iteration, label, (('0x' || substr(md5('seed|' || i || '|' || label || '|' || rn), 1, 8))::BIGINT % n) AS rn FROM num, range(40) t(i)),
+dr AS (SELECT i AS iteration, label, (('0x' || substr(md5('seed|' || i || '|' || label || '|' || rn), 1, 8))::BIGINT % n) AS rn FROM num, range(200) t(i)),
 tk AS (SELECT iteration, label, size AS l, other AS r FROM dr JOIN num USING (label, rn) UNION ALL SELECT -1, label, size, other FROM num),
 lg AS (SELECT iteration, label, 'l' AS side, l AS value FROM tk UNION ALL SELECT iteration, label, 'r', r FROM tk),
 rk AS (SELECT iteration, side, label, rank() OVER (PARTITION BY iteration, side ORDER BY value) + (count(*) OVER (PARTITION BY iteration, side, value) - 1) / 2.0 AS k FROM lg),
 au AS (SELECT iteration, side, (sum(k) FILTER (label = 'pick') - count(*) FILTER (label = 'pick') * (count(*) FILTER (label = 'pick') + 1) / 2.0) / (count(*) FILTER (label = 'pick')::DOUBLE * count(*) FILTER (label = 'reject')) AS a FROM rk GROUP BY 1, 2),
 de AS (SELECT iteration, max(a) FILTER (side = 'l') - max(a) FILTER (side = 'r') AS delta FROM au GROUP BY 1), so AS (SELECT delta, row_number() OVER (ORDER BY delta, iteration) - 1 AS rn FROM de WHERE iteration >= 0)
-SELECT round((SELECT delta FROM de WHERE iteration = -1), 6) AS observed, round(max(delta) FILTER (rn = 0), 6) AS low, round(max(delta) FILTER (rn = 38), 6) AS high FROM so""")
+SELECT round((SELECT delta FROM de WHERE iteration = -1), 6) AS observed, round(max(delta) FILTER (rn = 4), 6) AS low, round(max(delta) FILTER (rn = 194), 6) AS high FROM so""")
 def bootstrap_auc_delta(spark, d):
-    return evaluate.bootstrap_delta(b.doc_frames(spark, d), key="doc_id", left="size", right="other", iterations=40).select(_r("observed", "observed"), _r("low", "low"), _r("high", "high"))
+    return evaluate.bootstrap_delta(b.doc_frames(spark, d), key="doc_id", left="size", right="other", iterations=200).select(_r("observed", "observed"), _r("low", "low"), _r("high", "high"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN good IS NOT NULL THEN CASE WHEN good THEN 'pick' ELSE 'reject' END WHEN coalesce(rating, 0) = -1 THEN 'reject' WHEN coalesce(rating, 0) > 0 THEN 'pick' ELSE 'neutral' END AS label
@@ -274,9 +258,9 @@ def anti_excluded(spark, d):
 
 
 @query("""SELECT k, CASE WHEN b IS NULL THEN 'missing' ELSE 'unexpected' END AS side FROM (SELECT coalesce(c_custkey, o_custkey) AS k, c_custkey AS a, o_custkey AS b
-FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 10 != 0) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey) WHERE a IS NULL OR b IS NULL""")
+FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey) WHERE a IS NULL OR b IS NULL""")
 def set_check(spark, d):
-    return logs.set_difference(b.read(spark, d, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("k")), b.read(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return logs.set_difference(b.read(spark, d, "customer").select(F.col("c_custkey").alias("k")), b.read(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("SELECT n_name AS name FROM nation INTERSECT SELECT r_name FROM region UNION ALL (SELECT n_name FROM nation EXCEPT SELECT r_name FROM region)")
@@ -369,12 +353,12 @@ def balanced_sample(spark, d):
     return sampling.balanced(b.read(spark, d, "documents").select("doc_id", "source"), folder="source", name="doc_id", folders=6, total=25, seed="s").select("doc_id", "source", "place")
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY {MD5.format("'g|' || event_id")}, event_id) AS rn FROM events WHERE user_id < 40),
+@query(f"""WITH RECURSIVE r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY {MD5.format("'g|' || event_id")}, event_id) AS rn FROM events),
 w(user_id, rn, kept) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[] FROM r UNION ALL
 SELECT w.user_id, r.rn, CASE WHEN len(list_filter(kept, lambda k: abs(k - event_id) < 400)) = 0 THEN list_append(kept, event_id) ELSE kept END FROM w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1)
 SELECT user_id, unnest(arg_max(kept, rn)) AS event_id FROM w GROUP BY 1""")
 def gap_sample(spark, d):
-    ev = b.read(spark, d, "events").where("user_id < 40").select("user_id", "event_id")
+    ev = b.read(spark, d, "events").select("user_id", "event_id")
     return dedup.gap_sample(ev, group="user_id", name="event_id", sequence="event_id", order=scalars.draw(F.lit("g"), "event_id"), gap=400)
 
 
@@ -412,11 +396,6 @@ def pipeline_summary(spark, d):
     return z.agg(F.count("*").alias("total"), is_("rejected_local"), is_("scored"), is_("ready"), F.countDistinct("scene_id").alias("scenes"), F.count_if(F.col("label") == "pick").alias("picks"))
 
 
-@query("SELECT event_type AS status, count(*) AS n, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS names FROM events WHERE user_id < 30 GROUP BY 1")
-def stage_inventory(spark, d):
-    return b.read(spark, d, "events").where("user_id < 30").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("names"))
-
-
 @query(f"WITH {b.DOCS} SELECT source, count(*) FILTER (label = 'pick') AS pick, count(*) FILTER (label = 'reject') AS reject, count(*) FILTER (label = 'neutral') AS neutral FROM doc GROUP BY 1")
 def label_totals(spark, d):
     is_ = lambda k: F.count_if(F.col("label") == k).alias(k)
@@ -560,19 +539,47 @@ def session_window_scenes(spark, d):
     return out.select("folder", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "frames")
 
 
-@query()
+CULL = SCENES.replace("WITH ev", "WITH RECURSIVE ev") + """, raw AS (SELECT *, (frame % 17)::DOUBLE AS learned FROM sc WHERE frame % 10 != 9),
+p AS (SELECT *, (rank() OVER (ORDER BY value) - 1 + (count(*) OVER (PARTITION BY value) - 1) / 2.0) / (count(*) OVER () - 1) AS a, (rank() OVER (ORDER BY learned) - 1 + (count(*) OVER (PARTITION BY learned) - 1) / 2.0) / (count(*) OVER () - 1) AS b FROM raw),
+g AS (SELECT *, round(0.75 * a + 0.25 * b, 9) AS score, value < 20 AND learned < 6 AS gated, (learned < 6)::INT AS weak_votes FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, frame DESC) AS rn FROM g WHERE NOT gated),
+w(scene_id, rn, kept, frame, dup) AS (SELECT DISTINCT scene_id, 0::BIGINT, []::DOUBLE[], NULL::BIGINT, NULL::BOOLEAN FROM r UNION ALL
+SELECT w.scene_id, r.rn, CASE WHEN len(list_filter(w.kept, lambda k: abs(k - r.value) <= 2)) > 0 THEN w.kept ELSE list_append(w.kept, r.value) END, r.frame, len(list_filter(w.kept, lambda k: abs(k - r.value) <= 2)) > 0 FROM w JOIN r ON r.scene_id = w.scene_id AND r.rn = w.rn + 1),
+c AS (SELECT g.*, coalesce(w.dup, false) AS dup FROM g LEFT JOIN w ON g.frame = w.frame), c2 AS (SELECT *, row_number() OVER (PARTITION BY scene_id, gated, dup ORDER BY score DESC, scene_index, frame) AS place FROM c),
+c3 AS (SELECT *, NOT gated AND NOT dup AND place <= 3 AS ready FROM c2), c4 AS (SELECT *, bool_or(ready) OVER (PARTITION BY scene_id) AS some_ready, row_number() OVER (PARTITION BY scene_id ORDER BY value DESC, frame DESC) AS best FROM c3),
+s AS (SELECT *, CASE WHEN ready THEN 'ready' WHEN NOT some_ready AND best = 1 AND value >= 15 THEN 'rescued' ELSE 'rejected_local' END AS status, (row_number() OVER (PARTITION BY scene_number ORDER BY score DESC, scene_index, frame) - 1) // 6 AS chunk FROM c4),
+b AS (SELECT *, CASE WHEN status = 'rejected_local' THEN 'reject' WHEN score >= 0.6 THEN 'pick' ELSE 'review' END AS bucket, printf('scene-cohort-%03d', dense_rank() OVER (ORDER BY scene_number, chunk)) AS cohort_id FROM s)
+SELECT frame, scene_id, scene_index, cohort_id, round(score, 6) AS score, weak_votes, dup AS duplicate, status, bucket, CASE bucket WHEN 'reject' THEN -1 WHEN 'review' THEN 0 ELSE 4 END AS rating, CASE bucket WHEN 'reject' THEN 'Yellow' WHEN 'pick' THEN 'Green' END AS color FROM b
+UNION ALL SELECT j.frame, j.scene_id, j.scene_index, NULL, NULL, NULL, NULL, CASE WHEN b.frame IS NULL THEN 'unpaired' ELSE 'mirrored' END, b.bucket, CASE b.bucket WHEN 'reject' THEN -1 WHEN 'review' THEN 0 WHEN 'pick' THEN 4 END, CASE b.bucket WHEN 'reject' THEN 'Yellow' WHEN 'pick' THEN 'Green' END
+FROM sc j LEFT JOIN b ON b.frame = j.frame - 1 WHERE j.frame % 10 = 9"""
+
+
+@query(CULL)
 def pipeline_cull(spark, d):
-    """Frames to decisions: scenes, gate, percentile blend, cap, rescue and cohorts; one row a frame."""
-    sc = _scenes(spark, d).withColumn("learned", (F.col("frame") % 17).cast("double"))
+    """Frames to decisions, one row a frame: scenes, gate, percentile blend, greedy de-duplication, cap, rescue, cohorts,
+    and the decisions of originals mirrored to the copies beside them (every tenth frame). Scenes, scores and duplicates
+    are each read by several later steps, so they are written once."""
+    sc = settled(_scenes(spark, d))
+    raw = sc.where("frame % 10 != 9").withColumn("learned", (F.col("frame") % 17).cast("double"))
     weak, votes, rejected = ranking.gate([F.col("value") < 20], [F.col("learned") < 6], 1)
-    gated = ranking.blend(sc.withColumns({"weak_votes": votes, "gated": rejected}), "value", "learned", 0.25, "score")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("scene_id")
-    place = F.row_number().over(w.orderBy(F.col("gated"), F.desc("score"), "scene_index", "frame"))
-    ready = gated.withColumn("place", place).withColumn("some", F.max((~F.col("gated")).cast("int")).over(w) == 1)
-    status = F.when(~F.col("gated") & (F.col("place") <= 3), "ready").when(~F.col("some") & (F.col("place") == 1) & (F.col("value") >= 15), "rescued").otherwise("rejected_local")
+    scored = ranking.blend(raw.withColumns({"weak_votes": votes, "gated": rejected}), "value", "learned", 0.25, "score").withColumn("score", F.round("score", 9))
+    scored = settled(scored)
+    folded = dedup.greedy(scored.where("not gated"), group="scene_id", name="frame", order=[F.col("score")], fields=["value"], near=lambda r, k: F.abs(r["value"] - k["value"]) <= 2)
+    told = settled(scored.join(folded.select("frame", "anchor"), "frame", "left").withColumn("duplicate", F.col("anchor").isNotNull()))
+    capped = scenes.top_per_scene(told.where("not gated and not duplicate"), 3, scene="scene_id", order=[F.desc("score"), "scene_index", "frame"]).select("frame", F.lit(True).alias("ready"))
+    told = told.join(capped, "frame", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
+    saved = scenes.rescue(told, scene="scene_id", ready="ready", order=[F.desc("value"), F.desc("frame")], floors={"value": 20.0}).select("frame", F.lit(True).alias("saved"))
+    told = told.join(saved, "frame", "left")
+    status = F.when(F.col("ready"), "ready").when(F.col("saved"), "rescued").otherwise("rejected_local")
     bucket = F.when(F.col("status") == "rejected_local", "reject").when(F.col("score") >= 0.6, "pick").otherwise("review")
     rating, label = ranking.normalised_decision(F.col("bucket"), F.lit(0), F.lit(None).cast("string"))
-    out = ready.withColumn("status", status).withColumn("bucket", bucket).withColumns({"rating": rating, "color": label})
-    return scenes.cohorts(out, 6, scene="scene_number", order=[F.desc("score"), "scene_index"]).select("frame", "scene_id", "scene_index", "cohort_id", _r("score", "score"), "weak_votes", "status", "bucket", "rating", "color")
+    out = told.withColumn("status", status).withColumn("bucket", bucket).withColumns({"rating": rating, "color": label})
+    out = scenes.cohorts(out, 6, scene="scene_number", order=[F.desc("score"), "scene_index", "frame"])
+    columns = ["frame", "scene_id", "scene_index", "cohort_id", "score", "weak_votes", "duplicate", "status", "bucket", "rating", "color"]
+    copies = sc.where("frame % 10 = 9").select("frame", "scene_id", "scene_index", (F.col("frame") - 1).alias("partner"))
+    both = out.select(*columns).unionByName(copies, allowMissingColumns=True)
+    both = logs.mirror_pairs(both, key="frame", partner="partner", columns=["bucket", "rating", "color"])
+    mirrored = F.when(F.col("partner").isNull(), F.col("status")).when(F.col("bucket").isNull(), "unpaired").otherwise("mirrored")
+    return both.withColumn("status", mirrored).withColumn("score", F.round("score", 6)).select(*columns)
+
+
+from framewise.plans import decisions as _decisions  # noqa: E402, F401  its queries register themselves

@@ -54,8 +54,8 @@ TILES = """tile AS (SELECT vec_id, label AS scene, list_transform(embedding, lam
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision log: two models judge each event, some twice (the later offset counts), some not at all."""
-    ev = read(spark, sf_dir, "events").where("event_id % 3 != 0")
+    """A decision log: two models judge each user's events, mostly several times (the later offset counts)."""
+    ev = read(spark, sf_dir, "events")
     bucket = lambda k: F.element_at(F.array(*map(F.lit, ("reject", "review", "pick"))), (F.pmod(F.floor(F.col("value") * 7 + k), F.lit(3)) + 1).cast("int"))
     log = ev.select(F.col("user_id").alias("item"), F.col("event_id").alias("offset"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("model"), bucket(0).alias("bucket"), (F.col("event_id") % 6).cast("int").alias("rating"), (F.col("event_id") % 11 + 1).cast("double").alias("seconds"), "value")
     human = F.element_at(F.array(*map(F.lit, ("reject", "review", "pick"))), (F.col("item") % 3 + 1).cast("int"))
@@ -65,5 +65,5 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERDICTS = """verdict AS (SELECT user_id AS item, event_id AS "offset", CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS model,
   ['reject', 'review', 'pick'][((floor(value * 7)::BIGINT % 3 + 3) % 3 + 1)] AS bucket, (event_id % 6)::INT AS rating,
   (event_id % 11 + 1)::DOUBLE AS seconds, value, ['reject', 'review', 'pick'][user_id % 3 + 1] AS human
-  FROM events WHERE event_id % 3 != 0),
+  FROM events),
 latest AS (SELECT * FROM verdict QUALIFY row_number() OVER (PARTITION BY item, model ORDER BY "offset" DESC) = 1)"""

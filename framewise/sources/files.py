@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.functions.scalars import parent, stem
+from framewise.functions.scalars import loose_bool, loose_int, parent, stem
+from framewise.operators.ranking import human_label
 
 RAW = (".arw", ".cr2", ".cr3", ".dng", ".nef", ".orf", ".raf", ".rw2")
 JPEG = (".jpg", ".jpeg")
 
 
-def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(path, modificationTime, length) below root, by suffix in any case; hidden parts and folders named output go."""
+def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...], *, content: bool = False) -> DataFrame:
+    """(path, modificationTime, length, xmp_path) below root, by suffix in any case; hidden parts and folders named output
+    go. xmp_path is where a sidecar of the file stands; with `content` its bytes are a column too, else they are not read."""
     pattern = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s[1:]) for s in suffixes) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).drop("content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    found = found if content else found.drop("content")
     below = F.split(F.substring("path", len(_clean(root)) + 2, 1 << 20), "/")
     path = F.regexp_replace("path", "^file:/+", "/")
     found = found.withColumn("_parts", below).withColumn("path", path)
-    return found.where(~F.exists("_parts", lambda p: p.startswith(".")) & ~F.exists(F.slice("_parts", 1, F.size("_parts") - 1), lambda p: F.lower(p) == "output")).drop("_parts").orderBy("path")
+    return found.where(~F.exists("_parts", lambda p: p.startswith(".")) & ~F.exists(F.slice("_parts", 1, F.size("_parts") - 1), lambda p: F.lower(p) == "output")).drop("_parts").withColumn("xmp_path", F.regexp_replace("path", r"(?<=[^/])\.[^./]*$", ".xmp")).orderBy("path")
 
 
 def _clean(root: str) -> str:
@@ -46,23 +51,53 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, *, str
     return df.where(F.col(key).isNotNull()) if key else df
 
 
+def read_guarded_manifest(spark: SparkSession, path: str, schema: T.StructType, *, state: str, sha256: str) -> DataFrame:
+    """A manifest of a finished album whose bytes are those that were signed off; else ValueError. The digest is taken
+    where the file is read, only its 64 digits reach the driver."""
+    if state != "complete":
+        raise ValueError(f"the album is {state}")
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).collect()
+    if [r.d for r in found] != [sha256.lower()]:
+        raise ValueError(f"{path} has changed")
+    return read_json_lines(spark, path, schema, strict=True)
+
+
 def read_header_and_records(spark: SparkSession, path: str, suggestion: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(header lines, records): nested records carry `suggestion` and status null or ok, flat ones raw_path or asset_id."""
+    """(header lines, records): nested records carry `suggestion` and status null or ok, flat ones raw_path or asset_id;
+    any other line, a failed record too, is a header line."""
     lines = spark.read.text(path).where("trim(value) != ''")
     full = T.StructType([T.StructField("raw_path", T.StringType()), T.StructField("asset_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("suggestion", suggestion), *suggestion.fields])
     parsed = lines.select("value", F.from_json("value", full).alias("r"))
     nested = parsed.where("r.suggestion is not null and (r.status is null or r.status = 'ok')").select("r.raw_path", "r.asset_id", "r.suggestion.*")
     flat = parsed.where("r.suggestion is null and (r.raw_path is not null or r.asset_id is not null)").select("r.raw_path", "r.asset_id", *(F.col("r")[f.name].alias(f.name) for f in suggestion.fields))
-    header = parsed.where("r.suggestion is null and r.raw_path is null and r.asset_id is null").select("value")
-    return header, nested.unionByName(flat)
+    record = F.col("r.suggestion").isNotNull() & (F.col("r.status").isNull() | (F.col("r.status") == "ok")) | F.col("r.suggestion").isNull() & (F.col("r.raw_path").isNotNull() | F.col("r.asset_id").isNotNull())
+    return parsed.where(~record).select("value"), nested.unionByName(flat)
+
+
+def merged_header(header: DataFrame) -> dict:
+    """The header lines as one object, later fields win: a file has a handful, so they are merged on the driver."""
+    out: dict = {}
+    for r in header.collect():
+        out |= json.loads(r.value)
+    return out
 
 
 def read_table(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """A relational table through JDBC; non-finite numbers become nulls."""
     df = spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    return finite_columns(df)
+
+
+def finite_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), F.col(n)) for n, k in df.dtypes if k in ("double", "float")})
 
 
+def table_signals(df: DataFrame, *, keep: list[str], signals: dict[str, str]) -> DataFrame:
+    """(keep..., signal, value) of a score table: its columns under the names of `signals`, absent and non-finite ones gone."""
+    renamed = df.select(*keep, *(F.col(c).cast("double").alias(n) for c, n in signals.items()))
+    return finite_columns(renamed).unpivot(keep, [*signals.values()], "signal", "value").where("value is not null")
+
+
 def read_choices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("filename string, scene_id string, choice string").option("header", True).csv(path)
 
@@ -81,8 +116,41 @@ def sidecar_attribute(xml: Column, name: str) -> Column:
     return F.try_element_at(F.xpath(xml, F.lit(f"//@*[local-name()='{name}']")), F.lit(-1))
 
 
+def sidecar_labels(df: DataFrame, *, path: str, xml: str) -> DataFrame:
+    """(path, good, rating, pick, colour, label) of sidecar texts, by the rule of human labels."""
+    names = {"good": "good", "rating": "Rating", "pick": "Pick", "colour": "Label"}
+    flat = df.select(path, *(sidecar_attribute(F.col(xml), n).alias(k) for k, n in names.items()))
+    label = human_label(loose_bool(F.col("good"), wide=False), loose_int(F.col("rating")), loose_int(F.col("pick")))
+    return flat.withColumn("label", label)
+
+
+def embedded_flags(df: DataFrame, flags: dict[str, list[str]]) -> DataFrame:
+    """Booleans of a table of extracted metadata: a flag is set where any of its tag columns holds something."""
+    held = lambda c: F.coalesce(F.length(F.trim(F.col(c).cast("string"))) > 0, F.lit(False))
+    any_ = {k: F.lit(False) for k in flags}
+    for k, columns in flags.items():
+        for c in columns:
+            any_[k] = any_[k] | held(c)
+    return df.withColumns(any_)
+
+
+def signals_of_run(df: DataFrame, names: list[str], *, renamed: dict[str, str] | None = None, key: str = "filename", scene_prefix: str = "cull:") -> DataFrame:
+    """(key, burst, signal, value) of a frozen run: the signals named, some renamed; local_gate_reject where the gate left a
+    trace and pipeline_reject where a decision has a bucket, as 1 or 0. A row without scene has no burst."""
+    renamed = renamed or {}
+    wanted = F.map_filter(F.coalesce("signals", F.create_map().cast("map<string,double>")), lambda k, v: k.isin(*names) & v.isNotNull())
+    if renamed:
+        table = F.create_map(*(F.lit(x) for kv in renamed.items() for x in kv))
+        wanted = F.transform_keys(wanted, lambda k, v: F.coalesce(F.element_at(table, k), k))
+    flag = lambda c: c.cast("int").cast("double")
+    more = F.array(F.struct(F.lit("local_gate_reject").alias("key"), flag(F.col("local_trace.quality_reject")).alias("value")), F.struct(F.lit("pipeline_reject").alias("key"), flag(F.col("decision.bucket") == "reject").alias("value")))
+    told = F.map_concat(wanted, F.map_from_entries(F.filter(more, lambda e: e["value"].isNotNull())))
+    return df.select(key, F.concat(F.lit(scene_prefix), "scene_id").alias("burst"), F.explode(told).alias("signal", "value"))
+
+
 def signals_of_manifest(df: DataFrame, names: list[str], scene_prefix: str = "cull:") -> DataFrame:
-    """Long signals of a frozen run; its decision gives two more signals, its scenes name the bursts."""
+    """Long signals of a frozen run whose rows may hold legacy decisions: a row without bucket counts by `keep`, and every
+    row tells whether the pipeline rejected it; its scenes name the bursts."""
     derived = F.map_from_arrays(F.array(F.lit("pipeline_reject")), F.array(F.when(F.coalesce("decision.bucket", F.when(F.col("decision.keep"), "pick").otherwise("reject")) == "reject", 1.0).otherwise(0.0)))
     wanted = F.map_filter(F.coalesce("signals", F.create_map().cast("map<string,double>")), lambda k, v: k.isin(*names) & v.isNotNull())
     return df.select("filename", F.concat(F.lit(scene_prefix), "scene_id").alias("burst"), F.explode(F.map_concat(wanted, derived)).alias("signal", "value"))
