@@ -64,14 +64,14 @@ def read_guarded_manifest(spark: SparkSession, path: str, schema: T.StructType,
 
 def read_header_and_records(spark: SparkSession, path: str, suggestion: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(header lines, records): nested records carry `suggestion` and status null or ok, flat ones raw_path or asset_id;
-    any other line, a failed record too, is a header line."""
+    nested records of another status go, any other line is a header line."""
     lines = spark.read.text(path).where("trim(value) != ''")
     full = T.StructType([T.StructField("raw_path", T.StringType()), T.StructField("asset_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("suggestion", suggestion), *suggestion.fields])
     parsed = lines.select("value", F.from_json("value", full).alias("r"))
     nested = parsed.where("r.suggestion is not null and (r.status is null or r.status = 'ok')").select("r.raw_path", "r.asset_id", "r.suggestion.*")
     flat = parsed.where("r.suggestion is null and (r.raw_path is not null or r.asset_id is not null)").select("r.raw_path", "r.asset_id", *(F.col("r")[f.name].alias(f.name) for f in suggestion.fields))
-    record = F.col("r.suggestion").isNotNull() & (F.col("r.status").isNull() | (F.col("r.status") == "ok")) | F.col("r.suggestion").isNull() & (F.col("r.raw_path").isNotNull() | F.col("r.asset_id").isNotNull())
-    return parsed.where(~record).select("value"), nested.unionByName(flat)
+    header = parsed.where("r.suggestion is null and r.raw_path is null and r.asset_id is null").select("value")
+    return header, nested.unionByName(flat)
 
 
 def merged_header(header: DataFrame) -> dict:
