@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from framewise.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_file, warc
 from framewise.llm.common import crc
+from framewise.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,4 +95,3 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file)}
-ORACLES: dict[str, str] = {}

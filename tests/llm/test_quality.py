@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from framewise.llm import quality, queries
@@ -43,3 +45,41 @@ def test_trees_and_odd_rows(spark):
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert quality.fit_quality(docs, labels.where("false")) is None
     assert quality.score_quality(docs.where("false"), None).count() == 0
+
+
+def test_rows_and_held_out(spark, monkeypatch):
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    held = {k for k in docs if zlib.crc32(str(k).encode()) % 5 == 0}
+    seen, fit = [], quality.fit_quality
+    monkeypatch.setattr(quality, "fit_quality", lambda d, labels, **k: seen.append({r.doc_id for r in labels.collect()}) or fit(d, labels, **k))
+    got = queries.op8_quality(spark, SF).collect()
+    assert len(got) == len(docs) and {(r.doc_id, r.held_out) for r in got} == {(k, k in held) for k in docs}
+    assert seen and not seen[0] & held
+
+
+def test_trees_against_a_walk_node_by_node():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    trees = quality.Trees().fit(x, (x[:, 0] + x[:, 1] ** 2 > 1).astype(float))
+
+    def walk(row):
+        total = trees.base
+        for at in trees.roots:
+            while trees.left[at] >= 0:
+                at = trees.left[at] + (row[trees.feature[at]] > trees.threshold[at])
+            total += trees.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(trees.predict(x), [walk(r) for r in x])
+
+
+def test_a_repeated_id_does_not_swell_the_fit(spark):
+    docs = spark.createDataFrame([(1, "plain words")] * 500 + [(2, "LOUD!!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    asked, fit = [], quality.Trees.fit
+    quality.Trees.fit = lambda self, x, y, **k: asked.append(len(x)) or fit(self, x, y, **k)
+    try:
+        quality.fit_quality(docs, labels)
+    finally:
+        quality.Trees.fit = fit
+    assert asked == [2]
