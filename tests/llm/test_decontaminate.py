@@ -108,3 +108,38 @@ def test_items_without_id(spark):
     bench = spark.createDataFrame([(None, " ".join(first)), (None, " ".join(other)), (7, " ".join(other))], "item_id long, text string")
     got = {r.doc_id: (r.contaminated, r["items"]) for r in decontaminate.decontaminate(docs, bench).collect()}
     assert got == {0: (True, [None]), 1: (True, [7, None]), 2: (False, [])}
+
+
+def test_edits_near_both_ends_and_inside_by_item_size(spark):
+    """Recall against brute force is 1 for every size of item and every place of an edit."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    items = {i: [word() for _ in range(n)] for i, n in enumerate([5, 9, 13, 17, 23, 27, 38, 52, 59, 80, 120, 200, 400] * 3)}
+    docs = {}
+    for w in items.values():
+        n = len(w)
+        for places in ((6, n - 7), (n // 2,), (6, n // 2, n - 7), (0,), (n - 1,), (0, n - 1)):
+            p = list(w)
+            for at in places:
+                if 0 <= at < n:
+                    p[at] = word()
+            docs[len(docs)] = [word() for _ in range(rng.randrange(40))] + p + [word() for _ in range(rng.randrange(9))]
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    want = brute(docs, items)
+    got = {(r.doc_id, r.item) for r in decontaminate.matches(frame, bench).collect()}
+    sizes = {len(items[i]) for _, i in want}
+    assert got == set(want) and len(sizes) >= 10 and max(sizes) == 400
+
+
+def test_fingerprints_against_a_plain_simhash(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    hashes = [rng.getrandbits(63) for _ in range(130)]
+    sizes = tuple(sorted({*decontaminate.SIZES, *decontaminate.LADDER}))
+    rows = spark.createDataFrame([(hashes,)], "s array<long>")
+    got = {(r["pos"], r["size"]): r.f for r in decontaminate.windows(rows.select(F.lit(1).alias("k"), "s"), sizes).collect()}
+    assert {k for k in got if k[1] > 1} == {(p, s) for s in sizes if s > 1 for p in range(0, 131 - s, 4)}
+    for (p, s), f in got.items():
+        assert f == sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes[p : p + s]) > s)
