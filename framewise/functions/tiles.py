@@ -48,6 +48,12 @@ def difference_bits(tile: Column, side: int) -> Column:
     return F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: i % side < side - 1), lambda i: F.when(F.element_at(tile, i + 2) > F.element_at(tile, i + 1), "1").otherwise("0")), "")
 
 
+def bits_hex(bits: Column) -> Column:
+    """Hex digits of a text of '0' and '1', four a digit, the first bit highest."""
+    groups = F.sequence(F.lit(0), F.floor((F.length(bits) - 1) / 4).cast("int"))
+    return F.lower(F.array_join(F.transform(groups, lambda i: F.conv(bits.substr(i * 4 + 1, F.lit(4)), 2, 16)), ""))
+
+
 def sign_hash(tile: Column) -> Column:
     """16 hex digits: the sign bits of 64 values."""
     def digit(k: int) -> Column:

@@ -27,9 +27,9 @@ def greedy(df: DataFrame, *, group: str, name: str, order: list[Column], fields:
     return folded.select(group, F.col("x.name").alias(name), F.col("x.anchor").alias("anchor"))
 
 
-def gap_sample(df: DataFrame, *, group: str, name: str, sequence: str, order: Column, gap: int) -> DataFrame:
+def gap_sample(df: DataFrame, *, group: str, name: str, sequence: str, order: Column, gap: int, least: int = 0) -> DataFrame:
     """(group, name) accepted in `order`: every accepted sequence number lies `gap` or more away; rows without a number
-    always pass."""
+    always pass. A group that yields fewer than `least` raises when it is read."""
     key = F.struct(order.alias("o"), F.col(name).alias("name"), F.col(sequence).cast("bigint").alias("s"))
     names = df.schema[name].dataType.simpleString()
     rows = df.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("rows"))
@@ -39,4 +39,8 @@ def gap_sample(df: DataFrame, *, group: str, name: str, sequence: str, order: Co
         free = r["s"].isNull() | ~F.exists(kept, lambda k: F.coalesce(F.abs(k["s"] - r["s"]) < gap, F.lit(False)))
         return F.when(free, F.array_append(kept, F.struct(r["name"].alias("name"), r["s"].alias("s")))).otherwise(kept)
 
-    return rows.select(group, F.explode(F.aggregate("rows", start, step)).alias("x")).select(group, F.col("x.name").alias(name))
+    taken = F.aggregate("rows", start, step)
+    if least:
+        rows = rows.withColumn("rows", taken)
+        taken = F.when(F.size("rows") < least, F.raise_error(F.lit("not enough rows lie apart")).cast(f"array<struct<name:{names},s:bigint>>")).otherwise(F.col("rows"))
+    return rows.select(group, F.explode(taken).alias("x")).select(group, F.col("x.name").alias(name))

@@ -41,6 +41,19 @@ def signal_summary(df: DataFrame, by: list[str]) -> DataFrame:
     ).withColumn("zero_fr_coverage", F.col("zero_fr_rejects") / F.col("available"))
 
 
+def signal_report(df: DataFrame, *, burst: str, name: str, directions: dict[str, int]) -> DataFrame:
+    """One row a signal with both classes: counts and means, AUC, pairs and tops within bursts, what can go without a false
+    reject. A signal with direction -1 is turned round for all but its means. Rows: (signal, value, label, burst, name)."""
+    turn = F.create_map(*(F.lit(x) for k, v in directions.items() for x in (k, float(v))))
+    asked = df.where(F.col("label").isin("pick", "reject") & F.col("signal").isin(*directions)).withColumn("_d", turn[F.col("signal")]).withColumn("value", F.col("value") * F.col("_d"))
+    each = signal_summary(asked, ["signal"]).where("picks > 0 and rejects > 0")
+    for c in ("pick_mean", "reject_mean"):
+        each = each.withColumn(c, F.col(c) * turn[F.col("signal")])
+    ranks = auc(asked, by=["signal"]).select("signal", "auc")
+    within = burst_metrics(asked.where(F.col(burst).isNotNull()), by=["signal"], burst=burst, order=[F.desc("value"), F.lower(name), "label"])
+    return each.join(ranks, "signal").join(within, "signal", "left")
+
+
 def available_signals(df: DataFrame) -> DataFrame:
     return df.where("label in ('pick', 'reject')").groupBy("signal").agg(F.countDistinct("label").alias("n")).where("n = 2").select("signal")
 

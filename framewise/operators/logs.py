@@ -21,6 +21,24 @@ def merge_signals(base: DataFrame, sources: list[DataFrame], key: str) -> DataFr
     return base.select(key).distinct().join(merged, key)
 
 
+def merge_records(base: DataFrame, rows: DataFrame, *, key: str, rank: str, fields: list[str]) -> DataFrame:
+    """`base` with the signals of its rows' matches laid over its own, and `matched`, their number.
+
+    Keys are compared in lower case. Of several matches the greatest rank wins for each signal, even with a null; a field
+    is taken from the last match that has it. rows: (key, rank, signal, value, fields...), one row a signal.
+    """
+    k = F.lower(key)
+    last = rows.groupBy(k.alias("_k"), "signal").agg(F.max_by("value", rank).alias("value"))
+    told = last.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("signal", "value"))).alias("_new"))
+    found = rows.groupBy(k.alias("_k")).agg(F.count_distinct(rank).alias("_n"), *(F.max_by(f, F.when(F.col(f).isNotNull(), F.col(rank))).alias(f"_{f}") for f in fields))
+    joined = base.withColumn("_k", k).join(told, "_k", "left").join(found, "_k", "left")
+    own = F.coalesce("signals", F.create_map().cast(base.schema["signals"].dataType))
+    new = F.coalesce("_new", F.create_map().cast(base.schema["signals"].dataType))
+    merged = F.map_concat(F.map_filter(own, lambda n, v: ~F.map_contains_key(new, n)), new)
+    out = joined.withColumns({"signals": merged, "matched": F.coalesce("_n", F.lit(0).cast("bigint")), **{f: F.coalesce(f"_{f}", f) for f in fields}})
+    return out.select(*base.columns, "matched")
+
+
 def mirror_pairs(df: DataFrame, *, key: str, partner: str, columns: list[str]) -> DataFrame:
     """Rows with a partner take its columns where their own are null."""
     other = df.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in columns)).where(F.col(f"_{columns[0]}").isNotNull())
@@ -65,6 +83,17 @@ def shared_targets(df: DataFrame, *, target: str, owner: str) -> DataFrame:
     return df.groupBy(F.lower(target).alias("target")).agg(F.countDistinct(owner).alias("owners")).where("owners > 1")
 
 
+def unique_targets(df: DataFrame, *, target: str, owner: str, siblings: DataFrame | None = None) -> DataFrame:
+    """`df`, once no target is claimed by two owners, rows that it leaves out (`siblings`) included; else ValueError. One
+    row reaches the driver."""
+    claims = df.select(target, owner)
+    claims = claims if siblings is None else claims.unionByName(siblings.select(target, owner))
+    bad = shared_targets(claims, target=target, owner=owner).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['target']} has {bad[0]['owners']} owners")
+    return df
+
+
 def required(df: DataFrame, column: str, message: str) -> DataFrame:
     """Raise on a null when the rows are read."""
     kind = df.schema[column].dataType.simpleString()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.scalars import ordinal
+from framewise.operators import ranges
 
 
 def confusion(df: DataFrame, *, by: list[str], human: str, predicted: str) -> DataFrame:
@@ -24,6 +25,18 @@ def evaluation(df: DataFrame, *, by: list[str], human: str, predicted: str, seco
     )
 
 
+def run_report(log: DataFrame, *, by: list[str], status: str, attempts: str, seconds: str) -> DataFrame:
+    """Attempts, seconds, successful batches and the share of them that took one attempt, of a log of batches."""
+    ok = F.col(status) == "success"
+    first = F.coalesce(F.try_divide(F.count_if(ok & (F.col(attempts) == 1)), F.count_if(ok)), F.lit(0.0))
+    return log.groupBy(*by).agg(F.count("*").alias("batches"), F.sum(attempts).alias("attempts"), F.sum(seconds).alias("seconds"), F.count_if(ok).alias("successful"), first.alias("first_pass"))
+
+
+def prediction_counts(df: DataFrame, *, by: list[str], predicted: str) -> DataFrame:
+    """How often each bucket was predicted."""
+    return df.groupBy(*by).agg(*(F.count_if(F.col(predicted) == k).alias(f"says_{k}") for k in ("reject", "review", "pick")))
+
+
 def composite(bucket: str, rating: str) -> F.Column:
     """Ordinal bucket (1 by default) plus a hundredth of the clamped rating."""
     return F.coalesce(ordinal(F.col(bucket)), F.lit(1)) + F.greatest(F.lit(0), F.least(F.lit(5), F.coalesce(F.col(rating), F.lit(0)))) / 100.0
@@ -55,13 +68,24 @@ def field_statistics(df: DataFrame, *, by: list[str], fields: list[str]) -> Data
     return long.groupBy(*by, "field").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.min("value").alias("low"), F.max("value").alias("high"), F.countDistinct("value").alias("n_distinct"))
 
 
+def exact_median(df: DataFrame, *, by: list[str], value: str, to: str) -> DataFrame:
+    """(by, to): the median from counts of distinct values, the mean of the middle two where their number is even. No
+    group's rows are gathered; nulls do not count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = ranges.running(counts, [value], F.col("_c"), "_u", F.lit(0), by)
+    whole = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    middle = lambda p: F.min(F.when(F.col("_u") >= p, F.col(value)))
+    return upto.join(whole, by).groupBy(*by).agg(((middle(F.floor((F.col("_n") + 1) / 2)) + middle(F.floor(F.col("_n") / 2) + 1)) / 2).alias(to))
+
+
 def diversity(df: DataFrame, *, by: list[str], fields: list[str], seconds: str) -> DataFrame:
     """Distinct vectors, share of repeated ones, all-zero ones, mean and median duration."""
     vector, n = F.struct(*fields), F.count("*")
     zero = F.lit(True)
     for f in fields:
         zero = zero & (F.col(f) == 0)
-    return df.groupBy(*by).agg(n.alias("n"), F.countDistinct(vector).alias("vectors"), (1 - F.countDistinct(vector) / n).alias("repeat_rate"), F.count_if(zero).alias("no_ops"), F.avg(seconds).alias("mean_seconds"), F.median(seconds).alias("median_seconds"))
+    told = df.groupBy(*by).agg(n.alias("n"), F.countDistinct(vector).alias("vectors"), (1 - F.countDistinct(vector) / n).alias("repeat_rate"), F.count_if(zero).alias("no_ops"), F.avg(seconds).alias("mean_seconds"))
+    return told.join(exact_median(df, by=by, value=seconds, to="median_seconds"), by, "left")
 
 
 def pairwise_delta(df: DataFrame, *, model: str, item: str, fields: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import scalars, tiles
-from framewise.operators import album, decisions, render, review
+from framewise.operators import album, decisions, evaluate, logs, models, render, review
 from framewise.plans.registry import query
 from framewise.plans.registry import rounded as _r
 from framewise.sources import binding as b
@@ -323,3 +323,48 @@ def album_summary(spark, d):
     t = b.tile_frames(spark, d).select(F.concat(F.lit("F"), F.col("vec_id").cast("string")).alias("name"), "tile", "hash", tiles.mean(F.col("tile")).alias("score"), F.lit("pick").alias("bucket"), before.alias("before"))
     chosen = album.suppress(t, name="name", score="score", stem=F.col("name"), hash_="hash", preview="tile")
     return album.album_summary(chosen, before="before")
+
+
+LONG = f"WITH {b.LINES}, lg AS (SELECT signal, label, burst, name, value * CASE signal WHEN 'tax' THEN -1 ELSE 1 END AS value FROM (UNPIVOT li ON quantity, tax INTO NAME signal VALUE value) WHERE label != 'neutral')"
+
+
+@query(LONG + """, m AS (SELECT signal, min(value) FILTER (label = 'pick') AS floor_ FROM lg GROUP BY 1), s AS (SELECT signal, count(*) AS available, count(*) FILTER (label = 'pick') AS picks, avg(value) FILTER (label = 'pick') * CASE signal WHEN 'tax' THEN -1 ELSE 1 END AS pick_mean, count(*) FILTER (label = 'reject' AND value < floor_) AS zero FROM lg JOIN m USING (signal) GROUP BY signal),
+rk AS (SELECT signal, label, rank() OVER (PARTITION BY signal ORDER BY value) + (count(*) OVER (PARTITION BY signal, value) - 1) / 2.0 AS r FROM lg), a AS (SELECT signal, (sum(r) FILTER (label = 'pick') - count(*) FILTER (label = 'pick') * (count(*) FILTER (label = 'pick') + 1) / 2.0) / (count(*) FILTER (label = 'pick')::DOUBLE * count(*) FILTER (label = 'reject')) AS auc FROM rk GROUP BY 1),
+bp AS (SELECT x.signal, count(DISTINCT x.burst) AS bursts, avg(CASE WHEN x.value > z.value THEN 1 WHEN x.value = z.value THEN 0.5 ELSE 0 END) AS pairwise FROM lg x JOIN lg z ON x.signal = z.signal AND x.burst = z.burst AND x.label = 'pick' AND z.label = 'reject' GROUP BY 1)
+SELECT signal, available, picks, round(pick_mean, 4) AS pick_mean, zero AS zero_fr_rejects, round(auc, 6) AS auc, bursts, round(pairwise, 6) AS pairwise FROM s JOIN a USING (signal) JOIN bp USING (signal)""")
+def signal_report(spark, d):
+    long = evaluate.long_signals(b.line_frames(spark, d), ["quantity", "tax"], ["name", "burst", "label"])
+    out = evaluate.signal_report(long, burst="burst", name="name", directions={"quantity": 1, "tax": -1})
+    return out.select("signal", "available", "picks", _r("pick_mean", "pick_mean", 4), "zero_fr_rejects", _r("auc", "auc"), "bursts", _r("pairwise", "pairwise"))
+
+
+@query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS model, count(*) AS batches, sum(event_id % 3 + 1)::BIGINT AS attempts, sum(event_id % 11)::DOUBLE AS seconds, count(*) FILTER (event_id % 5 != 0) AS successful,
+round(count(*) FILTER (event_id % 5 != 0 AND event_id % 3 = 0) / count(*) FILTER (event_id % 5 != 0), 6) AS first_pass FROM events GROUP BY 1""")
+def run_report(spark, d):
+    e = F.col("event_id")
+    log = b.read(spark, d, "events").select(F.when(e % 2 == 0, "A").otherwise("B").alias("model"), F.when(e % 5 != 0, "success").otherwise("failed").alias("status"), (e % 3 + 1).alias("attempts"), (e % 11).cast("double").alias("seconds"))
+    out = models.run_report(log, by=["model"], status="status", attempts="attempts", seconds="seconds")
+    return out.select("model", "batches", "attempts", "seconds", "successful", _r("first_pass", "first_pass"))
+
+
+@query(f"""WITH {b.VERDICTS} SELECT model, count(*) FILTER (bucket = 'reject') AS says_reject, count(*) FILTER (bucket = 'review') AS says_review, count(*) FILTER (bucket = 'pick') AS says_pick FROM latest GROUP BY 1""")
+def prediction_counts(spark, d):
+    latest = logs.latest(b.verdicts(spark, d), key=["item", "model"], offset="offset")
+    return models.prediction_counts(latest, by=["model"], predicted="bucket")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS burst FROM orders)
+SELECT c_custkey, coalesce(arg_max(o_totalprice, o_orderkey), -1) AS price, c_acctbal AS balance, count(o_orderkey) AS matched, coalesce(arg_max(burst, o_orderkey) FILTER (burst IS NOT NULL), c_mktsegment) AS burst FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey, c_acctbal, c_mktsegment""")
+def merge_records(spark, d):
+    own = F.create_map(F.lit("price"), F.lit(-1.0), F.lit("balance"), F.col("c_acctbal"))
+    base = b.read(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("name"), "c_custkey", own.alias("signals"), F.col("c_mktsegment").alias("burst"))
+    o = F.col("o_orderkey")
+    rows = b.read(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), o.alias("rank"), F.lit("price").alias("signal"), F.col("o_totalprice").alias("value"), F.when(o % 3 == 0, F.col("o_orderpriority")).alias("burst"))
+    out = logs.merge_records(base, rows, key="name", rank="rank", fields=["burst"])
+    return out.select("c_custkey", F.col("signals")["price"].alias("price"), F.col("signals")["balance"].alias("balance"), "matched", "burst")
+
+
+@query(f"""WITH {b.TILES}, t AS (SELECT vec_id, list_transform(list_filter(range(64), lambda i: i % 8 < 7), lambda i: CASE WHEN tile[i + 2] > tile[i + 1] THEN 1 ELSE 0 END) AS v FROM tile)
+SELECT vec_id, array_to_string(list_transform(range(14), lambda i: substr('0123456789abcdef', v[4 * i + 1] * 8 + v[4 * i + 2] * 4 + v[4 * i + 3] * 2 + v[4 * i + 4] + 1, 1)), '') AS hash FROM t""")
+def tile_dhash_hex(spark, d):
+    return b.tile_frames(spark, d).select("vec_id", tiles.bits_hex(tiles.difference_bits(F.col("tile"), 8)).alias("hash"))

@@ -193,3 +193,17 @@ def test_numbers_by_range(spark):
     assert plan.count("Exchange SinglePartition") == 1  # for the sums of the ranges, a row each
     assert "hashpartitioning(_range" in plan[plan.index("SinglePartition") :]
     assert ranges.numbered(df.where("false"), ["v"], "i").count() == 0
+
+
+def test_unique_targets_and_short_samples(spark):
+    from framewise.operators import dedup, logs
+
+    df = spark.createDataFrame([("a.xmp", "a.arw"), ("b.xmp", "b.arw")], "target string, owner string")
+    assert logs.unique_targets(df, target="target", owner="owner") is df
+    with pytest.raises(ValueError, match="a.xmp has 2"):
+        logs.unique_targets(df, target="target", owner="owner", siblings=spark.createDataFrame([("A.xmp", "a.nef")], "target string, owner string"))
+    rows = spark.createDataFrame([("f", i) for i in range(10)], "folder string, k long")
+    some = lambda least: dedup.gap_sample(rows, group="folder", name="k", sequence="k", order=F.col("k"), gap=4, least=least)
+    assert sorted(r.k for r in some(3).collect()) == [0, 4, 8]
+    with pytest.raises(Exception, match="not enough"):
+        some(4).collect()
