@@ -26,11 +26,6 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 
 
-def folded(text: Column) -> Column:
-    """Join key of a name. Lower case: equal to full case folding for ASCII names."""
-    return F.lower(text)
-
-
 def loose_int(text: Column) -> Column:
     """Number by way of double, truncated; null where it is none."""
     return text.try_cast("double").try_cast("bigint")
