@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewise.operators.lineage import shared_dir
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -23,22 +23,6 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local one in local mode, else an error."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    master = spark.sparkContext.master
-    if not re.match(r"local(\[[^]]*])?$", master):
-        raise ValueError(f"set spark.checkpoint.dir: the executors of {master} share no local folder")
-    made = "file://" + tempfile.mkdtemp(prefix="framewise-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 #: Open `stage_scratch` blocks, and the scratch folders made in each.
 _STAGES: list[list[Scratch]] = []
 

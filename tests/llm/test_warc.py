@@ -66,3 +66,24 @@ def test_rows_that_share_the_least_id(spark):
     rows = [(1, "a", "same", 1), (1, "b", "same", 2), (2, "c", "same", 3), (None, None, "same", 4), (1, "d", "other", 5)]
     got = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, uri int"))).collect()
     assert sorted((str(r.page_id), str(r.url), r.record_type, r.refers_to) for r in got) == [("1", "a", "response", None), ("1", "b", "response", None), ("1", "d", "response", None), ("2", "c", "revisit", 1), ("None", "None", "revisit", 1)]
+
+
+def test_scratch_needs_a_shared_folder_off_local_mode():
+    from framewise.operators.lineage import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, other: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                class sc:
+                    def getCheckpointDir(self):
+                        return self
+
+                    isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
