@@ -22,4 +22,36 @@ WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), x AS (
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
 CASE WHEN page_id = first_ THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first_ THEN first_ END AS refers_to FROM x"""
 
-ORACLES = {"op4_ngram_join": NGRAM_JOIN, "op6_suffix_dedup": SUFFIX_DEDUP, "op9_warc": WARC}
+def _edits() -> str:
+    """Body of the fold over a conversation's rows: for each state (z nothing, s, u, a stands last) the cheapest edits."""
+    allowed = lambda letters, cost: f"CASE WHEN lower(x.l) IN ({letters}) THEN {cost} + CASE WHEN x.l = lower(x.l) THEN 0 ELSE 3 END ELSE 1000000000000 END"
+    put = lambda q, cost, edit, out: f"{{'c': p.{q}.c + {cost}, 'a': p.{q}.a || '{edit}', 'o': {out}}}"
+    least = lambda *found: f"list_sort([{', '.join(found)}])[1]"
+    said = lambda q, role: f"list_append(p.{q}.o, {role} || ':' || x.t)"
+    drop = lambda q: put(q, 4, "D", f"p.{q}.o")
+    keep = lambda q, letter: put(q, allowed(f"'{letter}'", 0), "K", said(q, "x.r"))
+    give = lambda q, role: put(q, allowed("'s', 'u', 'a', 'x'", 3), "R", said(q, f"'{role}'"))
+    more = lambda q, role: put(q, 3, "I", f"list_append(p.{q}.o, '{role}:')")
+    row = f"""{{'z': {drop("z")}, 's': {least(drop("s"), keep("z", "s"))},
+        'u': {least(drop("u"), *(keep(q, "u") for q in "zsa"), *(give(q, "user") for q in "zsa"))}, 'a': {least(drop("a"), keep("u", "a"), give("u", "assistant"))}}}"""
+    ask = f"{{'z': p.z, 's': p.s, 'u': {least('p.u', *(more(q, 'user') for q in 'zsa'))}, 'a': p.a}}"
+    answer = f"{{'z': p.z, 's': p.s, 'u': p.u, 'a': {least('p.a', more('u', 'assistant'))}}}"
+    return f"list_transform(list_transform([{row}], lambda p: {ask}), lambda p: {answer})[1]"
+
+
+_UNSEEN = "{'c': 1000000000000::BIGINT, 'a': '', 'o': []::VARCHAR[]}"
+#: crc32 bit by bit; faults by row; the cheapest edits folded over each conversation's rows.
+CONVERSATION_REPAIR = rf"""WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+b AS (SELECT * EXCLUDE h, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, y: list_reduce(range(8), lambda v, j: xor(v >> 1, 3988292384 * (v & 1)), xor(c, y)), 4294967295), 4294967295) % 20 AS kind FROM k),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS n FROM b),
+o AS (SELECT *, rtrim(text, e' \t\n\x0B\f\r') AS ink, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n) AS i FROM e),
+f AS (SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS c FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'l': CASE fault WHEN 'none' THEN c WHEN 'truncated' THEN upper(c) ELSE 'd' END, 'r': role, 't': text}} ORDER BY i) AS rows_ FROM f GROUP BY conv_id),
+s AS (SELECT * EXCLUDE rows_, list_reduce(rows_, lambda p, x: {_edits()}, {{'z': {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}}, 's': {_UNSEEN}, 'u': {{'c': 3::BIGINT, 'a': 'I', 'o': ['user:']}}, 'a': {{'c': 6::BIGINT, 'a': 'II', 'o': ['user:', 'assistant:']}}}}) AS p FROM g),
+t AS (SELECT * EXCLUDE p, list_sort([p.z, p.a])[1] AS w FROM s)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN t ON a.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+ORACLES = {"op4_ngram_join": NGRAM_JOIN, "op6_suffix_dedup": SUFFIX_DEDUP, "op9_warc": WARC, "op11_conversation_repair": CONVERSATION_REPAIR}

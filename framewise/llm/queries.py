@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_file, warc
+from framewise.llm import conversation_repair, decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_file, warc
 from framewise.llm.common import crc
 from framewise.llm.oracles import ORACLES
 
@@ -94,4 +94,13 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(written)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired rows of every conversation, after damage by crc32. Null roles and
+    texts are one space, a null conv_id is a conversation of its own; one that keeps no row has an empty text. Empty table:
+    no rows."""
+    rows = conversation_repair.damage(_read(spark, sf_dir, "conversations"))
+    plans = conversation_repair.plan_repairs(rows)
+    return conversation_repair.with_digests(plans, conversation_repair.apply_repairs(rows, plans))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file, op11_conversation_repair)}
