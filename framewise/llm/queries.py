@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import conversation_repair, decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_file, warc
+from framewise.llm import conversation_repair, decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_file, warc, whitening
 from framewise.llm.common import crc
 from framewise.llm.oracles import ORACLES
 
@@ -103,4 +103,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.with_digests(plans, conversation_repair.apply_repairs(rows, plans))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file, op11_conversation_repair)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every embedding without nulls and non-finite entries, fitted on the distinct
+    ones. Rows without a vector, or with a bad entry, go; repeated vectors count once in the fit and keep their rows; shorter
+    vectors end in zeros; components without variance have no rows. Empty table: no rows."""
+    vectors = whitening.finite_vectors(_read(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors.select("x")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file, op11_conversation_repair, op12_whitening)}
