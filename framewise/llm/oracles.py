@@ -54,4 +54,10 @@ t AS (SELECT * EXCLUDE p, list_sort([p.z, p.a])[1] AS w FROM s)
 SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.o, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN t ON a.conv_id IS NOT DISTINCT FROM t.conv_id"""
 
-ORACLES = {"op4_ngram_join": NGRAM_JOIN, "op6_suffix_dedup": SUFFIX_DEDUP, "op9_warc": WARC, "op11_conversation_repair": CONVERSATION_REPAIR}
+#: All windows of 13 words with their least document; covered words of each text.
+SUBSTRING_DEDUP = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\t\n\x0B\f\r ]+'), lambda x: x != '') AS w FROM documents), p AS (SELECT doc_id, unnest(range(1, greatest(1, len(w) - 11))) AS i, w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p), f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY 1), c AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM g JOIN f USING (s) WHERE least < doc_id GROUP BY 1),
+k AS (SELECT doc_id, len(w) AS n_words, len(coalesce(gone, [])) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
+
+ORACLES = {"op4_ngram_join": NGRAM_JOIN, "op6_suffix_dedup": SUFFIX_DEDUP, "op9_warc": WARC, "op11_conversation_repair": CONVERSATION_REPAIR, "op13_substring_dedup": SUBSTRING_DEDUP}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import conversation_repair, decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_file, warc, whitening
+from framewise.llm import conversation_repair, decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secrets, substring_dedup, suffix_dedup, token_file, warc, whitening
 from framewise.llm.common import crc
 from framewise.llm.oracles import ORACLES
 
@@ -111,4 +111,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit_whitening(vectors.select("x")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file, op11_conversation_repair, op12_whitening)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document row. Null texts have no words, null ids lose nothing, rows of
+    one id take nothing from each other. Empty table: no rows."""
+    return substring_dedup.repeated_words(_read(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secrets, op3_fingerprint, op4_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_mixing, op8_quality, op9_warc, op10_token_file, op11_conversation_repair, op12_whitening, op13_substring_dedup)}
