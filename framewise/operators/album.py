@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.scalars import hamming, split_suffix
 from framewise.functions.tiles import mean_difference
-from framewise.operators.dedup import greedy
+from framewise.operators.suppression import FIRST, FOLD, step_keys, suppress_near
 
 
 def union_selection(run: DataFrame, protected: DataFrame, *, key: str, bucket: str = "bucket", mode: str = "machine") -> DataFrame:
@@ -40,21 +40,19 @@ def near_identical(step: int = 3, bits: int = 2, difference: float = 8.0):
     return near
 
 
-def suppress(df: DataFrame, *, name: str, score: str, stem: Column, hash_: str, preview: str, bucket: str = "bucket", step: int = 3, near=None) -> DataFrame:
+def suppress(df: DataFrame, *, name: str, score: str, stem: Column, hash_: str, preview: str, bucket: str = "bucket", step: int = 3, near=None, fold: int = FOLD, first: int = FIRST) -> DataFrame:
     """Add represented_by: the better selected neighbour that a selected row repeats; such a row becomes a reject.
 
-    Only picks with a number and a hash are compared, within one name prefix and one run of close numbers (a row more than
-    the greatest step away from the last begins another), best score first and greatest name first among equals, and with
-    retained rows only: so every representative is itself retained. Groups are runs of neighbours, hence small.
+    Only picks with a number and a hash are compared, within one name prefix and where numbers lie at most `step` apart, best
+    score first and greatest name first among equals, and with retained rows only: so every representative is itself
+    retained. Names are unique. Close numbers meet by shared keys (`suppression`), whatever the size of an album.
     """
     near = near or near_identical(step)
     prefix, digits = split_suffix(stem)
     asked = df.select(name, F.col(score).alias("_score"), prefix.alias("_prefix"), digits.try_cast("bigint").alias("_number"), F.col(hash_).alias("hash"), F.col(preview).alias("preview"), bucket)
     asked = asked.where((F.col(bucket) == "pick") & F.col("_number").isNotNull() & F.col("hash").isNotNull())
-    w = Window.partitionBy("_prefix").orderBy("_number", name)
-    far = F.coalesce(F.col("_number") - F.lag("_number").over(w) > step, F.lit(True)).cast("int")
-    runs = asked.withColumn("_far", far).withColumn("_run", F.struct("_prefix", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")))
-    found = greedy(runs, group="_run", name=name, order=[F.coalesce("_score", F.lit(0.0))], fields=["_number", "hash", "preview"], near=near)
+    close = lambda r, k: (F.abs(r["_number"] - k["_number"]) <= step) & near(r, k)
+    found = suppress_near(asked, group="_prefix", name=name, order=[F.coalesce("_score", F.lit(0.0))], fields=["_number", "hash", "preview"], near=close, keys=lambda f: step_keys(f["_number"], step), fold=fold, first=first)
     told = df.join(found.where("anchor is not null").select(name, F.col("anchor").alias("represented_by")), name, "left")
     return told.withColumn(bucket, F.when(F.col("represented_by").isNotNull(), "reject").otherwise(F.col(bucket)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import scalars, tiles
-from framewise.operators import dedup, evaluate, logs, models, ranges, ranking, sampling, scenes
+from framewise.operators import dedup, evaluate, logs, models, ranges, ranking, sampling, scenes, suppression
 from framewise.operators.lineage import settled
 from framewise.plans.registry import ORACLES, QUERIES, query
 from framewise.plans.registry import rounded as _r
@@ -435,31 +435,43 @@ BITS = "list_aggregate(list_transform(range(1, 65), lambda i: CASE WHEN (a.tile[
 
 @query(f"WITH {b.TILES}, p AS (SELECT a.vec_id AS a, z.vec_id AS b, {BITS}::INT AS distance FROM tile a JOIN tile z ON a.scene = z.scene AND a.vec_id < z.vec_id) SELECT * FROM p WHERE distance <= 20")
 def hamming_pairs(spark, d):
-    """Pairs within a scene: scenes are bounded groups; duplicates over a whole corpus go through the greedy fold."""
-    t = b.tile_frames(spark, d).select("vec_id", "scene", "hash")
-    z = t.select(F.col("vec_id").alias("z"), "scene", F.col("hash").alias("h2"))
-    return t.join(z, "scene").where("vec_id < z").select(F.col("vec_id").alias("a"), F.col("z").alias("b"), scalars.hamming(F.col("hash"), F.col("h2")).alias("distance")).where("distance <= 20")
+    t = b.tile_frames(spark, d)
+    out = suppression.near_pairs(t, group="scene", name="vec_id", fields=["hash"], near=lambda r, k: scalars.hamming(r["hash"], k["hash"]) <= 20, keys=lambda f: suppression.block_keys(f["hash"], 20, 64))
+    hashes = t.select("vec_id", "hash")
+    told = out.join(hashes.withColumnsRenamed({"vec_id": "a", "hash": "ha"}), "a").join(hashes.withColumnsRenamed({"vec_id": "b", "hash": "hb"}), "b")
+    return told.select("a", "b", scalars.hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
-def _fold(near: str) -> str:
-    return f"""WITH RECURSIVE {b.TILES}, r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY tile[1] DESC, vec_id DESC) AS rn FROM tile),
+def _fold(near: str, scene: str = "scene", columns: str = "scene, vec_id, anchor") -> str:
+    return f"""WITH RECURSIVE {b.TILES}, album AS (SELECT * REPLACE ({scene} AS scene) FROM tile), r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY tile[1] DESC, vec_id DESC) AS rn FROM album),
 w(scene, rn, kept, vec_id, anchor) AS (SELECT DISTINCT scene, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM r UNION ALL
 SELECT w.scene, r.rn, CASE WHEN x.anchor IS NULL THEN list_append(w.kept, r.vec_id) ELSE w.kept END, r.vec_id, x.anchor FROM w JOIN r ON r.scene = w.scene AND r.rn = w.rn + 1,
-LATERAL (SELECT arg_min(z.vec_id, list_position(w.kept, z.vec_id)) AS anchor FROM tile z, (SELECT r.tile AS tile, r.vec_id AS vec_id) a WHERE z.scene = r.scene AND list_contains(w.kept, z.vec_id) AND {near}) x)
-SELECT scene, vec_id, anchor FROM w WHERE vec_id IS NOT NULL"""
+LATERAL (SELECT arg_min(z.vec_id, list_position(w.kept, z.vec_id)) AS anchor FROM album z, (SELECT r.tile AS tile, r.vec_id AS vec_id) a WHERE z.scene = r.scene AND list_contains(w.kept, z.vec_id) AND {near}) x)
+SELECT {columns} FROM w WHERE vec_id IS NOT NULL"""
+
+
+def _alike(bits: int):
+    return {"near": lambda r, k: scalars.hamming(r["hash"], k["hash"]) <= bits, "keys": lambda f: suppression.block_keys(f["hash"], bits, 500)}
 
 
 @query(_fold(f"{BITS} <= 20"))
 def greedy_dedup(spark, d):
     t = b.tile_frames(spark, d).withColumn("score", F.element_at("tile", 1))
-    return dedup.greedy(t, group="scene", name="vec_id", order=[F.col("score")], fields=["hash"], near=lambda r, k: scalars.hamming(r["hash"], k["hash"]) <= 20)
+    return suppression.suppress_near(t, group="scene", name="vec_id", order=[F.col("score")], fields=["hash"], **_alike(20))
+
+
+@query(_fold(f"{BITS} <= 20", "0", "vec_id, anchor"))
+def corpus_dedup(spark, d):
+    """The greedy fold over all vectors as one group, which goes by rounds of joins in batches of doubling size."""
+    t = b.tile_frames(spark, d).withColumns({"score": F.element_at("tile", 1), "scene": F.lit(0)})
+    return suppression.suppress_near(t, group="scene", name="vec_id", order=[F.col("score")], fields=["hash"], **_alike(20), first=64, fold=0).select("vec_id", "anchor")
 
 
 @query(_fold(f"abs(a.vec_id - z.vec_id) <= 300 AND {BITS} <= 24 AND list_aggregate(list_transform(range(1, 65), lambda i: abs(a.tile[i] - z.tile[i])), 'avg') <= 0.2"))
 def album_dedup(spark, d):
     t = b.tile_frames(spark, d).withColumn("score", F.element_at("tile", 1)).withColumn("seq", F.col("vec_id"))
     near = lambda r, k: (F.abs(r["seq"] - k["seq"]) <= 300) & (scalars.hamming(r["hash"], k["hash"]) <= 24) & (tiles.mean_difference(r["tile"], k["tile"]) <= 0.2)
-    return dedup.greedy(t, group="scene", name="vec_id", order=[F.col("score")], fields=["hash", "seq", "tile"], near=near)
+    return suppression.suppress_near(t, group="scene", name="vec_id", order=[F.col("score")], fields=["hash", "seq", "tile"], near=near, keys=lambda f: suppression.step_keys(f["seq"], 300))
 
 
 def _px(y: str, x: str) -> str:
@@ -563,7 +575,7 @@ def pipeline_cull(spark, d):
     weak, votes, rejected = ranking.gate([F.col("value") < 20], [F.col("learned") < 6], 1)
     scored = ranking.blend(raw.withColumns({"weak_votes": votes, "gated": rejected}), "value", "learned", 0.25, "score").withColumn("score", F.round("score", 9))
     scored = settled(scored)
-    folded = dedup.greedy(scored.where("not gated"), group="scene_id", name="frame", order=[F.col("score")], fields=["value"], near=lambda r, k: F.abs(r["value"] - k["value"]) <= 2)
+    folded = suppression.suppress_near(scored.where("not gated"), group="scene_id", name="frame", order=[F.col("score")], fields=["value"], near=lambda r, k: F.abs(r["value"] - k["value"]) <= 2, keys=lambda f: suppression.step_keys(f["value"], 2))
     told = settled(scored.join(folded.select("frame", "anchor"), "frame", "left").withColumn("duplicate", F.col("anchor").isNotNull()))
     capped = scenes.top_per_scene(told.where("not gated and not duplicate"), 3, scene="scene_id", order=[F.desc("score"), "scene_index", "frame"]).select("frame", F.lit(True).alias("ready"))
     told = told.join(capped, "frame", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))

@@ -317,12 +317,37 @@ def manifest_signals(spark, d):
     return files.signals_of_run(run, ["n_chars", "toxic"], renamed={"n_chars": "size"}, key="doc_id").select("doc_id", "burst", "signal", "value")
 
 
-@query(f"""WITH {b.TILES}, r AS (SELECT vec_id, 'F' || vec_id AS name, tile FROM tile) SELECT count(*) AS photos, count(*) AS selected, 0::BIGINT AS represented, 0::BIGINT AS from_reject, count(*) FILTER (vec_id % 2 = 0) AS from_review, count(*) FILTER (vec_id % 2 = 1) AS from_pick FROM r""")
-def album_summary(spark, d):
+#: One album of numbered frames with a few bits of hash and a preview in grey levels, so that neighbours do repeat each other.
+#: Best first by (score, name); a frame repeats the first retained one that is near.
+ALBUM = f"""WITH RECURSIVE {b.TILES}, r AS (SELECT vec_id, 'F' || vec_id AS name, round(tile[64], 3) AS score, list_transform(tile, lambda x: x * 60) AS preview, [x > 0 FOR x IN tile[1:5]] AS bits, CASE WHEN vec_id % 2 = 0 THEN 'review' ELSE 'pick' END AS before, CASE WHEN tile[3] > -0.1 THEN 'pick' ELSE 'review' END AS bucket FROM tile),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, name DESC) AS rn FROM r WHERE bucket = 'pick'),
+p AS (SELECT a.rn, z.vec_id AS near FROM o a JOIN o z ON abs(a.vec_id - z.vec_id) <= 3 AND a.rn > z.rn AND list_sum([(x[1] != x[2])::INT FOR x IN list_zip(a.bits, z.bits)]) <= 2 AND list_avg([abs(x[1] - x[2]) FOR x IN list_zip(a.preview, z.preview)]) <= 8),
+n AS (SELECT o.rn, o.vec_id, coalesce(list(near) FILTER (near IS NOT NULL), []) AS near FROM o LEFT JOIN p USING (rn) GROUP BY ALL),
+w(rn, kept, vec_id, anchor) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
+SELECT n.rn, CASE WHEN list_has_any(w.kept, n.near) THEN w.kept ELSE list_append(w.kept, n.vec_id) END, n.vec_id, list_filter(w.kept, lambda k: list_contains(n.near, k))[1] FROM w JOIN n ON n.rn = w.rn + 1),
+told AS (SELECT r.*, 'F' || w.anchor AS represented_by FROM r LEFT JOIN w USING (vec_id)), done AS (SELECT * REPLACE (CASE WHEN represented_by IS NULL THEN bucket ELSE 'reject' END AS bucket) FROM told)
+"""
+
+
+def _album(spark, d):
+    four = F.concat(F.lit("0" * 15), F.lower(F.hex(sum((F.when(F.element_at("tile", i + 1) > 0, 1 << i).otherwise(0) for i in range(4)), F.lit(0)))))
+    fifth = F.concat(F.substring(four, 1, 14), F.when(F.element_at("tile", 5) > 0, "1").otherwise("0"), F.substring(four, 16, 1))
     before = F.when(F.col("vec_id") % 2 == 0, "review").otherwise("pick")
-    t = b.tile_frames(spark, d).select(F.concat(F.lit("F"), F.col("vec_id").cast("string")).alias("name"), "tile", "hash", tiles.mean(F.col("tile")).alias("score"), F.lit("pick").alias("bucket"), before.alias("before"))
-    chosen = album.suppress(t, name="name", score="score", stem=F.col("name"), hash_="hash", preview="tile")
-    return album.album_summary(chosen, before="before")
+    bucket = F.when(F.element_at("tile", 3) > -0.1, "pick").otherwise("review")
+    t = b.tile_frames(spark, d).select("vec_id", F.concat(F.lit("F"), F.col("vec_id").cast("string")).alias("name"), F.transform("tile", lambda x: x * 60).alias("preview"), fifth.alias("hash"), F.round(F.element_at("tile", 64), 3).alias("score"), bucket.alias("bucket"), before.alias("before"))
+    return album.suppress(t, name="name", score="score", stem=F.col("name"), hash_="hash", preview="preview", fold=0, first=128)
+
+
+@query(ALBUM + "SELECT name, bucket, represented_by FROM done")
+def album_selection(spark, d):
+    """Selected frames and what repeats them, by the rule for albums: close numbers, close hashes, close previews."""
+    return _album(spark, d).select("name", "bucket", "represented_by")
+
+
+@query(ALBUM + """SELECT count(*) AS photos, count(*) FILTER (bucket = 'pick') AS selected, count(represented_by) AS represented, count(*) FILTER (bucket = 'pick' AND before = 'reject') AS from_reject,
+count(*) FILTER (bucket = 'pick' AND before = 'review') AS from_review, count(*) FILTER (bucket = 'pick' AND before = 'pick') AS from_pick FROM done""")
+def album_summary(spark, d):
+    return album.album_summary(_album(spark, d), before="before")
 
 
 LONG = f"WITH {b.LINES}, lg AS (SELECT signal, label, burst, name, value * CASE signal WHEN 'tax' THEN -1 ELSE 1 END AS value FROM (UNPIVOT li ON quantity, tax INTO NAME signal VALUE value) WHERE label != 'neutral')"
