@@ -91,26 +91,3 @@ def gate_confusion(df: DataFrame, rejected: str = "rejected") -> DataFrame:
 
     return df.agg(F.count("*").alias("n"), F.count_if(no).alias("rejected"), rate(no, F.lit(True)).alias("coverage"), rate(no & reject, no).alias("precision"), rate(no & pick, pick).alias("false_reject_rate"), rate(no & reject, reject).alias("recall"))
 
-
-def bootstrap_delta(df: DataFrame, *, key: str, left: str, right: str, iterations: int, seed: str = "seed") -> DataFrame:
-    """Stratified paired bootstrap of AUC(left) - AUC(right): (observed, low, high), a 95 % interval by order statistics.
-
-    Draw i of an iteration takes row md5(seed|iteration|class|i) mod n of the class: the same draws in any engine.
-    """
-    from framewise.functions.scalars import draw
-
-    rows = df.where("label in ('pick', 'reject')")
-    numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(key)) - 1)
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    spark = df.sparkSession
-    drawn = numbered.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(spark.range(iterations).withColumnRenamed("id", "iteration")))
-    drawn = drawn.select("iteration", "label", (draw(F.lit(seed), F.col("iteration"), F.col("label"), F.col("rn")) % F.col("n")).alias("rn"))
-    taken = drawn.join(numbered.select("label", "rn", left, right), ["label", "rn"])
-    whole = numbered.select(F.lit(-1).cast("bigint").alias("iteration"), "label", left, right)
-    long = taken.select("iteration", "label", left, right).union(whole).select("iteration", "label", F.expr(f"stack(2, 'left', cast({left} as double), 'right', cast({right} as double)) as (side, value)"))
-    each = auc(long, by=["iteration", "side"], place=F.lit(0)).groupBy("iteration").agg(F.max(F.when(F.col("side") == "left", F.col("auc"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("auc"))).alias("r"))
-    each = each.select("iteration", (F.col("l") - F.col("r")).alias("delta"))
-    placed = each.where("iteration >= 0").withColumn("rn", F.row_number().over(Window.orderBy("delta", "iteration")) - 1)
-    low, high = max(0, int(0.025 * iterations) - 1), min(iterations - 1, -int(-0.975 * iterations // 1) - 1)
-    interval = placed.agg(F.max(F.when(F.col("rn") == low, F.col("delta"))).alias("low"), F.max(F.when(F.col("rn") == high, F.col("delta"))).alias("high"))
-    return each.where("iteration = -1").select(F.col("delta").alias("observed")).crossJoin(interval)

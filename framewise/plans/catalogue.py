@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import scalars, tiles
-from framewise.operators import dedup, evaluate, logs, models, ranges, ranking, sampling, scenes, suppression
+from framewise.operators import bootstrap, dedup, evaluate, logs, models, ranges, ranking, sampling, scenes, suppression
 from framewise.operators.lineage import settled
 from framewise.plans.registry import ORACLES, QUERIES, query
 from framewise.plans.registry import rounded as _r
@@ -170,16 +170,22 @@ def coverage_curve(spark, d):
     return evaluate.coverage_curve(b.doc_frames(spark, d).where("label != 'neutral'"), order=["size", "doc_id"]).select("percent", "count", "false_rejects", _r("precision", "precision"))
 
 
+_FIFTH = "((a * a % 2147483647) * (a * a % 2147483647) % 2147483647 * a % 2147483647)"
+
+
 @query(f"""WITH {b.DOCS}, num AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM doc WHERE label != 'neutral'),
-dr AS (SELECT i AS iteration, label, (('0x' || substr(md5('seed|' || i || '|' || label || '|' || rn), 1, 8))::BIGINT % n) AS rn FROM num, range(200) t(i)),
-tk AS (SELECT iteration, label, size AS l, other AS r FROM dr JOIN num USING (label, rn) UNION ALL SELECT -1, label, size, other FROM num),
+sl AS (SELECT label, n, t, i, (t * 2 + (label = 'reject')::INT + ('0x' || substr(md5('seed'), 1, 8))::BIGINT % 2147483647) % 2147483647 AS y FROM (SELECT label, n, unnest(range(n + 1)) AS i FROM num GROUP BY label, n), range(2000) x(t)),
+h1 AS (SELECT *, (i + 1 + y) % 2147483647 AS a FROM sl), h2 AS (SELECT * REPLACE (({_FIFTH} + y * 48271) % 2147483647 AS a) FROM h1), h3 AS (SELECT * REPLACE (({_FIFTH} + y * 16807) % 2147483647 AS a) FROM h2),
+ex AS (SELECT label, n, t, i, -ln(({_FIFTH} + 0.5) / 2147483647) AS e FROM h3), ps AS (SELECT *, sum(e) OVER (PARTITION BY label, t ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, sum(e) OVER (PARTITION BY label, t) AS total FROM ex),
+tk AS (SELECT t AS iteration, label, size AS l, other AS r FROM (SELECT label, t, floor(n * s / total)::BIGINT AS rn FROM ps WHERE i < n) JOIN num USING (label, rn) UNION ALL SELECT -1, label, size, other FROM num),
 lg AS (SELECT iteration, label, 'l' AS side, l AS value FROM tk UNION ALL SELECT iteration, label, 'r', r FROM tk),
 rk AS (SELECT iteration, side, label, rank() OVER (PARTITION BY iteration, side ORDER BY value) + (count(*) OVER (PARTITION BY iteration, side, value) - 1) / 2.0 AS k FROM lg),
 au AS (SELECT iteration, side, (sum(k) FILTER (label = 'pick') - count(*) FILTER (label = 'pick') * (count(*) FILTER (label = 'pick') + 1) / 2.0) / (count(*) FILTER (label = 'pick')::DOUBLE * count(*) FILTER (label = 'reject')) AS a FROM rk GROUP BY 1, 2),
 de AS (SELECT iteration, max(a) FILTER (side = 'l') - max(a) FILTER (side = 'r') AS delta FROM au GROUP BY 1), so AS (SELECT delta, row_number() OVER (ORDER BY delta, iteration) - 1 AS rn FROM de WHERE iteration >= 0)
-SELECT round((SELECT delta FROM de WHERE iteration = -1), 6) AS observed, round(max(delta) FILTER (rn = 4), 6) AS low, round(max(delta) FILTER (rn = 194), 6) AS high FROM so""")
+SELECT round((SELECT delta FROM de WHERE iteration = -1), 6) AS observed, round(max(delta) FILTER (rn = 49), 6) AS low, round(max(delta) FILTER (rn = 1949), 6) AS high FROM so""")
 def bootstrap_auc_delta(spark, d):
-    return evaluate.bootstrap_delta(b.doc_frames(spark, d), key="doc_id", left="size", right="other", iterations=200).select(_r("observed", "observed"), _r("low", "low"), _r("high", "high"))
+    """Interval of the difference of two AUCs from 2000 paired bootstrap samples."""
+    return bootstrap.bootstrap_delta(b.doc_frames(spark, d), key="doc_id", left="size", right="other").select(_r("observed", "observed"), _r("low", "low"), _r("high", "high"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN good IS NOT NULL THEN CASE WHEN good THEN 'pick' ELSE 'reject' END WHEN coalesce(rating, 0) = -1 THEN 'reject' WHEN coalesce(rating, 0) > 0 THEN 'pick' ELSE 'neutral' END AS label

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.functions import scalars, tiles
-from framewise.operators import dedup, evaluate, logs, models, ranking, sampling, scenes
+from framewise.operators import bootstrap, dedup, evaluate, logs, models, ranking, sampling, scenes
 
 
 def rows(df):
@@ -75,7 +75,7 @@ def test_auc_ties_and_evaluation(spark):
 
 def test_bootstrap_and_confusion(spark):
     df = frame(spark, [(1, "pick", 3.0, 2.0), (2, "reject", 1.0, 2.0)], "k int, label string, l double, r double")
-    assert tuple(evaluate.bootstrap_delta(df, key="k", left="l", right="r", iterations=20).first()) == (0.5, 0.5, 0.5)
+    assert tuple(bootstrap.bootstrap_delta(df, key="k", left="l", right="r", iterations=20).first()) == (0.5, 0.5, 0.5)
     c = evaluate.gate_confusion(df.withColumn("rejected", F.col("label") == "reject")).first()
     assert (c.precision, c.false_reject_rate, c.recall) == (1.0, 0.0, 1.0)
 
