@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,17 @@ def settled(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; it goes when the driver ends."""
+    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)
+    return place

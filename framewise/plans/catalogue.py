@@ -601,3 +601,4 @@ def pipeline_cull(spark, d):
 
 
 from framewise.plans import decisions as _decisions  # noqa: E402, F401  its queries register themselves
+from framewise.plans import stored as _stored  # noqa: E402, F401

@@ -1,6 +1,6 @@
 """Append-only logs with a commit file for each write: readers see whole writes, several writers may append at a time.
 
-`log/data/folder=...` holds the rows of one write, `log/commits/<number>.json` says that it counts. A number is taken by one
+`log/data/_write=...` holds the rows of one write, `log/commits/<number>.json` says that it counts. A number is taken by one
 writer alone (put if absent), so offsets that are given with it never clash; rows of a write without a commit are never read.
 """
 
@@ -60,12 +60,12 @@ def append(df: DataFrame, log: str, *, order: list[str], offset: str = "offset")
     to a number takes the next one: nothing is written again. The log is never read.
     """
     spark, folder = df.sparkSession, f"w{uuid.uuid4().hex}"
-    numbered(df, order, offset).withColumn(offset, F.col(offset) - 1).write.parquet(f"{log}/data/folder={folder}")
-    n = spark.read.parquet(f"{log}/data/folder={folder}").count()
+    numbered(df, order, offset).withColumn(offset, F.col(offset) - 1).write.parquet(f"{log}/data/_write={folder}")
+    n = spark.read.parquet(f"{log}/data/_write={folder}").count()
     while True:
         number, before = last_commit(spark, log)
         start = before.get("start", 0) + before.get("rows", 0)
-        content = json.dumps({"folder": folder, "rows": n, "start": start}).encode()
+        content = json.dumps({"_write": folder, "rows": n, "start": start}).encode()
         if put_if_absent(spark, f"{log}/commits/{number + 1:012d}.json", content):
             return start, start + n
 
@@ -79,14 +79,14 @@ def append_batch(df: DataFrame, log: str, batch: int) -> bool:
     name = f"{log}/commits/{batch:012d}.json"
     if exists(spark, name):
         return False
-    df.write.mode("overwrite").parquet(f"{log}/data/folder={folder}")
-    return put_if_absent(spark, name, json.dumps({"folder": folder, "rows": 0, "start": 0}).encode())
+    df.write.mode("overwrite").parquet(f"{log}/data/_write={folder}")
+    return put_if_absent(spark, name, json.dumps({"_write": folder, "rows": 0, "start": 0}).encode())
 
 
 def read(spark: SparkSession, log: str, offset: str = "offset") -> DataFrame:
     """The committed rows, with their offsets where the log has any. An absent log raises."""
-    told = spark.read.schema("folder string, rows bigint, start bigint").json(f"{log}/commits")
-    rows = spark.read.parquet(f"{log}/data").join(told.select("folder", F.col("start").alias("_start")), "folder")
+    told = spark.read.schema("_write string, rows bigint, start bigint").json(f"{log}/commits")
+    rows = spark.read.parquet(f"{log}/data").join(told.select("_write", F.col("start").alias("_start")), "_write")
     if offset in rows.columns:
         rows = rows.withColumn(offset, F.col(offset) + F.col("_start"))
-    return rows.drop("folder", "_start")
+    return rows.drop("_write", "_start")

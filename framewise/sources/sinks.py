@@ -6,9 +6,12 @@ names when it commits, so a reader sees the old rows or the new ones. `replace`
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,25 +24,42 @@ def _fs(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, place = _fs(spark, path)
-    return fs.exists(place)
+    store, place = _fs(spark, path)
+    return store.exists(place)
 
 
 def replace(df: DataFrame, path: str, kind: str = "parquet", **options: str) -> None:
     """Write beside `path`, then take its place: a failed write leaves the old rows, and rows may be read while they are
     rewritten from themselves."""
     spark, part, old = df.sparkSession, f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
-    fs, place = _fs(spark, path)
+    store, place = _fs(spark, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     try:
         df.write.options(**options).format(kind).save(part)
-        if fs.exists(place):
-            fs.rename(place, hadoop(old))
-        if not fs.rename(hadoop(part), place):
+        if store.exists(place):
+            store.rename(place, hadoop(old))
+        if not store.rename(hadoop(part), place):
             raise OSError(f"{part} could not take the name {path}")
-        fs.delete(hadoop(old), True)
+        store.delete(hadoop(old), True)
     finally:
-        fs.delete(hadoop(part), True)
+        store.delete(hadoop(part), True)
+
+
+def put_files(df: DataFrame, root: str, *, path: str, content: str) -> int:
+    """A file below `root` for each row, written by the task that has the row; returns how many. A task that is tried again
+    writes the same bytes over."""
+    base = re.sub(r"^file:/+", "/", root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at = (fs.LocalFileSystem(), f"{base}/{name}") if base.startswith("/") else fs.FileSystem.from_uri(f"{base}/{name}")
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at, compression=None) as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return df.select(F.col(path), F.col(content).cast("binary")).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

@@ -67,3 +67,22 @@ def test_stream_of_frames_and_resumable_log(spark, tmp_path):
     for _ in range(2):
         scenes.resumable(stream, log, str(tmp_path / f"cp{len(tries)}"), "folder", work).awaitTermination()
     assert tries == [4, 0] and spark.read.parquet(log).count() == 4
+
+
+def test_table_scan_by_bounds(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    try:
+        spark.createDataFrame([(i, float(i) / 2, f"n{i}") for i in range(1000)] + [(None, 1.0, "none")], "k int, v double, name string").write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    except Exception as e:
+        if "ClassNotFound" in str(e) or "EmbeddedDriver" in str(e):
+            pytest.skip("no embedded database among the jars")
+        raise
+    options = {"column": '"k"', "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    got = files.read_table_by_bounds(spark, url, "t", tasks=7, **options)
+    assert got.rdd.getNumPartitions() == 7
+    assert sorted(r.name for r in got.collect()) == sorted([*(f"n{i}" for i in range(1000)), "none"])
+    some = files.read_table_by_bounds(spark, url, "t", tasks=7, where='"k" >= 10 AND "k" < 14', **options)
+    assert some.rdd.getNumPartitions() == 4 and sorted(r.k for r in some.collect()) == [10, 11, 12, 13]
+    assert max(map(len, some.rdd.glom().collect())) == 1  # bounds are those of the rows asked for
+    assert "PushedFilters: [*IsNotNull(k), *EqualTo(k,11)]" in some.where("k = 11")._jdf.queryExecution().executedPlan().toString()
+    assert files.read_table_by_bounds(spark, url, "t", where='"k" > 5000', **options).count() == 0

@@ -89,5 +89,5 @@ def test_writers_at_a_time_do_not_clash(spark, tmp_path):
     by = sorted((r.offset, r.k) for r in rows)
     assert all(z[1] == a[1] + 1 for a, z in zip(by, by[1:], strict=False) if z[1] // 100 == a[1] // 100)
     assert commits.last_commit(spark, log)[0] == 3
-    spark.range(5).withColumn("offset", F.lit(0)).write.parquet(f"{log}/data/folder=wleft")  # a writer that died before its commit
+    spark.range(5).withColumn("offset", F.lit(0)).write.parquet(f"{log}/data/_write=wleft")  # a writer that died before its commit
     assert commits.read(spark, log).count() == total
