@@ -28,17 +28,28 @@ def balanced(df: DataFrame, *, folder: str, name: str, folders: int, total: int,
     return rows.withColumn("_rn", rn).where(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
 
 
+def first_of_each(df: DataFrame, n: int, *, by: str, order: list[Column | str], to: str) -> DataFrame:
+    """The first n rows of each value of `by`, numbered. As the number is bounded, Spark keeps n rows a value in each task before
+    it shuffles (up to `spark.sql.optimizer.windowGroupLimitThreshold`), so a few large strata do not meet whole."""
+    return df.withColumn(to, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(to) <= n)
+
+
 def round_robin(df: DataFrame, n: int, *, stratum: str, priority: str, order: list[Column | str]) -> DataFrame:
     """One row of each stratum a pass, strata in order of priority, until there are n."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    return ranked.orderBy("_rn", priority, *order).limit(n).drop("_rn")
+    return first_of_each(df, n, by=stratum, order=order, to="_rn").orderBy("_rn", priority, *order).limit(n).drop("_rn")
 
 
 def interleaved(df: DataFrame, *, category: str, item: str, order: list[Column | str], cap: int) -> DataFrame:
-    """(item, position, reasons): categories in turn, first appearance kept, all reasons listed, `cap` items."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(category).orderBy(*order)))
-    first = ranked.groupBy(item).agg(F.min(F.struct("_rn", category)).alias("_at"), F.array_join(F.array_sort(F.collect_set(category)), ",").alias("reasons"))
-    return first.orderBy("_at", item).limit(cap).withColumn("position", F.row_number().over(Window.orderBy("_at", item))).select(item, "position", "reasons")
+    """(item, position, reasons): categories in turn, first appearance kept, all reasons listed, `cap` items.
+
+    An item stands once in a category, so the first `cap` rows of each category hold the first `cap` items. The reasons of
+    these alone are then looked up in the whole table, by a broadcast of `cap` rows.
+    """
+    ranked = first_of_each(df, cap, by=category, order=order, to="_rn")
+    first = ranked.groupBy(item).agg(F.min(F.struct("_rn", category)).alias("_at")).orderBy("_at", item).limit(cap)
+    placed = first.withColumn("position", F.row_number().over(Window.orderBy("_at", item))).drop("_at")  # cap rows
+    told = df.join(F.broadcast(placed), item).groupBy(item, "position")
+    return told.agg(F.array_join(F.array_sort(F.collect_set(category)), ",").alias("reasons"))
 
 
 def ab_assignment(df: DataFrame, key: str, seed: str) -> DataFrame:
