@@ -76,3 +76,47 @@ def quantile(values: Column, q: float) -> Column:
 
 def mean_difference(a: Column, b: Column) -> Column:
     return mean(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+def _boxes(size: int, parts: int) -> list[list[tuple[int, float]]]:
+    """For each of `parts` equal boxes over `size` pixels: the pixels it covers, and the share of the box that each fills."""
+    out = []
+    for k in range(parts):
+        low, high = k * size / parts, (k + 1) * size / parts
+        out.append([(i, (min(i + 1, high) - max(i, low)) * parts / size) for i in range(int(low), min(size, int(high) + 1)) if min(i + 1, high) > max(i, low)])
+    return out
+
+
+def area_resized(tile: Column, width: int, height: int, columns: int, rows: int) -> Column:
+    """A tile of width x height pixels averaged over columns x rows boxes, which may cut pixels: first along its rows, then
+    across them, so each output costs the pixels of two strips and not of a box."""
+    across = lambda r: F.array(*(sum((F.element_at(tile, (r * width + i + 1).cast("int")) * F.lit(w) for i, w in box), F.lit(0.0)) for box in _boxes(width, columns)))
+    strips = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), across)
+    whole = lambda s: F.array(*(sum((F.element_at(F.element_at(s, j + 1), k + 1) * F.lit(w) for j, w in box), F.lit(0.0)) for box in _boxes(height, rows) for k in range(columns)))
+    return F.element_at(F.transform(F.array(strips), whole), 1)
+
+
+def difference_hash(tile: Column, width: int, height: int) -> Column:
+    """16 hex digits: whether each pixel of the tile at 9 x 8 is brighter than the one to its left, row by row."""
+    small = area_resized(tile, width, height, 9, 8)
+    bit = lambda s: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(71)), lambda i: i % 9 < 8), lambda i: F.when(F.element_at(s, i + 2) > F.element_at(s, i + 1), "1").otherwise("0")), "")
+    return bits_hex(F.element_at(F.transform(F.array(small), bit), 1))
+
+
+def level_edges(tile: Column, width: int, height: int, least: float) -> Column:
+    """(x, y) of inner pixels where brightness changes most from above to below: the vertical gradient is `least` or more, and
+    not less than that of the pixels above and below."""
+    def gradient(i: Column) -> Column:
+        p = lambda d: F.element_at(tile, (i + d + 1).cast("int"))
+        x, y = i % width, F.floor(i / width)
+        inner = (x > 0) & (x < width - 1) & (y > 0) & (y < height - 1)
+        return F.when(inner, F.abs(p(width - 1) + 2 * p(width) + p(width + 1) - p(-width - 1) - 2 * p(-width) - p(1 - width))).otherwise(0.0)
+
+    places = F.sequence(F.lit(0), F.lit(width * height - 1))
+
+    def strongest(g: Column) -> Column:
+        at = lambda i: F.element_at(g, (i + 1).cast("int"))
+        kept = F.filter(F.sequence(F.lit(width), F.lit(width * (height - 1) - 1)), lambda i: (at(i) >= least) & (at(i) > at(i - width)) & (at(i) >= at(i + width)))
+        return F.transform(kept, lambda i: F.struct((i % width).cast("int").alias("x"), F.floor(i / width).cast("int").alias("y")))
+
+    return F.element_at(F.transform(F.array(F.transform(places, gradient)), strongest), 1)

@@ -65,6 +65,26 @@ def crop_plan(width: Column, height: Column, left: Column, top: Column, right: C
     return F.when(fault.isNotNull(), F.raise_error(fault).cast("struct<x:double,y:double,width:double,height:double>")).otherwise(told)
 
 
+def near_level_lines(df: DataFrame, *, by: list[str], tile: str, width: int, height: int, edge: float, votes: int, most: float = 10.0, steps: int = 10) -> DataFrame:
+    """(by, angle, weight): straight edges of grey tiles within `most` degrees of level, clockwise positive, by Hough voting.
+
+    Every edge pixel votes for the lines through it at all angles in steps of 1/steps degree; a line is an angle and its
+    distance from the middle of the tile, in whole pixels. A distance stands for the angles that most pixels vote for
+    (their mean), and is a line if these are `votes` or more and no distance within two pixels has more (of equals the least
+    stands). weight is the number of votes. Votes are counted before they are shuffled: an image sends its bins, not its votes.
+    """
+    n = round(most * steps)
+    pixels = df.select(*by, F.explode(tiles.level_edges(F.col(tile), width, height, edge)).alias("e"))
+    voted = pixels.select(*by, "e", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("a"))
+    a = F.radians(F.col("a") / steps)
+    rho = F.round((F.col("e.y") - height // 2) * F.cos(a) - (F.col("e.x") - width // 2) * F.sin(a)).cast("int")
+    bins = voted.groupBy(*by, rho.alias("rho"), "a").agg(F.count("*").alias("v")).where(F.col("v") >= votes)
+    best = bins.groupBy(*by, "rho", "v").agg(F.avg("a").alias("a")).groupBy(*by, "rho").agg(F.max(F.struct("v", "a")).alias("b"))
+    w = Window.partitionBy(*by).orderBy("rho")
+    before, after = (F.coalesce(F.max("b.v").over(w.rangeBetween(*r)), F.lit(0)) for r in ((-2, -1), (1, 2)))
+    return best.select(*by, "b", before.alias("before"), after.alias("after")).where("b.v > before and b.v >= after").select(*by, (F.col("b.a") / steps).alias("angle"), F.col("b.v").cast("double").alias("weight"))
+
+
 def level_evidence(lines: DataFrame, *, by: list[str], angle: str, weight: str, most: float = 10.0, near: float = 0.6, least: int = 3) -> DataFrame:
     """(by, lines, slope, agreement): the weighted median of the angles within `most` degrees, and the weight within
     `near` of it; both null under `least` lines. Windows run image by image."""

@@ -389,6 +389,26 @@ def merge_records(spark, d):
     return out.select("c_custkey", F.col("signals")["price"].alias("price"), F.col("signals")["balance"].alias("balance"), "matched", "burst")
 
 
+@query(f"""WITH {b.TILES}, s AS (SELECT vec_id, list_transform(range(72), lambda k: list_sum(list_transform(range(8), lambda i: tile[8 * (k // 9) + i + 1] * greatest(0.0, least(i + 1, (k % 9 + 1) * 8 / 9.0) - greatest(i, (k % 9) * 8 / 9.0))))) AS s FROM tile),
+t AS (SELECT vec_id, list_transform(list_filter(range(72), lambda i: i % 9 < 8), lambda i: CASE WHEN s[i + 2] > s[i + 1] THEN 1 ELSE 0 END) AS v FROM s)
+SELECT vec_id, array_to_string(list_transform(range(16), lambda i: substr('0123456789abcdef', v[4 * i + 1] * 8 + v[4 * i + 2] * 4 + v[4 * i + 3] * 2 + v[4 * i + 4] + 1, 1)), '') AS hash FROM t""")
+def tile_dhash_area(spark, d):
+    """The difference hash of tiles averaged over 9 x 8 boxes: 64 bits."""
+    return b.tile_frames(spark, d).select("vec_id", tiles.difference_hash(F.col("tile"), 8, 8).alias("hash"))
+
+
+@query(f"""WITH {b.TILES}, g AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 THEN abs(tile[i + 8] + 2 * tile[i + 9] + tile[i + 10] - tile[i - 8] - 2 * tile[i - 7] - tile[i - 6]) ELSE 0 END) AS g FROM tile),
+e AS (SELECT vec_id, i % 8 AS x, i // 8 AS y FROM g, range(8, 56) t(i) WHERE g[i + 1] >= 0.3 AND g[i + 1] > g[i - 7] AND g[i + 1] >= g[i + 9]),
+v AS (SELECT vec_id, a, round((y - 4) * cos(radians(a / 10)) - (x - 4) * sin(radians(a / 10)))::INT AS rho, count(*) AS v FROM e, range(-100, 101) t(a) GROUP BY ALL HAVING v >= 2),
+k AS (SELECT vec_id, rho, max(v) AS v, arg_max(a, v) AS a FROM (SELECT vec_id, rho, v, avg(a) AS a FROM v GROUP BY vec_id, rho, v) GROUP BY vec_id, rho),
+p AS (SELECT *, coalesce(max(v) OVER (PARTITION BY vec_id ORDER BY rho RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(max(v) OVER (PARTITION BY vec_id ORDER BY rho RANGE BETWEEN 1 FOLLOWING AND 2 FOLLOWING), 0) AS after FROM k)
+SELECT vec_id, round(a / 10, 4) AS angle, v::DOUBLE AS weight FROM p WHERE v > before AND v >= after""")
+def level_lines(spark, d):
+    """Near-level straight edges of the tiles by Hough voting."""
+    found = render.near_level_lines(b.tile_frames(spark, d), by=["vec_id"], tile="tile", width=8, height=8, edge=0.3, votes=2)
+    return found.select("vec_id", F.round("angle", 4).alias("angle"), "weight")
+
+
 @query(f"""WITH {b.TILES}, t AS (SELECT vec_id, list_transform(list_filter(range(64), lambda i: i % 8 < 7), lambda i: CASE WHEN tile[i + 2] > tile[i + 1] THEN 1 ELSE 0 END) AS v FROM tile)
 SELECT vec_id, array_to_string(list_transform(range(14), lambda i: substr('0123456789abcdef', v[4 * i + 1] * 8 + v[4 * i + 2] * 4 + v[4 * i + 3] * 2 + v[4 * i + 4] + 1, 1)), '') AS hash FROM t""")
 def tile_dhash_hex(spark, d):
