@@ -75,9 +75,12 @@ def read_header_and_records(spark: SparkSession, path: str, suggestion: T.Struct
 
 
 def merged_header(header: DataFrame) -> dict:
-    """The header lines as one object, later fields win: a file has a handful, so they are merged on the driver."""
-    out: dict = {}
-    for r in header.collect():
+    """The header lines as one object, later fields win: a file has a handful, so they are merged on the driver. More than a
+    thousand are no header, and raise."""
+    lines, out = header.limit(1001).collect(), {}
+    if len(lines) > 1000:
+        raise ValueError("more than a thousand lines are neither header nor record")
+    for r in lines:
         out |= json.loads(r.value)
     return out
 
