@@ -58,7 +58,7 @@ def place(key: Column, points: list) -> Column:
 
 
 #: A value that so many of the quantiles share is hot: it is cut by the next columns of the order.
-HOT = 3
+HOT = 8
 
 
 def _range(df: DataFrame, order: list[str], ranges: int | Column) -> DataFrame:
