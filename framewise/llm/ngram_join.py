@@ -68,20 +68,21 @@ def _signer(width: int, bands: int, rows: int):
                 sizes = np.zeros(j - i, np.int64)
                 sizes[full] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_digests(sh, at), pa.binary()), lists], ["id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(_digests(sh, at), pa.binary()), lists], ["id", "key", "node", "bands"])
 
     return sign
 
 
 def _setter(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keep the rows whose shingle set is the one asked for (a repeated id may stand for other texts too)."""
+        """Keep one row of each shingle set that is asked for (a key may stand for another text too, and for repeated rows)."""
+        told: set[bytes] = set()
         for batch in batches:
             buf, off = text_buffer(batch.column("text"))
             for i, j in slices(off):
                 sh, at = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
                 want = batch.column("node").slice(i, j - i).to_pylist()
-                good = [k for k, d in enumerate(_digests(sh, at)) if d == want[k]]
+                good = [k for k, d in enumerate(_digests(sh, at)) if d == want[k] and not (d in told or told.add(d))]
                 got = [np.unique(sh[at[k] : at[k + 1]]).view(np.int64) for k in good]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *got])))
                 take = pa.array([i + k for k in good], pa.int64())
@@ -115,8 +116,7 @@ def linked(sets: list[np.ndarray], threshold: float, cross: np.ndarray | None =
 
 
 def _verifier(threshold: float):
-    def flush(key, rows) -> Iterator[tuple]:
-        kept = list({r[0]: r for r in rows}.values())  # repeated rows of one text
+    def flush(key, kept) -> Iterator[tuple]:
         if len(kept) < 2:
             return
         parent, links = list(range(len(kept))), [0] * len(kept)
@@ -147,7 +147,8 @@ def _verifier(threshold: float):
                 if (c, a, b) != key:
                     out += flush(key, rows)
                     key, rows = (c, a, b), []
-                rows.append((node, n, values[at[k] : at[k + 1]].copy(), block))
+                if not rows or rows[-1][0] != node:  # repeated rows of one text come one after the other
+                    rows.append((node, n, values[at[k] : at[k + 1]].copy(), block))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["u", "v", "links"])
                 out = []
@@ -167,7 +168,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id counts after all others. Empty table: no rows.
 
     Texts of equal shingle sets are one node from the start, so copies meet in a pre-aggregated groupBy and are never
-    paired. MinHash bands of the nodes (band and row counts from `choose_bands`) are shuffled by band hash; each bucket
+    paired. A node's text is fetched by a hash of id and text, so rows that share an id (or have none) meet their own node
+    alone. MinHash bands of the nodes (band and row counts from `choose_bands`) are shuffled by band hash; each bucket
     is a star, stars are joined to candidate clusters, and every pair within a cluster is verified on full shingle
     sets, in blocks of BLOCK nodes. Blocks return a spanning forest and link counts, never the pairs.
     """
@@ -181,17 +183,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int = 5, thresh
     scratch = Scratch(spark, "ngram-join")
     bands, rows = choose_bands(threshold, recall)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = base.select("id", "text", F.xxhash64("id", "text").alias("key"))
     kind = base.schema["id"].dataType.simpleString()
-    signed = scratch.table(base.mapInArrow(_signer(width, bands, rows), f"id {kind}, node binary, bands array<bigint>"))
-    nodes = scratch.table(signed.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    signed = scratch.table(base.mapInArrow(_signer(width, bands, rows), f"id {kind}, key bigint, node binary, bands array<bigint>"))
+    nodes = scratch.table(signed.groupBy("node").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     buckets = scratch.table(keyed.groupBy("band", "h").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
     stars = attach(keyed, buckets, ["band", "h"], "n").select(F.col("node").alias("u"), "v")
     clusters = scratch.table(components(scratch, stars))
     size = scratch.table(clusters.groupBy("comp").agg(F.count("*").alias("n")))
-    members = attach(clusters, size, ["comp"], "n").join(nodes.select("node", "rep", "copies"), "node")
-    members = members.select("comp", "node", "copies", F.col("rep").alias("id"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    asked = base.join(members, base["id"].eqNullSafe(members["id"])).select("comp", "node", "copies", "blocks", "text")
+    members = attach(clusters, size, ["comp"], "n").join(nodes.select("node", "key", "copies"), "node")
+    members = scratch.table(members.select("comp", "node", "copies", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    asked = attach(base, members, ["key"], "copies").select("comp", "node", "copies", "blocks", "text")
     sets = asked.mapInArrow(_setter(width), "comp binary, node binary, copies bigint, blocks int, sh array<bigint>")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b")))
@@ -200,7 +203,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int = 5, thresh
     verified = scratch.table(dealt.mapInArrow(_verifier(threshold), "u binary, v binary, links bigint"))
     joined = components(scratch, verified.where("v is not null").select("u", "v"))
     links = verified.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    full = nodes.drop("bands").join(joined, "node", "left").join(links, "node", "left")
+    full = nodes.drop("bands", "key").join(joined, "node", "left").join(links, "node", "left")
     full = scratch.table(full.select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     named = scratch.table(full.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")))
     told = scratch.table(attach(full, named, ["comp"], "n").select("node", "copies", "comp", "class_id", "n_links"))

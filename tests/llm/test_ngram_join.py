@@ -1,4 +1,6 @@
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,15 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(None, 1, 1), (1, 1, 1), (1, 1, 0), (None, None, 0), (None, None, 0)], key=str)
 
 
+def test_many_rows_without_an_id(spark):
+    rows = [(None, " ".join([f"w{i // 2}x{j}" for j in range(40)] + [f"end{i}"])) for i in range(6000)] + [(None, "a b c d e f g h")] * 3000 + [(7, "a b c d e f g h i")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.monotonic()
+    got = Counter(map(tuple, jaccard_join(docs).collect()))
+    assert got == {(None, None, 1): 6000, (None, 7, 3001): 3000, (7, 7, 3001): 2}
+    assert time.monotonic() - start < 120  # every text would meet every member if ids alone joined them
+
+
 def test_representatives_of_null_and_repeated_ids(spark):
     rows = [(1, "a b c d e f", 0), (1, "q r s", 0), (1, "Q r s", 1), (2, "q r  s", 0), (None, "z", 0), (None, "y", 0), (None, "Y", 2), (None, None, 0), (None, " ", 0), (3, "m n", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
