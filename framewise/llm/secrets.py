@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +40,89 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 SYMBOLS = {**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U")}
 WEIGHT = {"9": math.log(1 / 10), "h": math.log(1 / 6), "l": math.log(1 / 20), "U": math.log(1 / 26)}
+_EVEN = {"9": math.log(1 / 10), "l": math.log(1 / 26), "U": math.log(1 / 26)}
+SORT = {c: "l" if k == "h" else k for c, k in SYMBOLS.items()}
+#: Character steps of an ordinary identifier: new sort (digit to letter or back, lower to upper case), separator, the same.
+IDENTIFIER = {"n": 0.016, ".": 0.15, "s": 0.834}
+#: What a credential's steps are mixed with, at this share, so that no step is impossible.
+STEPS, SHARE = {"n": 0.2, ".": 0.6, "s": 0.2}, 0.05
+#: Strings that a state of the prefix tree needs to be told apart from others as deep; sparser ones of a depth are one state.
+SPARSE = 32
+
+
+def steps(s: str) -> list[tuple[str, float]]:
+    """(step, log odds of the character given its step) for every character after the first.
+
+    A step is n (the sort of letter or digit changes within a word), s (it stays; a lower-case letter after an upper-case
+    one stays too) or . (a separator follows). The character after a separator starts a word and has no step.
+    """
+    out, before = [], SORT.get(s[0], ".")
+    for c in s[1:]:
+        now = SORT.get(c, ".")
+        if now == ".":
+            out.append((".", -math.log(6)))
+        elif before == ".":
+            out.append(("", -math.log(3) + _EVEN[now]))
+        elif now == before or (before, now) == ("U", "l"):
+            out.append(("s", _EVEN[now] - (math.log(2) if before == "U" else 0.0)))
+        else:
+            out.append(("n", _EVEN[now] - (0.0 if before == "U" else math.log(2))))
+        before = now
+    return out
+
+
+def mixed(s: str) -> bool:
+    """Whether letters and digits, or letters of both cases, are mixed."""
+    return len({SORT[c] for c in s if c in SORT}) > 1
 
 
 class Automaton:
-    """A deterministic probabilistic automaton over character classes, inferred by state merging."""
-
-    def __init__(self, strings: list[str], alpha: float = 0.05):
-        self.next: dict[int, dict[str, int]] = defaultdict(dict)
-        self.count: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))  # '' counts ends
-        self.total: dict[int, int] = defaultdict(int)
-        n = 1
-        for s in strings:  # the prefix tree
-            at = 0
-            for c in [SYMBOLS.get(c, c) for c in s]:
-                self.total[at] += 1
-                self.count[at][c] += 1
-                if c not in self.next[at]:
-                    self.next[at][c] = n
-                    n += 1
-                at = self.next[at][c]
-            self.total[at] += 1
-            self.count[at][""] += 1
+    """A deterministic probabilistic automaton inferred by state merging.
+
+    The prefix tree keeps the states that SPARSE strings or more reach; the sparser ones of a depth are one state, so
+    deep states hold enough strings to be told apart, by the length that is left for instance. States that the Hoeffding
+    test finds compatible, with all their followers, are merged.
+    """
+
+    def __init__(self, words: list[list[str]], alpha: float = 0.05, ends: bool = True):
+        self.next: list[dict[str, int]] = [{}]
+        self.count: list[dict[str, int]] = [{"": 0}]  # '' counts ends
+        now, depth = [(0, words)], 0
+        while now:
+            pooled, later = None, []
+            for at, group in now:
+                by: dict[str, list[list[str]]] = defaultdict(list)
+                for w in group:
+                    if depth < len(w):
+                        by[w[depth]].append(w)
+                self.count[at] = {"": (len(group) - sum(map(len, by.values()))) if ends else 0, **{c: len(g) for c, g in sorted(by.items())}}
+                for c, g in sorted(by.items()):
+                    if len(g) >= SPARSE:
+                        later.append((self._new(), g))
+                        self.next[at][c] = later[-1][0]
+                    else:
+                        pooled = pooled or (self._new(), [])
+                        pooled[1].extend(g)
+                        self.next[at][c] = pooled[0]
+            now, depth = later + ([pooled] if pooled else []), depth + 1
+        self.total = [sum(c.values()) for c in self.count]
+        self.into = list(range(len(self.next)))
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
+        self.states = self.reached
+        #: state -> (class -> (log probability of a character, next state), the same of an unseen class, of the end)
+        self.table = {q: self._logs(q) for q in self.states}
+
+    def _new(self) -> int:
+        self.next.append({})
+        self.count.append({"": 0})
+        return len(self.next) - 1
+
+    def _find(self, x: int) -> int:
+        while self.into[x] != x:
+            self.into[x] = self.into[self.into[x]]
+            x = self.into[x]
+        return x
 
     def _differ(self, a: int, b: int, c: str) -> bool:
         """Hoeffding test on the frequency of one symbol in two states."""
@@ -72,25 +133,25 @@ class Automaton:
         todo, seen = [(a, b)], set()
         while todo:
             a, b = todo.pop()
-            if (a, b) in seen or a == b:
+            if a == b or (a, b) in seen:
                 continue
             seen.add((a, b))
-            for c in {*self.count[a], *self.count[b]}:
-                if self._differ(a, b, c):
-                    return False
-            todo += [(self.next[a][c], self.next[b][c]) for c in self.next[a] if c in self.next[b]]
+            if any(self._differ(a, b, c) for c in {*self.count[a], *self.count[b]}):
+                return False
+            todo += [(self._find(y), self._find(self.next[b][c])) for c, y in self.next[a].items() if c in self.next[b]]
         return True
 
     def _fold(self, a: int, b: int) -> None:
-        """Add the tree under b to state a."""
+        """Make a and b, and all that follows both by equal symbols, one state each."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = sorted(map(self._find, todo.pop()))  # the start stays state 0
             if a == b:
                 continue
+            self.into[b] = a
             self.total[a] += self.total[b]
             for c, k in self.count[b].items():
-                self.count[a][c] += k
+                self.count[a][c] = self.count[a].get(c, 0) + k
             for c, y in self.next[b].items():
                 if c in self.next[a]:
                     todo.append((self.next[a][c], y))
@@ -98,59 +159,98 @@ class Automaton:
                     self.next[a][c] = y
 
     def _merge(self) -> None:
-        red, blue = [0], [(0, c) for c in sorted(self.next[0])]
-        while blue:
-            at, c = blue.pop(0)
-            q = self.next[at][c]
-            if q in red:
-                continue
+        red = [0]
+        while blue := [q for r in red for _, y in sorted(self.next[r].items()) if (q := self._find(y)) not in red]:
+            q = blue[0]
             for r in red:
                 if self._compatible(r, q):
-                    self.next[at][c] = r
                     self._fold(r, q)
                     break
             else:
                 red.append(q)
-            blue = [(r, c) for r in red for c in sorted(self.next[r]) if self.next[r][c] not in red]
-        keep = set(red)
-        self.next = {r: dict(self.next[r]) for r in keep}
-        self.total = {r: self.total[r] for r in keep}
-        self.count = {r: dict(self.count[r]) for r in keep}
+            red = sorted({self._find(x) for x in red})  # a fold may join settled states too
+        self.reached = red
+
+    def after(self, q: int, c: str) -> int:
+        """The state after symbol c; an unseen symbol keeps the state."""
+        return self._find(self.next[q].get(c, q))
+
+    def _logs(self, q: int) -> tuple[dict[str, tuple[float, int]], float, float]:
+        def smooth(c: str) -> float:
+            return math.log((self.count[q].get(c, 0) + 0.1) / (self.total[q] + 7))
+
+        return {c: (smooth(c) + WEIGHT.get(c, 0.0), self._find(y)) for c, y in self.next[q].items()}, smooth("unseen"), smooth("")
 
     def likelihood(self, s: str) -> float:
-        """log P(s); unseen symbols are smoothed over 70 classes and keep the state."""
+        """log P(s) of a string of characters; unseen symbols are smoothed over 70 classes and keep the state."""
         at, out = 0, 0.0
         for ch in s:
             c = SYMBOLS.get(ch, ch)
-            out += math.log((self.count[at].get(c, 0) + 0.1) / (self.total[at] + 7)) + WEIGHT.get(c, 0.0)
-            at = self.next[at].get(c, at)
-        return out + math.log((self.count[at].get("", 0) + 0.1) / (self.total[at] + 7))
+            seen = self.table[at][0].get(c)
+            if seen is None:
+                out += self.table[at][1] + WEIGHT.get(c, 0.0)
+            else:
+                out, at = out + seen[0], seen[1]
+        return out + self.table[at][2]
 
 
 class Formats:
-    """Automata of each labelled kind against one of ordinary runs; a candidate gains the best log likelihood ratio.
+    """Automata of labelled credentials against those of ordinary runs; a candidate gains the best log likelihood ratio.
 
-    A run that the ordinary automaton makes gains log(kinds / error) or more with probability `error` at most, as no
+    Labelled strings of one sort of character (numbers, words) teach nothing: a format is a mix. Each kind has an automaton
+    over character classes, which tells its lengths and prefixes, and all kinds share one over character steps (`steps`),
+    which tells formats that no label has by how often letters and digits change. An ordinary run is as likely as the mean
+    of two models makes it: the automaton of unlabelled runs, and identifiers (IDENTIFIER), whose sorts of character change
+    rarely, so words, dates, order and version numbers are ordinary though the sample may lack them.
+
+    A run that the ordinary model makes gains log(models / error) or more with probability `error` at most, as no
     likelihood ratio has an expectation over 1. So the threshold rests on no sample's extremes. The ordinary sample is not
     labelled: the runs that reach the threshold are left out of it, and its automaton is inferred again.
     """
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], error: float = 1e-4):
-        self.kinds = {k: Automaton(v) for k, v in sorted(labelled.items()) if len(v) >= 5}
-        self.threshold = math.log(max(1, len(self.kinds)) / error)
-        self.plain = Automaton(ordinary) if ordinary else None
-        if self.kinds and (kept := [s for s in ordinary if self.gain(s) < self.threshold]) and len(kept) < len(ordinary):
-            self.plain = Automaton(kept)
+        labelled = {k: [s for s in v if mixed(s)] for k, v in labelled.items()}
+        self.kinds = {k: Automaton([[SYMBOLS.get(c, c) for c in s] for s in v]) for k, v in sorted(labelled.items()) if len(v) >= 5}
+        taught = sorted({s for k in self.kinds for s in labelled[k]})
+        self.shape = Automaton([[t for t, _ in steps(s) if t] for s in taught], ends=False) if taught else None
+        self.rates = {}
+        if self.shape:
+            for q in self.shape.states:
+                n = self.shape.total[q]
+                for t, p in STEPS.items():
+                    seen = self.shape.count[q].get(t, 0) / n if n else p
+                    self.rates[q, t] = math.log((1 - SHARE) * seen + SHARE * p), self.shape.after(q, t), math.log(IDENTIFIER[t])
+        self.threshold = math.log((len(self.kinds) + 1) / error)
+        self.plain = None
+        kept, left = [s for s in ordinary if not self.kinds or self.gain(s) < self.threshold], len(ordinary)
+        while self.kinds and kept and len(kept) < left:  # it ends: each turn leaves out one run at least
+            self.plain, left = Automaton([[SYMBOLS.get(c, c) for c in s] for s in kept]), len(kept)
+            kept = [s for s in kept if self.gain(s) < self.threshold]
+        if self.plain is None and ordinary and self.kinds:
+            self.plain = Automaton([[SYMBOLS.get(c, c) for c in s] for s in ordinary])
 
     def gain(self, s: str) -> float:
-        plain = self.plain.likelihood(s) if self.plain else -4.0 * len(s)
-        return max(a.likelihood(s) for a in self.kinds.values()) - plain
-
-    def found(self, text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The best log likelihood ratio of a string of two characters or more."""
+        at = 0
+        shape = ident = _EVEN.get(SORT.get(s[0]), -math.log(6)) - math.log(3)
+        for t, odds in steps(s):
+            shape, ident = shape + odds, ident + odds
+            if t:
+                rate, at, usual = self.rates[at, t]
+                shape, ident = shape + rate, ident + usual
+        ends = -math.log(50)  # both: any length alike
+        plain = ident + ends
+        if self.plain:
+            learnt = self.plain.likelihood(s)
+            top = max(plain, learnt)
+            plain = top + math.log(0.5 * math.exp(plain - top) + 0.5 * math.exp(learnt - top))
+        return max(shape + ends, *(a.likelihood(s) for a in self.kinds.values())) - plain
+
+    def found(self, text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]], gain: Callable[[str], float] | None = None) -> list[tuple[int, int, int]]:
+        """Runs that reach the threshold as a whole, but those that one base span holds."""
         if not self.kinds:
             return []
-        free = [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in base)]
-        return [(a, 3, b) for a, b in free if self.gain(text[a:b]) >= self.threshold]
+        return [(a, 3, b) for a, b in runs if not any(s <= a and b <= e for s, _, e in base) and (gain or self.gain)(text[a:b]) >= self.threshold]
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,32 +279,35 @@ def fit_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def scan_secrets(docs: DataFrame, formats: Formats, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array of (kind, start, end)) of every row, over its whole text; a null text counts as empty.
+    """(id, spans array of (kind, start, end, score)) of every row, over its whole text; a null text counts as empty.
 
     Base spans (assign, access, hex) are leftmost and non-overlapping for each kind and may overlap across kinds. A
-    'format' span is a run of token characters that overlaps no base span and that an inferred automaton finds likelier
-    than ordinary text; runs that touch a base span are reported as that. Offsets count code points, ends are exclusive,
-    order is by start and then kind as listed. Repeated rows get equal spans. Empty table: no rows. Extra columns are not
-    read.
+    'format' span is a run of 12 or more token characters, as a whole, that an inferred automaton finds likelier than
+    ordinary text; a run that one base span holds is reported as that alone. score is the log likelihood ratio of the run,
+    or of what a base span holds (of an assignment: the value); it judges no base span, and is null where nothing was
+    learnt. Offsets count code points, ends are exclusive, order is by start and then kind as listed. Repeated rows get
+    equal spans. Empty table: no rows. Extra columns are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = lru_cache(1 << 16)(formats.gain)  # copies and common words come again
         for batch in batches:
-            sizes, kinds, starts, ends = [], [], [], []
+            sizes, kinds, starts, ends, scores = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 spans, runs = base_spans(text or "")
                 if runs:
-                    spans = sorted(spans + formats.found(text, runs, spans))
+                    spans = sorted(spans + formats.found(text, runs, spans, gain))
                 sizes.append(len(spans))
                 for a, k, b in spans:
                     kinds.append(KINDS[k])
                     starts.append(a)
                     ends.append(b)
-            structs = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["kind", "start", "end"])
+                    scores.append(gain(ASSIGN.match(text, a)[2] if k == 0 else text[a:b]) if formats.kinds else None)
+            structs = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(scores, pa.float64())], ["kind", "start", "end", "score"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), structs)], [id_col, "spans"])
 
-    return base.mapInArrow(scan, f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return base.mapInArrow(scan, f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
 

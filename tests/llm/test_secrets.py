@@ -1,5 +1,12 @@
 import hashlib
+import itertools
+import math
+import random
 import re
+import string
+from fractions import Fraction
+
+import pytest
 
 from framewise.llm import queries, secrets
 
@@ -15,6 +22,10 @@ def plain(text):
     return out
 
 
+def draw(rng, n):
+    return "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+
+
 def test_base_spans_against_plain_patterns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -34,22 +45,18 @@ def test_hard_cases():
 
 
 def test_inferred_formats():
-    import random
-
     rng = random.Random(1)
     hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
     mixed = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=36)) for _ in range(300)]
     plain_ = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(12, 25))) for _ in range(500)] + [f"user{i}name.mail@x"[:14] for i in range(50)]
     f = secrets.Formats({"hex": hexes, "assign": mixed}, plain_)
-    assert len(f.kinds["hex"].total) < 12  # merged to a small automaton
+    assert len(f.kinds["hex"].states) == 41  # merged to one state for each number of characters left
     text = "see ghK3j9XwPq82LmZx71VtRb40 and internationalisationing"
     base, runs = secrets.base_spans(text)
     assert [text[a:b] for a, _, b in f.found(text, runs, base)] == ["ghK3j9XwPq82LmZx71VtRb40"]
 
 
 def test_formats_do_not_depend_on_the_ordinary_sample():
-    import random
-
     rng = random.Random(2)
     some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
     mixed, hidden = [some(rng.randint(12, 40)) for _ in range(400)], [some(rng.randint(20, 40)) for _ in range(20)]
@@ -63,6 +70,91 @@ def test_formats_do_not_depend_on_the_ordinary_sample():
         assert found("ghKWjXwPqZLm") and found("K3jXwPqZLmTv")  # 12 characters, few digits or none
 
 
+def plain_gain(f, s):
+    """Likelihoods by products of probabilities, straight from the counts of the merged states."""
+    sort = lambda c: "9" if c in string.digits else "l" if c in string.ascii_lowercase else "U" if c in string.ascii_uppercase else "."
+    fine = lambda c: "h" if c in "abcdef" else "l" if sort(c) == "l" else sort(c) if sort(c) != "." else c
+    even = {"9": 10, "l": 26, "U": 26, ".": 6}
+
+    def kind(a):
+        p, q = Fraction(1), 0
+        for c in map(fine, s):
+            p *= (a.count[q].get(c, 0) + Fraction(1, 10)) / (a.total[q] + 7) / {"9": 10, "h": 6, "l": 20, "U": 26}.get(c, 1)
+            q = a.after(q, c)
+        return p * (a.count[q].get("", 0) + Fraction(1, 10)) / (a.total[q] + 7)
+
+    shape = usual = Fraction(1, 3 * even[sort(s[0])] * 50)
+    q = 0
+    for x, y in itertools.pairwise(map(sort, s)):
+        if y == ".":
+            t, choices = ".", 1
+        elif x == ".":
+            t, choices = "", 3
+        elif x == y or x + y == "Ul":
+            t, choices = "s", 2 if x == "U" else 1
+        else:
+            t, choices = "n", 1 if x == "U" else 2
+        shape, usual = shape / choices / even[y], usual / choices / even[y]
+        if t:
+            n = f.shape.total[q]
+            seen = Fraction(f.shape.count[q].get(t, 0), n) if n else Fraction(secrets.STEPS[t])
+            shape *= Fraction(1 - secrets.SHARE) * seen + Fraction(secrets.SHARE) * Fraction(secrets.STEPS[t])
+            usual *= Fraction(secrets.IDENTIFIER[t])
+            q = f.shape.after(q, t)
+    ratio = max(shape, *map(kind, f.kinds.values())) / ((usual + kind(f.plain)) / 2)
+    return math.log(ratio.numerator) - math.log(ratio.denominator)
+
+
+def test_format_spans_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    f = secrets.fit_formats(docs)
+    rng = random.Random(11)
+    hidden = ["ghp_" + draw(rng, 36), "see/" + draw(rng, 30), "order-20240101-77", f"x.token={draw(rng, 30)}", "deadbeef00112233" + draw(rng, 30)]
+    more = spark.createDataFrame([(-i, f"é {t}. And {t} again") for i, t in enumerate(hidden)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(more)
+    texts = {r.doc_id: r.text or "" for r in both.collect()}
+    known = {}  # most runs are words that come again
+    got = {r.doc_id: [(s.start, s.end, s.score) for s in r.spans if s.kind == "format"] for r in secrets.scan_secrets(both, f).collect()}
+    for k, text in texts.items():
+        want, i = [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in string.ascii_letters + string.digits + "+/_.=-":
+                j += 1
+            if j - i >= 12 and not any(a <= i and j <= b for a, _, b in plain(text)):
+                run = text[i:j]
+                known.setdefault(run, plain_gain(f, run) if len(known) < 800 or k <= 0 else f.gain(run))
+                if known[run] >= f.threshold:
+                    want.append((i, j, known[run]))
+            i = max(i + 1, j)
+        assert [x[:2] for x in got[k]] == [x[:2] for x in want]
+        assert [x[2] for x in got[k]] == pytest.approx([x[2] for x in want])
+    assert [len(got[-i]) for i in range(len(hidden))] == [2, 2, 0, 2, 2]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_formats_without_labels_and_ordinary_strings(spark, sf):
+    f = secrets.fit_formats(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+    assert len(f.kinds["assign"].states) > 10
+    rng = random.Random(3)
+    for make in (lambda: "ghp_" + draw(rng, 36), lambda: "sk_live_" + draw(rng, 24), lambda: draw(rng, 20), lambda: draw(rng, 32), lambda: draw(rng, rng.randint(20, 64))):
+        assert sum(f.gain(make()) >= f.threshold for _ in range(400)) >= 360
+    ordinary = """order-20240101-77 INV-2024-000123 12345678901234 4111111111111111 2024-01-01T10 20240101T123456Z +49-30-1234567
+        555-123-4567-89 mp3player2000 v1.2.3-rc1-x86_64.deb MAX_BUFFER_SIZE CamelCaseClassName IMG_20240101_123456.jpg DE89370400440532013000"""
+    assert [s for s in ordinary.split() if f.gain(s) >= f.threshold] == []
+    assert [s for s in {f"{rng.randint(10**11, 10**20)}" for _ in range(300)} if f.gain(s) >= f.threshold] == []
+
+
+def test_scores_of_base_spans(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    f = secrets.fit_formats(docs)
+    spans = [s for r in secrets.scan_secrets(docs, f).collect() for s in r.spans if s.kind != "format"]
+    assert spans and all(s.score is not None for s in spans)
+    assert all(s.score >= f.threshold for s in spans if s.kind == "assign")
+    lone = docs.sparkSession.createDataFrame([(1, "token=abcdefghijklmnop")], "doc_id long, text string")
+    assert secrets.scan_secrets(lone, secrets.fit_formats(lone)).first().spans[0].score is None
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, "a"), (1, "", "a"), (1, "token=abcdefghijklmnop " * 5000, "a"), (2, "x", None)], "doc_id long, text string, spans string")
     got = secrets.scan_secrets(docs, secrets.fit_formats(docs)).collect()
