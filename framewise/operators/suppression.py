@@ -7,12 +7,15 @@ has by then removed its neighbours from all later ones. So the pairs within a la
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewise.operators.dedup import greedy
 from framewise.operators.lineage import settled
@@ -153,3 +156,74 @@ def near_pairs(df: DataFrame, *, group: str, name: str, fields: list[str], near:
     rows = settled(df.select(F.col(name).alias("place"), F.col(group).alias("g"), F.struct(*fields).alias("f")))  # keys repeat their fields
     keyed = rows.withColumn("keys", keys(F.col("f")))
     return _met(keyed, keyed, near).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+
+
+#: Rows of a block of hashes; two blocks are compared in one piece of work.
+BLOCK = 8192
+
+
+def _compare(radius: int):
+    def cell(names: pa.Array, bits: np.ndarray, cross: np.ndarray | None) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+        """Near rows of one cell, 64 rows at a time against all others: what is held at once is 64 x BLOCK."""
+        left, right = (np.arange(len(bits)),) * 2 if cross is None else (np.flatnonzero(cross), np.flatnonzero(~cross))
+        other = bits[right]
+        for i in range(0, len(left), 64):
+            some = left[i : i + 64]
+            far = np.bitwise_count(bits[some][:, None] ^ other)
+            hit = far <= radius
+            if cross is None:
+                hit &= some[:, None] < right
+            r, c = np.nonzero(hit)
+            if len(r):
+                yield names.take(pa.array(some[r])), names.take(pa.array(right[c])), far[r, c].astype(np.int32)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            names, groups = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
+            bits, block = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+            label = groups.dictionary_encode("encode").indices.to_numpy()  # groups whose hashes are equal stay apart
+            for g in range(label.max() + 1):
+                of = np.flatnonzero(label == g)
+                for a, z, far in cell(names.take(pa.array(of)), bits[of].view(np.uint64), None if key[1] == key[2] else block[of] == key[1]):
+                    yield pa.RecordBatch.from_arrays([a, z, pa.array(far)], ["a", "b", "distance"])
+
+        for batch in batches:
+            cells = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            at = [0, *(np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(0)) + 1), batch.num_rows]
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                if i == j:
+                    continue
+                if (now := tuple(cells[:, i])) != key:
+                    yield from flush()
+                    key, held = now, []
+                held.append((*(batch.column(c).slice(i, j - i) for c in (4, 6)), *(batch.column(c).slice(i, j - i).to_numpy().copy() for c in (5, 3))))
+        yield from flush()
+
+    return compare
+
+
+def hash_pairs(df: DataFrame, *, group: str, name: str, hash_: str, radius: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, distance) with a < b: all rows of a group whose 64-bit hashes (16 hex digits) differ in at most `radius` bits.
+
+    For a radius that keys do not select (20 of 64 bits: nearly every two hashes share a block of three): each two rows
+    are compared once, by the bits of a long. Groups are dealt into blocks of about `block` rows, and each two blocks of a
+    group are one piece of work, so no group meets in a task and a task holds two blocks. Work and result grow with
+    the square of a group. A null hash is near nothing; a null group is a group.
+    """
+    rows = settled(df.where(F.col(hash_).isNotNull()).select(F.xxhash64(group).alias("g"), F.col(name).alias("name"), F.conv(hash_, 16, -10).cast("bigint").alias("bits"), F.col(group).alias("group")))
+    sizes = settled(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block).select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    cells = sizes.agg(F.sum((F.col("blocks") * (F.col("blocks") + 1) / 2).cast("bigint"))).first()[0] or 0
+    blocks = F.coalesce("blocks", F.lit(1))
+    cut = rows.join(F.broadcast(sizes), "g", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("name"), blocks).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
+    dealt = cut.select("g", F.explode(pairs).alias("p"), "block", "name", "bits", "group").select("g", "p.x", "p.y", "block", "name", "bits", "group")
+    # a number of its own: the rows are few bytes for the work that hangs on them
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(cells, 20_000))
+    dealt = dealt.repartition(tasks, "g", "x", "y").sortWithinPartitions("g", "x", "y")
+    kind = df.schema[name].dataType
+    found = dealt.mapInArrow(_compare(radius), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.IntegerType())]))
+    return found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")

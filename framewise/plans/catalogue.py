@@ -441,11 +441,8 @@ BITS = "list_aggregate(list_transform(range(1, 65), lambda i: CASE WHEN (a.tile[
 
 @query(f"WITH {b.TILES}, p AS (SELECT a.vec_id AS a, z.vec_id AS b, {BITS}::INT AS distance FROM tile a JOIN tile z ON a.scene = z.scene AND a.vec_id < z.vec_id) SELECT * FROM p WHERE distance <= 20")
 def hamming_pairs(spark, d):
-    t = b.tile_frames(spark, d)
-    out = suppression.near_pairs(t, group="scene", name="vec_id", fields=["hash"], near=lambda r, k: scalars.hamming(r["hash"], k["hash"]) <= 20, keys=lambda f: suppression.block_keys(f["hash"], 20, 64))
-    hashes = t.select("vec_id", "hash")
-    told = out.join(hashes.withColumnsRenamed({"vec_id": "a", "hash": "ha"}), "a").join(hashes.withColumnsRenamed({"vec_id": "b", "hash": "hb"}), "b")
-    return told.select("a", "b", scalars.hamming(F.col("ha"), F.col("hb")).alias("distance"))
+    t = b.tile_frames(spark, d).where("scene is not null")  # null scenes are equal to none in SQL
+    return suppression.hash_pairs(t, group="scene", name="vec_id", hash_="hash", radius=20)
 
 
 def _fold(near: str, scene: str = "scene", columns: str = "scene, vec_id, anchor") -> str:

@@ -98,3 +98,15 @@ def test_pairs_within_a_step(spark):
 def test_fold_is_unchanged(spark):
     df = spark.createDataFrame([("a", "x", 1.0, "0" * 16), ("a", "y", 2.0, "0" * 16)], "g string, name string, score double, hash string")
     assert {tuple(r) for r in dedup.greedy(df, group="g", name="name", order=[F.col("score")], fields=["hash"], near=near_hash(0)).collect()} == {("a", "x", "y"), ("a", "y", None)}
+
+
+@pytest.mark.parametrize("block", [16, 10_000])
+def test_hash_pairs_compare_each_two_rows_once(spark, block, monkeypatch):
+    rng = random.Random(9)
+    rows = [(g, i, h) for i, (g, h) in enumerate(zip(("a", "b", None) * 40, hashes(rng, 120), strict=True))] + [("a", 500, None), ("a", 501, "f" * 16), ("a", 502, "f" * 15 + "e")]
+    df = spark.createDataFrame(rows, "g string, name long, hash string")
+    monkeypatch.setattr(suppression, "_met", None)  # keys of three bits meet nearly every pair, several times
+    got = sorted(map(tuple, suppression.hash_pairs(df, group="g", name="name", hash_="hash", radius=20, block=block).collect()))
+    far = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    assert got == sorted((a[1], b[1], far(a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] and b[2] and far(a[2], b[2]) <= 20)
+    assert suppression.hash_pairs(df.where("false"), group="g", name="name", hash_="hash", radius=20).count() == 0
