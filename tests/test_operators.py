@@ -174,3 +174,17 @@ def test_scalars(spark):
 def test_tiles(spark):
     flat = spark.range(1).select(F.array_repeat(F.lit(3.0), 64).alias("t"))
     assert flat.select(tiles.contrast(tiles.laplacian(F.col("t"), 8)), tiles.mean(tiles.gradient(F.col("t"), 8)), tiles.sign_hash(F.col("t")), tiles.quantile(F.col("t"), 0.9)).first()[:] == (0.0, 0.0, "f" * 16, 3.0)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_signals_are_not_dealt_out_by_signal(spark):
+    """One value in four of all rows met in one task, where the floors' size was left to an estimate."""
+    long = spark.range(4000).selectExpr("'s' || id % 4 as signal", "cast(id % 100 as double) as value", "case when id % 3 = 0 then 'pick' else 'reject' end as label")
+    out = evaluate.signal_summary(long, ["signal"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert shuffles(out) == 2  # both of partial sums
+    assert out.where("signal = 's0'").first().available == 1000
