@@ -10,8 +10,16 @@ from framewise.operators import ranges
 FINITE = "value is not null and not isnan(value) and abs(value) < double('Infinity')"
 
 
-def long_signals(df: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
-    """One row a signal: (keep..., signal, value); absent and non-finite values go."""
+def long_signals(df: DataFrame, signals: list[str], keep: list[str], deal: str | None = None) -> DataFrame:
+    """One row a signal: (keep..., signal, value); absent and non-finite values go.
+
+    deal: a column of `keep` by which the rows are dealt out before they become one a signal; groups that hold it then
+    meet without another shuffle (an unpivot forgets how its input was dealt, an explode keeps it).
+    """
+    if deal is not None:
+        each = F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals))
+        tasks = len(signals) * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows become as many times as many after
+        return df.select(*keep, *signals).repartition(tasks, deal).select(*keep, F.explode(each).alias("_x")).select(*keep, "_x.signal", "_x.value").where(FINITE)
     return df.select(*keep, *(F.col(s).cast("double").alias(s) for s in signals)).unpivot(keep, signals, "signal", "value").where(FINITE)
 
 
@@ -64,17 +72,21 @@ def available_signals(df: DataFrame) -> DataFrame:
 
 def burst_metrics(df: DataFrame, *, by: list[str], burst: str, order: list) -> DataFrame:
     """Over bursts with both classes: pooled share of pick-reject pairs in order, and how often a pick is first or among
-    the first three. Pairs are counted from ranks within each burst."""
+    the first three. Pairs are counted from ranks within each burst: a reject loses as many pairs as the mean of the picks
+    from its value up and those above it. `order` begins with the value, descending.
+
+    All windows and sums before the last have the burst in their keys, so rows are dealt out once, or not at all if they come dealt
+    by the burst (`long_signals(..., deal=burst)`). The windows share one sort: the one of the longest order comes first.
+    """
     both = Window.partitionBy(*by, burst)
-    labelled = df.where("label in ('pick', 'reject')")
-    comparable = labelled.groupBy(*by, burst).agg(F.count_distinct("label").alias("_k")).where("_k = 2").drop("_k")
-    some = df.join(comparable, [*by, burst], "left_semi")
-    counts = some.where("label in ('pick', 'reject')").groupBy(*by, burst, "value").agg(F.count_if(F.col("label") == "pick").alias("p"), F.count_if(F.col("label") == "reject").alias("r"))
-    below = F.coalesce(F.sum("r").over(both.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = counts.withColumn("b", below).groupBy(*by, burst).agg(F.sum(F.col("p") * (2 * F.col("b") + F.col("r"))).alias("won"), (F.sum("p") * F.sum("r")).alias("pairs"))
-    ranked = some.withColumn("_rn", F.row_number().over(both.orderBy(*order))).where("_rn <= 3")
-    tops = ranked.groupBy(*by, burst).agg(F.max(F.when((F.col("_rn") == 1) & (F.col("label") == "pick"), 1).otherwise(0)).alias("t1"), F.max(F.when((F.col("_rn") <= 3) & (F.col("label") == "pick"), 1).otherwise(0)).alias("t3"))
-    return pairs.join(tops, [*by, burst]).groupBy(*by).agg(F.count("*").alias("bursts"), (F.sum("won") / (2.0 * F.sum("pairs"))).alias("pairwise"), F.avg("t1").alias("top1"), F.avg("t3").alias("top3"))
+    pick, reject = F.col("label") == "pick", F.col("label") == "reject"
+    falling = both.orderBy(F.desc("value"))
+    upward, level = (F.count(F.when(pick, 1)).over(falling.rangeBetween(a, Window.currentRow)) for a in (Window.unboundedPreceding, Window.currentRow))
+    ranked = df.withColumn("_rn", F.row_number().over(both.orderBy(*order))).withColumn("_won", F.when(reject, 2 * upward - level))
+    first = lambda k: F.max(F.when((F.col("_rn") <= k) & pick, 1).otherwise(0))
+    bursts = ranked.groupBy(*by, burst).agg(F.sum("_won").alias("won"), F.count_if(pick).alias("p"), F.count_if(reject).alias("r"), first(1).alias("t1"), first(3).alias("t3"))
+    bursts = bursts.where("p > 0 and r > 0").withColumn("pairs", F.col("p") * F.col("r"))
+    return bursts.groupBy(*by).agg(F.count("*").alias("bursts"), (F.sum("won") / (2.0 * F.sum("pairs"))).alias("pairwise"), F.avg("t1").alias("top1"), F.avg("t3").alias("top3"))
 
 
 def coverage_curve(df: DataFrame, *, order: list, percents: tuple[int, ...] = (5, 10, 20, 30, 40, 50)) -> DataFrame:

@@ -127,8 +127,8 @@ SIGNALS = ["quantity", "price", "discount", "tax"]
 LONG = f"WITH {b.LINES}, lg AS (SELECT * FROM (UNPIVOT li ON quantity, price, discount, tax INTO NAME signal VALUE value)) "
 
 
-def _long(spark, d) -> DataFrame:
-    return evaluate.long_signals(b.line_frames(spark, d), SIGNALS, ["name", "burst", "label"])
+def _long(spark, d, deal: str | None = None) -> DataFrame:
+    return evaluate.long_signals(b.line_frames(spark, d), SIGNALS, ["name", "burst", "label"], deal)
 
 
 @query(LONG + """, rk AS (SELECT signal, label, rank() OVER w + (count(*) OVER (PARTITION BY signal, value) - 1) / 2.0 AS r FROM lg WHERE label != 'neutral' WINDOW w AS (PARTITION BY signal ORDER BY value)),
@@ -159,7 +159,7 @@ pr AS (SELECT a.signal, count(*) AS n, sum(CASE WHEN a.value > z.value THEN 2 WH
 ts AS (SELECT signal, count(*) AS bursts, avg(t1) AS top1, avg(t3) AS top3 FROM t GROUP BY 1)
 SELECT signal, bursts, round(won / (2.0 * n), 6) AS pairwise, round(top1, 6) AS top1, round(top3, 6) AS top3 FROM ts JOIN pr USING (signal)""")
 def burst_metrics(spark, d):
-    out = evaluate.burst_metrics(_long(spark, d), by=["signal"], burst="burst", order=[F.desc("value"), F.lower("name"), "label"])
+    out = evaluate.burst_metrics(_long(spark, d, "burst"), by=["signal"], burst="burst", order=[F.desc("value"), F.lower("name"), "label"])
     return out.select("signal", "bursts", _r("pairwise", "pairwise"), _r("top1", "top1"), _r("top3", "top3"))
 
 

@@ -188,3 +188,23 @@ def test_signals_are_not_dealt_out_by_signal(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert shuffles(out) == 2  # both of partial sums
     assert out.where("signal = 's0'").first().available == 1000
+
+
+def test_bursts_are_dealt_out_once(spark):
+    wide = spark.range(4000).selectExpr("'n' || id as name", "id % 500 as burst", "case (id * id div 500) % 5 when 0 then 'pick' when 1 then 'reject' else 'neutral' end as label", "cast((id * 31 + id div 500) % 7 as double) as x", "if(id % 5 > 0, cast(id div 500 % 3 as double), null) as y")
+    order = [F.desc("value"), F.lower("name"), "label"]
+    dealt = evaluate.burst_metrics(evaluate.long_signals(wide, ["x", "y"], ["name", "burst", "label"], "burst"), by=["signal"], burst="burst", order=order)
+    assert shuffles(dealt) == 2  # the rows, and sums a signal
+    plain = evaluate.long_signals(wide, ["x", "y"], ["name", "burst", "label"]).collect()
+    want = {}
+    for s in ("x", "y"):
+        bursts = {}
+        for r in plain:
+            if r.signal == s:
+                bursts.setdefault(r.burst, []).append(r)
+        good = [b for b in bursts.values() if {"pick", "reject"} <= {r.label for r in b}]
+        pairs = [(p.value > q.value) + (p.value == q.value) / 2 for b in good for p in b for q in b if p.label == "pick" and q.label == "reject"]
+        tops = [[r.label for r in sorted(b, key=lambda r: (-r.value, r.name, r.label))[:3]] for b in good]
+        want[s] = (len(good), sum(pairs) / len(pairs), sum(t[0] == "pick" for t in tops) / len(good), sum("pick" in t for t in tops) / len(good))
+    got = {r.signal: (r.bursts, r.pairwise, r.top1, r.top3) for r in dealt.collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for s in want for a, b in zip(got[s], want[s], strict=True))
