@@ -75,6 +75,21 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], n: str, how: str = "
     return big.join(F.broadcast(hot), on, "inner").unionByName(rest)
 
 
+#: Bits of a `sieve`: its words are a bounded table (262,144 rows), whatever the number of keys.
+SIEVE = 1 << 24
+
+
+def sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Add boolean `_hit` to rows: true where the bit of the row's key (bigint) is set by one of `keys`, so false only if the key is
+    none of these. No row is shuffled; what remains is for an ordinary join to tell. Keys far beyond SIEVE select less."""
+    slot = F.pmod(F.col(key), F.lit(SIEVE))
+    words = keys.select(F.shiftright(slot, 6).alias("_word"), (slot % 64).cast("int").alias("_at")).groupBy("_word")
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, _at)")).alias("_bits"))
+    told = rows.withColumn("_slot", slot).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, cast(_slot % 64 as int)) & 1L") == 1, F.lit(False))
+    return told.withColumn("_hit", hit).drop("_slot", "_word", "_bits")
+
+
 def crc(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import Scratch, attach, mix, shingles, slices, text_buffer
+from framewise.llm.common import Scratch, attach, mix, shingles, sieve, slices, text_buffer
 from framewise.llm.graph import components
 
 #: Members of one candidate cluster that are compared in one block; larger clusters are dealt out as pairs of blocks.
@@ -86,7 +86,7 @@ def _setter(width: int):
                 got = [np.unique(sh[at[k] : at[k + 1]]).view(np.int64) for k in good]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *got])))
                 take = pa.array([i + k for k in good], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("comp", "node", "copies", "blocks")), lists], ["comp", "node", "copies", "blocks", "sh"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("comp", "num", "copies", "blocks")), lists], ["comp", "node", "copies", "blocks", "sh"])
 
     return sets
 
@@ -150,10 +150,10 @@ def _verifier(threshold: float):
                 if not rows or rows[-1][0] != node:  # repeated rows of one text come one after the other
                     rows.append((node, n, values[at[k] : at[k + 1]].copy(), block))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["u", "v", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64()), strict=True)], ["u", "v", "links"])
                 out = []
         if out := [*flush(key, rows)]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["u", "v", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64()), strict=True)], ["u", "v", "links"])
 
     return verify
 
@@ -169,16 +169,41 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts of equal shingle sets are one node from the start, so copies meet in a pre-aggregated groupBy and are never
     paired. A node's text is fetched by a hash of id and text, so rows that share an id (or have none) meet their own node
-    alone. MinHash bands of the nodes (band and row counts from `choose_bands`) are shuffled by band hash; each bucket
-    is a star, stars are joined to candidate clusters, and every pair within a cluster is verified on full shingle
-    sets, in blocks of BLOCK nodes. Blocks return a spanning forest and link counts, never the pairs.
+    alone, and only texts that a sieve of the asked hashes lets through are shuffled. Nodes go by number. MinHash bands of
+    the nodes (band and row counts from `choose_bands`) are shuffled by band hash, once; each bucket is a star, stars are
+    joined to candidate clusters, and every pair within a cluster is verified on full shingle sets, in blocks of BLOCK
+    nodes. Blocks return a spanning forest and link counts, never the pairs.
     """
     joined = _classes(docs, id_col, text_col, width, threshold, recall)
     return joined.select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
+#: A band hash with so many nodes in a draw of one in DRAW is hot: its nodes are dealt into SALTS parts.
+DRAW, HOT, SALTS = 64, 32, 64
+
+
+def _stars(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """(u, v): edges that connect the nodes of each bucket (equal band hash), most of them with the least node of the bucket.
+
+    Rows are shuffled once. Parts of hot buckets have heads of their own, which are then joined with the least of them; the
+    draw only says which buckets are cut. Bands share one hash space: should two of them meet, there are more candidates.
+    """
+    keyed = nodes.select("num", F.posexplode("bands").alias("band", "b")).select("num", F.xxhash64("band", "b").alias("h"))
+    drawn = nodes.where(F.pmod(F.xxhash64("num"), F.lit(DRAW)) == 0)
+    drawn = drawn.select(F.posexplode("bands").alias("band", "b")).select(F.xxhash64("band", "b").alias("h"))
+    hot = scratch.table(drawn.groupBy("h").count().where(F.col("count") >= HOT).select("h", F.lit(True).alias("hot")))
+    salted = keyed.join(F.broadcast(hot), "h", "left").select("h", "num", F.when(F.col("hot"), F.pmod(F.xxhash64("num"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt"), F.col("hot").isNotNull().alias("hot"))
+    part = Window.partitionBy("h", "salt")
+    heads = salted.withColumn("v", F.first("num").over(part.orderBy("num")))
+    stars = scratch.table(heads.where("v != num or hot").select(F.col("num").alias("u"), "v", F.when(F.col("hot") & (F.col("v") == F.col("num")), F.col("h")).alias("h")))
+    tops = stars.where("h is not null").select("u", "h")
+    least = tops.groupBy("h").agg(F.min("u").alias("v"))
+    return stars.where("u != v").select("u", "v").unionByName(tops.join(least, "h").select("u", "v").where("u != v"))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
-    """(id, node, comp, class_id, n_links) of every row: node identifies its shingle set, comp its class."""
+    """(id, node, key, comp, class_id, n_links, members) of every row: node identifies its shingle set, comp its class of so
+    many rows, key is a hash of id and text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     bands, rows = choose_bands(threshold, recall)
@@ -186,40 +211,44 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int = 5, thresh
     base = base.select("id", "text", F.xxhash64("id", "text").alias("key"))
     kind = base.schema["id"].dataType.simpleString()
     signed = scratch.table(base.mapInArrow(_signer(width, bands, rows), f"id {kind}, key bigint, node binary, bands array<bigint>"))
-    nodes = scratch.table(signed.groupBy("node").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = scratch.table(keyed.groupBy("band", "h").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
-    stars = attach(keyed, buckets, ["band", "h"], "n").select(F.col("node").alias("u"), "v")
-    clusters = scratch.table(components(scratch, stars))
+    nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = scratch.table(nodes.withColumn("num", F.monotonically_increasing_id()))  # fixed by the written table
+    clusters = scratch.table(components(scratch, _stars(scratch, nodes)).withColumnRenamed("node", "num"))
     size = scratch.table(clusters.groupBy("comp").agg(F.count("*").alias("n")))
-    members = attach(clusters, size, ["comp"], "n").join(nodes.select("node", "key", "copies"), "node")
-    members = scratch.table(members.select("comp", "node", "copies", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    asked = attach(base, members, ["key"], "copies").select("comp", "node", "copies", "blocks", "text")
-    sets = asked.mapInArrow(_setter(width), "comp binary, node binary, copies bigint, blocks int, sh array<bigint>")
+    members = attach(clusters, size, ["comp"], "n").join(nodes.select("num", "node", "key", "copies"), "num")
+    members = scratch.table(members.select("comp", "num", "node", "copies", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    sifted = sieve(base.select("text", "key"), members, "key").where("_hit").drop("_hit")
+    asked = attach(sifted, members, ["key"], "copies").select("comp", "num", "node", "copies", "blocks", "text")
+    sets = asked.mapInArrow(_setter(width), "comp bigint, node bigint, copies bigint, blocks int, sh array<bigint>")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b")))
     dealt = sets.withColumn("block", block).select("comp", "node", "copies", "sh", "block", F.explode(pairs).alias("p")).select("comp", "p.a", "p.b", "node", "copies", "block", "sh")
     dealt = dealt.repartition(F.col("comp"), F.col("a"), F.col("b")).sortWithinPartitions("comp", "a", "b", "node")
-    verified = scratch.table(dealt.mapInArrow(_verifier(threshold), "u binary, v binary, links bigint"))
-    joined = components(scratch, verified.where("v is not null").select("u", "v"))
-    links = verified.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    full = nodes.drop("bands", "key").join(joined, "node", "left").join(links, "node", "left")
-    full = scratch.table(full.select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    named = scratch.table(full.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")))
-    told = scratch.table(attach(full, named, ["comp"], "n").select("node", "copies", "comp", "class_id", "n_links"))
-    return attach(signed.select("id", "node"), told, ["node"], "copies").select("id", "node", "comp", "class_id", "n_links")
+    verified = scratch.table(dealt.mapInArrow(_verifier(threshold), "u bigint, v bigint, links bigint"))
+    joined = components(scratch, verified.where("v is not null").select("u", "v")).withColumnRenamed("node", "num")
+    links = verified.where("v is null").groupBy(F.col("u").alias("num")).agg(F.sum("links").alias("links"))
+    full = nodes.drop("bands", "key").join(joined, "num", "left").join(links, "num", "left")
+    full = scratch.table(full.select("node", "rep", "copies", F.coalesce("comp", "num").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    named = scratch.table(full.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("members"), F.count("*").alias("n")))
+    told = scratch.table(attach(full, named, ["comp"], "n").select("node", "copies", "comp", "class_id", "n_links", "members"))
+    return attach(signed.select("id", "node", "key"), told, ["node"], "copies").select("id", "node", "key", "comp", "class_id", "n_links", "members")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, **options) -> DataFrame:
     """One row of `docs` for each near-duplicate class, all columns kept: the one with the least id, null counting last.
 
     Of the rows of a class that share the least id, that of the least text stays. Rows of other classes may share it too:
-    they stand for their own.
+    they stand for their own. Rows that are all of their class pass without a shuffle, as far as a sieve can tell them.
     """
-    joined = _classes(docs, id_col, text_col, width, **options)
+    scratch = Scratch(docs.sparkSession, "representatives")
+    joined = scratch.table(_classes(docs, id_col, text_col, width, **options))
     keep = joined.where(F.col("class_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("kept"), F.col("node").alias("of"), F.col("comp").alias("class")).distinct()
     # columns go by number, so no name of theirs can clash
     numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col(text_col).cast("string").alias("read"))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    marked = sieve(numbered.withColumn("key", F.xxhash64(columns[docs.columns.index(id_col)], "read")), joined.where("members > 1"), "key").drop("key")
+    alone = marked.where("not _hit").select(*(F.col(c).alias(name) for c, name in zip(columns, docs.columns, strict=True)))
+    numbered = marked.where("_hit").drop("_hit")
     names, text, id_ = [*numbered.columns, "node"], f"c{docs.columns.index(text_col)}", f"c{docs.columns.index(id_col)}"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +259,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = numbered.mapInArrow(add, T.StructType([*(T.StructField(f.name, f.dataType) for f in numbered.schema), T.StructField("node", T.BinaryType())]))
     rows = rows.join(keep, rows[id_].eqNullSafe(keep["kept"]) & (rows["node"] == keep["of"]))
-    columns = [f"c{i}" for i in range(len(docs.columns))]
     least = rows.groupBy("class").agg(F.min_by(F.struct(*columns), F.struct(text)).alias("row"))
-    return least.select(*(F.col("row")[c].alias(name) for c, name in zip(columns, docs.columns, strict=True)))
+    return alone.union(least.select(*(F.col("row")[c].alias(name) for c, name in zip(columns, docs.columns, strict=True))))

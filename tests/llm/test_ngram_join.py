@@ -97,3 +97,38 @@ def test_components(spark):
 def test_other_thresholds_run(spark, threshold):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k")], "doc_id long, text string")
     assert {r.class_id for r in jaccard_join(docs, threshold=threshold).collect()} == ({1} if threshold == 0.5 else {1, 2})
+
+
+def test_buckets_are_stars_after_one_shuffle(spark, tmp_path):
+    """Keys met their buckets in a second shuffle, as large as the first; hot buckets are cut, and stay connected."""
+    from framewise.llm import ngram_join
+    from framewise.llm.common import Scratch
+
+    rows = [(i, [7, i // 2, i]) for i in range(5000)]  # all share the first band, neighbours the second
+    nodes = spark.createDataFrame(rows, "num long, bands array<bigint>")
+    stars = ngram_join._stars(Scratch(spark, "stars"), nodes)
+    edges = [tuple(r) for r in stars.collect()]
+    assert all(v < u for u, v in edges) and {u for u, _ in edges} == set(range(1, 5000))
+    heads = {v for _, v in edges}
+    up = {u: min(b for a, b in edges if a == u) for u in {u for u, _ in edges if u in heads}}
+    assert up and all(any(b == 0 for a, b in edges if a == h) for h in heads - {0} if h >= 0 and (h, 0) in edges)
+    sizes = {}
+    for u, v in edges:
+        sizes[v] = sizes.get(v, 0) + 1
+    assert max(sizes.values()) < 1000  # no head holds the hot bucket
+
+
+def test_a_sieve_loses_no_key(spark):
+    from framewise.llm.common import sieve
+
+    rows, keys = spark.range(-3000, 3000).selectExpr("xxhash64(id) as key", "id"), spark.range(0, 500).selectExpr("xxhash64(id) as key")
+    got = {r.id: r._hit for r in sieve(rows, keys, "key").collect()}
+    assert len(got) == 6000 and all(got[i] for i in range(500)) and sum(got.values()) < 520
+    assert not any(r._hit for r in sieve(rows, keys.where("false"), "key").collect())
+
+
+def test_rows_alone_in_their_class_are_kept_as_they_are(spark):
+    rows = [(i, f"alone {i} word{i} more{i} text{i} end{i}", None) for i in range(200)] + [(900, "same text here for all of them", "x"), (900, "same text here for all of them", "x"), (901, "Same text here for all of them", "y"), (None, "null id text of its own here", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, representatives(df).collect()), key=str)
+    assert got == sorted([r for r in dict.fromkeys(rows) if r[0] != 901], key=str)
