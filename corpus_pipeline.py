@@ -48,7 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, whatever these are.
     """
     taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("repeats").cast("int").alias("n")).where("n > 0")
-    joined = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.id")))
+    # sorted on both sides whatever their size: with a small `taken` broadcast, small inputs tell nothing of large ones
+    joined = docs.alias("d").join(taken.hint("merge").alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.id")))
     return joined.select(F.struct("d.*").alias("d"), F.explode(F.sequence(F.lit(1), F.col("t.n"))).alias("k")).select("d.*")
 
 
