@@ -40,9 +40,10 @@ def merge_records(base: DataFrame, rows: DataFrame, *, key: str, rank: str, fiel
 
 
 def mirror_pairs(df: DataFrame, *, key: str, partner: str, columns: list[str]) -> DataFrame:
-    """Rows with a partner take its columns where their own are null."""
+    """Rows with a partner take its columns where their own are null. Rows without one are dealt by their own key, not by a
+    null that one task would get."""
     other = df.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in columns)).where(F.col(f"_{columns[0]}").isNotNull())
-    joined = df.join(other, df[partner] == F.col("_k"), "left")
+    joined = df.join(other, (F.coalesce(df[partner], df[key]) == F.col("_k")) & df[partner].isNotNull(), "left")
     return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop("_k", *(f"_{c}" for c in columns))
 
 

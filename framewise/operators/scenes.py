@@ -41,8 +41,10 @@ def cohorts(df: DataFrame, size: int, *, scene: str, order: list[Column | str],
     chunk = F.floor((F.row_number().over(Window.partitionBy(scene).orderBy(*order)) - 1) / size).cast("bigint")
     cut = df.withColumn("_chunk", chunk)
     blocks = ranges.block(scene) if df.schema[scene].dataType.simpleString() in ("int", "bigint") else ranges.RANGES
-    heads = ranges.numbered(cut.select(scene, "_chunk").distinct(), [scene, "_chunk"], "cohort_number", blocks)
-    return cut.join(heads, [scene, "_chunk"]).withColumn("cohort_id", F.format_string(prefix + "%03d", "cohort_number")).drop("_chunk")
+    counts = cut.groupBy(scene).agg((F.max("_chunk") + 1).alias("_n"))  # a row a scene, however large
+    heads = ranges.running(counts, [scene], F.col("_n"), "_to", blocks)
+    number = F.col("_to") - F.col("_n") + F.col("_chunk") + 1
+    return cut.join(heads, scene).withColumn("cohort_number", number).withColumn("cohort_id", F.format_string(prefix + "%03d", "cohort_number")).drop("_chunk", "_n", "_to")
 
 
 def top_per_scene(df: DataFrame, k: int, *, scene: str, order: list[Column | str]) -> DataFrame:

@@ -208,3 +208,28 @@ def test_bursts_are_dealt_out_once(spark):
         want[s] = (len(good), sum(pairs) / len(pairs), sum(t[0] == "pick" for t in tops) / len(good), sum("pick" in t for t in tops) / len(good))
     got = {r.signal: (r.bursts, r.pairwise, r.top1, r.top3) for r in dealt.collect()}
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for s in want for a, b in zip(got[s], want[s], strict=True))
+
+
+def test_rows_without_a_partner_are_dealt_by_their_own_key(spark):
+    data = [(k, k - 1 if k % 10 == 9 else None, None if k % 10 == 9 else k % 7) for k in range(5000)] + [(5001, 5000, None), (None, None, 3), (5003, 5002, None), (5002, None, None)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = logs.mirror_pairs(frame(spark, data, "k long, partner long, rating int"), key="k", partner="partner", columns=["rating"])
+        told = got.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    own = {k: r for k, _, r in data}
+    assert sorted(((r.k, r.partner, r.rating) for r in told), key=str) == sorted(((k, p, own.get(p) if r is None and p is not None else r) for k, p, r in data), key=str)
+    held = [sum(r.task == t for r in told) for t in {r.task for r in told}]
+    assert max(held) < len(data) / 4
+
+
+def test_chunks_of_one_large_scene_are_counted_before_they_are_numbered(spark):
+    df = frame(spark, [(s, i) for s, n in ((1, 3), (2, 5000), (4, 1)) for i in range(n)], "scene long, at int")
+    got = scenes.cohorts(df, 2, scene="scene", order=["at"])
+    want = [(1, 0, 1), (1, 1, 1), (1, 2, 2)] + [(2, i, 3 + i // 2) for i in range(5000)] + [(4, 0, 2503)]
+    assert sorted(tuple(r) for r in got.select("scene", "at", "cohort_number").collect()) == want
+    assert "distinct" not in (plan := got._jdf.queryExecution().optimizedPlan().toString().lower()) and "max(_chunk" in plan
