@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import decontaminate, mixing, ngram_join, quality, token_file
-from framewise.llm.common import Scratch, stage_scratch
+from framewise.llm.common import Scratch, looked_up, stage_scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids are one id. A null source is a source of its own; texts without words are not taken. Columns keep their
     names, whatever these are.
     """
-    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("repeats").cast("int").alias("n")).where("n > 0")
-    joined = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.id")))
-    return joined.select(F.struct("d.*").alias("d"), F.explode(F.sequence(F.lit(1), F.col("t.n"))).alias("k")).select("d.*")
+    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("repeats").cast("int").alias("n"))
+    taken = Scratch(spark, "mix").table(taken)
+    # how often is a number from 0 to 3, which bits tell: texts are shuffled only where these leave it open
+    asked, left = looked_up(docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("id")), taken, "id", "n", 3)
+    rest, left = asked.where("_told is null").alias("a"), left.where("n > 0").alias("t")
+    rest = rest.join(left, F.col("a.id").eqNullSafe(F.col("t.id"))).select("d", "n")
+    every = asked.where("_told > 0").select("d", F.col("_told").alias("n")).unionByName(rest)
+    return every.select("d", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("d.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

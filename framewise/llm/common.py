@@ -90,6 +90,40 @@ def sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return told.withColumn("_hit", hit).drop("_slot", "_word", "_bits")
 
 
+def looked_up(rows: DataFrame, book: DataFrame, key: str, value: str, most: int, rounds: int = 2, slots: int = SIEVE) -> tuple[DataFrame, DataFrame]:
+    """(rows with `_told`, what is left of the book): the value, 0 to `most`, that `book` (a row a key, cheap to read often) has for
+    the row's key, where bounded tables of bits tell it; null where they do not, and those keys are the book that is left.
+
+    The book must hold every key of rows. A slot whose keys all have one value tells it surely, as the row's own key is one
+    of these; keys that share a slot with another value are asked again by another hash. No row is shuffled; what is null
+    is for an ordinary join with the book that is left. Keys far beyond `slots` are told less.
+    """
+    bits, left, asked = range(most.bit_length()), book, rows.withColumn("_told", F.lit(None).cast("int"))
+    number = F.col(value).cast("int")
+    for r in range(rounds):
+        slot = F.pmod(F.xxhash64(F.lit(r), F.col(key)), F.lit(slots))
+        mask = F.expr("shiftleft(1L, _at)")
+        held = lambda test: F.bit_or(F.when(test, mask).otherwise(F.lit(0).cast("bigint")))
+        words = left.select(F.shiftright(slot, 6).alias("_word"), (slot % 64).cast("int").alias("_at"), number.alias("_v")).groupBy("_word")
+        known = F.col("_v").between(0, most)
+        ones, zeros = ([held(F.coalesce(known & (F.col("_v").bitwiseAND(1 << j) == (want << j)), F.lit(False))).alias(f"_{want}_{j}") for j in bits] for want in (1, 0))
+        words = words.agg(*ones, *zeros, held(~F.coalesce(known, F.lit(False))).alias("_mixed"))
+        mixed = F.col("_mixed")
+        for j in bits:
+            mixed = mixed.bitwiseOR(F.col(f"_1_{j}").bitwiseAND(F.col(f"_0_{j}")))
+        words = F.broadcast(words.select("_word", mixed.alias("_mixed"), *(f"_1_{j}" for j in bits)))
+
+        def told(df: DataFrame, slot=slot, words=words) -> DataFrame:
+            df = df.withColumn("_slot", slot).join(words, F.shiftright("_slot", 6) == F.col("_word"), "left")
+            bit = lambda c: F.expr(f"cast(shiftright({c}, cast(_slot % 64 as int)) & 1L as int)")
+            here = sum((bit(f"_1_{j}") * (1 << j) for j in bits), F.lit(0))
+            return df.withColumn("_told", F.coalesce("_told", F.when(bit("_mixed") == 0, here))).drop("_slot", "_word", "_mixed", *(f"_1_{j}" for j in bits))
+
+        asked = told(asked)
+        left = told(left.withColumn("_told", F.lit(None).cast("int"))).where("_told is null").drop("_told")
+    return asked, left
+
+
 def crc(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

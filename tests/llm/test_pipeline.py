@@ -9,6 +9,8 @@ from test_ngram_join import brute as classes
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from framewise.llm import mixing
+from framewise.llm.common import Scratch, looked_up
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +72,41 @@ def test_stages_with_odd_rows(spark):
     nothing = docs.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, SF).count() == 0, name
+
+
+def test_bits_tell_a_key_its_own_value_or_nothing(spark):
+    kept = [(None, 2), *((k, k * 7 % 5 % 4) for k in range(-300, 700)), (1000, 9), (1001, -1), (1002, None)]
+    book = spark.createDataFrame(kept, "id long, n int")
+    rows = spark.createDataFrame([(k, i) for k, _ in kept for i in range(1 + (k or 0) % 2)], "id long, i int")
+    known = dict(kept)
+    for slots, least, most in ((64, 0, 0), (1024, 300, 900), (1 << 24, 1001, 1001)):
+        asked, left = looked_up(rows, book, "id", "n", 3, slots=slots)
+        told = [tuple(r) for r in asked.select("id", "i", "_told").collect()]
+        assert len(told) == rows.count() and all(n is None or n == known[k] for k, _, n in told)
+        open_ = {k for k, _, n in told if n is None}
+        assert sorted((tuple(r) for r in left.collect()), key=str) == sorted(((k, known[k]) for k in open_), key=str)
+        assert least <= len(known) - len(open_) <= most and {1000, 1001, 1002} <= open_
+
+
+def test_the_mix_shuffles_no_texts(spark):
+    drawn = np.random.default_rng(5)
+    texts = [" ".join(f"{w:x}" for w in drawn.integers(1 << 40, size=1500)) for _ in range(400)]
+    rows = [(None if k % 50 == 0 else k // 2 * 2 if k % 9 == 0 else k, t, "en", "abc"[k % 7 % 3], len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = Scratch(spark, "test").table(docs)
+    sc, old = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    taken = {r.id: r.n for r in mixing.mix_sources(docs).groupBy("doc_id").agg({"repeats": "max"}).toDF("id", "n").collect()}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the table of counts were large
+        before = written()
+        got = Counter(r.text for r in corpus_pipeline.mix(spark, docs, SF).collect())
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == Counter({t: n for k, t, *_ in rows if (n := taken[k])})
+    assert moved < sum(map(len, texts)) / 10
